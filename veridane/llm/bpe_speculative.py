@@ -32,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from veridane.llm.word_bpe_text import SPACE, char_classes, code_points, utf8_lengths, word_starts
@@ -462,7 +463,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text each, or one row."""
-    size = pa.compute.fill_null(pa.compute.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(size), 0
     while at < batch.num_rows:
         base = ends[at] - size[at]

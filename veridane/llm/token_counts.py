@@ -23,6 +23,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from veridane.llm.bpe_speculative import column, resolve, slices
@@ -114,7 +115,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in (y for x in batches for y in slices(x, text_col)):
             raw = column(batch, text_col)
             counts = count_tokens(tok, [x or "" for x in raw.to_pylist()], chunk_chars, overlap_chars)
-            n_bytes = pa.compute.fill_null(pa.compute.binary_length(raw), 0).cast(pa.int64())
+            n_bytes = pc.fill_null(pc.binary_length(raw), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([column(batch, id_col).cast(pa.int64()), n_bytes, pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], schema=kind)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean")
