@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridane.llm import bpe_speculative, packing, simhash_dedup, token_counts
+from veridane.llm import bpe_speculative, language_id, merkle, op5_sql, packing, repetition, simhash_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,23 +19,38 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare(documents(spark, sf_dir))
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_speculative.encode_decode(documents(spark, sf_dir))
 
 
+def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(documents(spark, sf_dir)).drop("longest_repeat")
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
+    "op5_repetition_rules": op5_repetition_rules,
     "op6_pack_sequences": op6_pack_sequences,
+    "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_repetition_rules": op5_sql.ORACLE}
