@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridane.llm import bpe_speculative, language_id, merkle, op5_sql, packing, repetition, simhash_dedup, token_counts
+from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, repetition, simhash_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -43,7 +47,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_chat_collapse": op1_chat_collapse,
     "op2_token_counts": op2_token_counts,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
@@ -51,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op6_pack_sequences": op6_pack_sequences,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op5_repetition_rules": op5_sql.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_collapse": chat_collapse.ORACLE, "op5_repetition_rules": op5_sql.ORACLE}
