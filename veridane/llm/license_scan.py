@@ -82,7 +82,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     grams = once(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.array_contains(w, "license").alias("licensed"), zipped(w).alias("grams")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("row", "id", grams.alias("s"))
     places = F.when(F.col("s.licensed"), F.filter(F.transform(F.col("s.grams"), phrase), lambda p: p.isNotNull()))
-    exploded = rows.select("row", "id", F.col("s.n_words").alias("n_words"), places.alias("places"), F.posexplode_outer("s.grams").alias("i", "g"))
+    based = rows.select("row", "id", F.col("s.n_words").alias("n_words"), places.alias("places"), F.col("s.grams").alias("grams"))
+    exploded = based.select("row", "id", "n_words", "places", F.posexplode_outer("grams").alias("i", "g"))
     t = F.broadcast(template_grams(docs.sparkSession))
     same = (F.xxhash64("g.a", "g.b", "g.c") == F.col("hash")) & (F.col("g.a") == F.col("ta")) & (F.col("g.b") == F.col("tb")) & (F.col("g.c") == F.col("tc"))
     # A document's first gram, matched or not, carries its base result; all other rows are matches.
