@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, repetition, simhash_dedup, token_counts
+from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, pii_bootstrap, repetition, simhash_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_bootstrap.personal_data(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op4_bpe_encode_decode": op4_bpe_encode_decode,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_pack_sequences": op6_pack_sequences,
+    "op7_personal_data": op7_personal_data,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_license_scan": op10_license_scan,
