@@ -151,4 +151,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     # A null id comes last.
     least = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first"))
     kept = written(classes.join(least, "fp").groupBy("comp").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "kept")
-    return rows.join(kept, "row", "left_semi").select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(columns)])
+    # One plan at every size: a merge join; kept has a row for each component, so it has no bound to broadcast it by.
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(columns)])
