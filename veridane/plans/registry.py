@@ -1,11 +1,10 @@
-"""All registered queries of the reference-derived operators, and their DuckDB equivalents."""
+"""Registered queries of the reference-derived operators, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +26,4 @@ def register(name: str, sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
-@register(
-    "rule_decision_by_lang",
-    """SELECT lang, CASE WHEN toxic = 1 THEN 'DENIED' WHEN quality = 1 THEN 'AWARDED' ELSE 'DENIED' END AS decision, count(*) AS n
-    FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2""",
-)
-def rule_decision_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decision = F.when(F.col("toxic") == 1, "DENIED").when(F.col("quality") == 1, "AWARDED").otherwise("DENIED")
-    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return joined.groupBy("lang", decision.alias("decision")).agg(F.count("*").alias("n"))
+from veridane.plans import curation, evaluation, misc  # noqa: E402, F401  they register themselves
