@@ -42,6 +42,7 @@ PATTERNS = {
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^0-9@\x20\x09-\x0D]*+[0-9@])[^\x20\x09-\x0D]++"
+HEAD_MARKS, TAIL_MARKS = r"^[(\[<{\x22\x27]++", r"(?<![.,;:!?)\]>}\x22\x27])[.,;:!?)\]>}\x22\x27]++$"
 NEAR = 120
 SPACES = r"[\x20\x09-\x0D]+"
 SPAN = "struct<start:bigint,kind:int,stop:bigint>"
@@ -111,16 +112,25 @@ def places(scanned: DataFrame) -> DataFrame:
 
 
 def occurrences(placed: DataFrame) -> DataFrame:
-    """(row, start, stop, instance, kind, patterns) of each token; kind is the kind of a base span that begins in it, else null."""
+    """(row, start, stop, instance, kind, patterns) of each token that isn't part of a base span begun before it.
+
+    kind is the kind of a base span that begins in the token, and then instance its text; else null, and the token without marks at its ends.
+    """
     tokens = len(KINDS)
     along = Window.partitionBy("row").orderBy("start", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    holder = F.last(F.when(F.col("kind") == tokens, F.struct("start", "stop")), ignorenulls=True).over(along)
-    seeds = placed.withColumn("holder", holder).filter(F.col("holder").isNotNull()).groupBy("row", "holder")
-    seeds = seeds.agg(F.min(F.when(F.col("kind") < tokens, F.col("kind"))).alias("kind"), F.max(F.when(F.col("kind") == tokens, F.struct("m", "before", "behind"))).alias("t"))
+    is_token = F.col("kind") == tokens
+    holder = F.last(F.when(is_token, F.struct("start", "stop")), ignorenulls=True).over(along)
+    reach = F.max(F.when(~is_token, F.col("stop"))).over(along)
+    held = placed.withColumns({"holder": holder, "reach": reach}).filter(F.col("holder").isNotNull()).groupBy("row", "holder")
+    seed = F.min(F.when(~is_token, F.struct("kind", "m")))
+    each = held.agg(seed.alias("seed"), F.max(F.when(is_token, F.struct("m", "before", "behind", F.coalesce("reach", F.lit(0)).alias("reach")))).alias("t"))
+    each = each.filter(F.col("seed").isNotNull() | (F.col("t.reach") <= F.col("holder.start")))
     word = lambda k: F.coalesce(F.try_element_at(F.filter(F.split(F.col("t.before"), SPACES), lambda w: w != ""), F.lit(-k)), F.lit("<s>"))
     after = F.coalesce(F.get(F.filter(F.split(F.col("t.behind"), SPACES), lambda w: w != ""), F.lit(0)), F.lit("</s>"))
     patterns = F.array(F.concat_ws(" ", F.lit("2"), word(2), word(1)), F.concat_ws(" ", F.lit("1"), word(1), F.lit("_"), after))
-    return seeds.select("row", F.col("holder.start").alias("start"), F.col("holder.stop").alias("stop"), F.col("t.m").alias("instance"), "kind", patterns.alias("patterns"))
+    head, tail = F.length(F.regexp_extract("t.m", HEAD_MARKS, 0)), F.length(F.regexp_extract("t.m", TAIL_MARKS, 0))
+    bare = F.regexp_replace(F.regexp_replace("t.m", HEAD_MARKS, ""), TAIL_MARKS, "")
+    return each.select("row", (F.col("holder.start") + head).alias("start"), (F.col("holder.stop") - tail).alias("stop"), F.coalesce("seed.m", bare).alias("instance"), F.col("seed.kind").alias("kind"), patterns.alias("patterns"))
 
 
 def scored_patterns(occ: DataFrame, support: int, rounds: int) -> DataFrame:
