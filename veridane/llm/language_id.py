@@ -34,9 +34,26 @@ from veridane.llm.word_bpe_text import LETTER, char_classes, code_points
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+#: Characters that are hashed at a time; n-grams don't cross multiples of it in a text, so memory doesn't follow long texts.
+BLOCK = 1 << 18
 GAP = np.uint64(0x20)
 
 
+def blocks(texts: list[str], size: int = BLOCK) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in order, cut every `size` characters, in groups of about `size` characters: (numbers of texts, parts)."""
+    numbers, parts, held = [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, len(text), size):
+            numbers.append(k)
+            parts.append(text[at : at + size])
+            held += len(parts[-1])
+            if held >= size:
+                yield numbers, parts
+                numbers, parts, held = [], [], 0
+    if parts:
+        yield numbers, parts
+
+
 def grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every n-gram of the texts, by document."""
     lowered = [t.lower() for t in texts]
@@ -72,9 +89,14 @@ class Model:
         n, k = len(texts), len(self.languages)
         if not k:
             return [UNKNOWN] * n, np.zeros(n)
-        doc, bucket = grams(texts, len(self.log_p))
-        count = np.bincount(doc, minlength=n)
-        total = np.stack([np.bincount(doc, weights=self.log_p[bucket, j], minlength=n) for j in range(k)], axis=1)
+        count, total = np.zeros(n, np.int64), np.zeros((n, k))
+        for numbers, parts in blocks(texts):
+            of = np.array(numbers)
+            doc, bucket = grams(parts, len(self.log_p))
+            doc = of[doc]
+            count += np.bincount(doc, minlength=n)
+            for j in range(k):
+                total[:, j] += np.bincount(doc, weights=self.log_p[bucket, j], minlength=n)
         has = count > 0
         mean = total / np.maximum(count, 1)[:, None]
         z = mean * np.minimum(count, evidence)[:, None] + self.prior
@@ -105,9 +127,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         table = np.zeros((len(number), buckets), np.int64)
         for batch in (y for x in batches for y in slices(x, "text", 4 << 20)):
             lang = np.array([number[x] for x in column(batch, "lang").to_pylist()], np.int64)
-            if len(lang):
-                doc, bucket = grams(column(batch, "text").to_pylist(), buckets)
-                table += np.bincount(lang[doc] * buckets + bucket, minlength=table.size).reshape(table.shape)
+            for numbers, parts in blocks(column(batch, "text").to_pylist()):
+                doc, bucket = grams(parts, buckets)
+                table += np.bincount(lang[np.array(numbers)][doc] * buckets + bucket, minlength=table.size).reshape(table.shape)
         k, b = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b), pa.array(table[k, b])], names=["k", "b", "n"])
 
