@@ -63,6 +63,14 @@ def test_rule_files_agree(spark, tmp_path):
     assert shape(loaded) == shape(rules.rule_table(spark))
 
 
+def test_definitions(spark, tmp_path):
+    about = {"citation": "c", "title": "t", "effective_dates": "now", "notes": "n"}
+    (tmp_path / "u.json").write_text(json.dumps({"section_metadata": about, "definitions": [{"term": "X", "text": "a thing", "scope": "all"}, {"term": "Z"}]}, indent=2))
+    assert [tuple(r) for r in files.definitions_from_units(spark, str(tmp_path / "u.json")).collect()] == [("X", "a thing", "all"), ("Z", None, None)]
+    assert files.section_from_units(spark, str(tmp_path / "u.json")).first().asDict() == about
+    assert files.rules_from_units(spark, str(tmp_path / "u.json")).count() == 0
+
+
 def test_question_files(spark, tmp_path):
     data = [{"id": "a", "answer": "1", "original_question": "q", "statements": {"statement_2": "x", "statement_1": "y"}}, {"id": "b", "answer": "2", "statements": None}]
     (tmp_path / "q.json").write_text(json.dumps(data, indent=2))

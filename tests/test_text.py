@@ -92,3 +92,10 @@ def test_routing(spark):
     assert {r["id"]: (r["old_count"], r["new_count"]) for r in clean.change_log(clean.clean(q)).collect()} == {"2023_29": (1, 2), "2022_08": (1, 1)}
     t = clean.totals(clean.clean(q)).first()
     assert (t["records"], t["before"], t["after"], t["warning"]) == (5, 4, 5, "expected 315 statements")
+
+
+def test_nothing(spark):
+    q = records(spark, ("x", None, None)).limit(0)
+    assert validate.problems(q).count() == 0 and clean.change_log(clean.clean(q)).count() == 0
+    assert validate.gate(q).first()["verdict"] == "record count"
+    assert clean.totals(clean.clean(q)).first()["after"] == 0

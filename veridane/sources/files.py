@@ -37,6 +37,18 @@ def rules_from_units(spark: SparkSession, path: str) -> DataFrame:
     return units.select(F.lit("de_jure").alias("dsl"), F.col("u.rule_id").alias("rule_id"), F.when(F.col("u.statement.action") == "award", "AWARDED").otherwise("DENIED").alias("outcome"), conditions.alias("conditions"))
 
 
+def definitions_from_units(spark: SparkSession, path: str) -> DataFrame:
+    """(term, text, scope) of a rule-unit file's definitions."""
+    schema = "definitions ARRAY<STRUCT<term:STRING,text:STRING,scope:STRING>>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("definitions"))
+
+
+def section_from_units(spark: SparkSession, path: str) -> DataFrame:
+    """(citation, title, effective_dates, notes) of a rule-unit file, one row."""
+    schema = "section_metadata STRUCT<citation:STRING,title:STRING,effective_dates:STRING,notes:STRING>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select("section_metadata.*")
+
+
 def named(operand):
     """The variable of an operand's address."""
     return F.when(F.endswith(operand, F.lit("substituteAvailable")), "Z").when(F.endswith(operand, F.lit("infringingProductAvailable")), "X").otherwise(operand)
