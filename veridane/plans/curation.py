@@ -14,9 +14,10 @@ ENTRIES = "array<struct<key:string,value:string>>"
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, original_question, statements): four layouts by id modulo 4; statements null, out of order, or with a spaced label."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.substring("text", 1, 90), "\n", " ").alias("t"))
-    a, b, c = (F.substring("t", k, 30) for k in (1, 31, 61))
+    """(id, original_question, statements) of each document: its whole text in thirds, in four layouts by id; statements null, out of order, or with a spaced label."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", " ").alias("t"))
+    third = F.expr("length(t) div 3").cast("int")
+    a, b, c = F.substring("t", F.lit(1), third), F.substring("t", third + 1, third), F.substring("t", 2 * third + 1, F.length("t"))
     n = F.col("doc_id")
     source = (
         F.when(n % 4 == 0, F.concat(F.lit("Intro <statements> (a) . "), a, F.lit(" (b) "), b, F.lit(" (c) "), c, F.lit(" <choices> ① x")))
@@ -54,8 +55,8 @@ def sql_comparable(x: str) -> str:
     return sql_trim(f"regexp_replace({labels}, '{WS}+', ' ', 'g')")
 
 
-QUESTIONS = f"""WITH d AS (SELECT doc_id AS n, replace(text[1:90], chr(10), ' ') AS t FROM documents),
-    s AS (SELECT n, t[1:30] AS a, t[31:60] AS b, t[61:90] AS c FROM d),
+QUESTIONS = f"""WITH d AS (SELECT doc_id AS n, replace(text, chr(10), ' ') AS t, length(text) // 3 AS k FROM documents),
+    s AS (SELECT n, substring(t, 1, k) AS a, substring(t, k + 1, k) AS b, substring(t, 2 * k + 1) AS c FROM d),
     q AS (SELECT CASE WHEN n < {len(IDS)} THEN [{quoted(*IDS)}][n + 1] ELSE 'q' || n END AS id,
       CASE n % 4 WHEN 0 THEN 'Intro <statements> (a) . ' || a || ' (b) ' || b || ' (c) ' || c || ' <choices> ① x' WHEN 1 THEN 'Intro <choices> ① ' || a || ' ② ' || b
         WHEN 2 THEN '(a) ' || a || ' (b) ' || b || ' <question> which' ELSE 'plain ' || a END AS original_question,
