@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from veridane.llm.word_bpe_text import SPACE, char_classes, code_points, utf8_lengths, word_starts
+from veridane.llm.word_bpe_text import SPACE, code_points, split_classes, utf8_lengths, word_starts
 
 NONE = np.int64(1 << 40)
 
@@ -338,7 +338,7 @@ class SpeculativeBpe:
 
     def _cuts(self, text: str) -> Iterator[str]:
         """Parts of at most window_chars, cut before white space behind other text; a part grows if it has no such place."""
-        at, kinds = 0, char_classes()
+        at, kinds = 0, split_classes()
         while len(text) - at > self.window_chars:
             size = self.window_chars
             while True:

@@ -26,7 +26,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 @functools.cache
 def char_classes() -> np.ndarray:
-    """Class of each code point, as one byte."""
+    """Class of each code point by Python's Unicode tables, as one byte."""
     table = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         kind = unicodedata.category(chr(c))[0]
@@ -38,6 +38,29 @@ def char_classes() -> np.ndarray:
     return table
 
 
+#: Planes in which Unicode assigns nothing.
+EMPTY_PLANES = range(4, 14)
+
+
+@functools.cache
+def split_classes() -> np.ndarray:
+    """Class of each code point as the tokenizers library's split rule sees it.
+
+    Its Unicode tables may be newer than Python's, so it is asked about all
+    code points that Python's don't know.
+    """
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    table = char_classes().copy()
+    unknown = np.array([c for c in range(0x110000) if c >> 16 not in EMPTY_PLANES and unicodedata.category(chr(c)) == "Cn"])
+    text = "".join(map(chr, unknown.tolist()))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for _, (start, stop) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            table[unknown[start:stop]] = kind
+    return table
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -55,7 +78,7 @@ def word_starts(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = char_classes()[points]
+    kind = split_classes()[points]
     first = np.zeros(n, bool)  # of a text
     first[breaks[breaks < n]] = True
     last = np.empty(n, bool)
