@@ -11,12 +11,15 @@ INSTRUCTION_PHRASES = ("<statements>", "<choices>", "<question>", "which of the
 #: What a finished statement ends with.
 FINAL_MARKS = (".", "?", "!", "}", "’", '"', "'", "”", "）", ")")
 
+#: The characters of Unicode's White_Space property.
+WHITE_SPACE = "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 MIN_STATEMENT_CHARS = 10
 
 
 def trim_ws(c: Column) -> Column:
     """Without Unicode white space at either end (U+001C to U+001F are not taken for white space)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def statement_text(c: Column) -> Column:

@@ -29,50 +29,40 @@ def let(value: Column, use) -> Column:
 
 def find(text: Column, what: str, after: Column | None = None) -> Column:
     """1-based place of `what` in text at or behind `after`; 0 if there is none."""
-    if after is None:
-        return F.instr(text, what)
-    rest = F.instr(F.substring(text, after, F.length(text)), what)
-    return F.when(rest > 0, rest + after - 1).otherwise(0)
+    return F.instr(text, what) if after is None else F.position(F.lit(what), text, after)
 
 
 def span_between(text: Column, start: str, end: str) -> Column:
     """What stands between the first `start` and the first `end` behind it, trimmed; null if a mark is missing or nothing is left."""
-    a = find(text, start)
-    begin = a + len(start)
-    b = find(text, end, begin)
-    return F.when((a > 0) & (b > 0), F.nullif(trim_ws(F.substring(text, begin, b - begin)), F.lit("")))
+    begin = let(find(text, start), lambda a: F.when(a > 0, a + len(start)))
+    ends = let(begin, lambda a: F.named_struct(F.lit("a"), a, F.lit("b"), find(text, end, a)))
+    return let(ends, lambda p: F.when(p["b"] > 0, F.nullif(trim_ws(F.substring(text, p["a"], p["b"] - p["a"])), F.lit(""))))
 
 
 def label_scheme(span: Column) -> Column:
-    """'circled', 'letters' or null, by which scheme's first label comes first; letters win a tie that can't occur."""
-
-    def first(labels: tuple[str, ...]) -> Column:
-        return F.array_min(F.filter(F.array(*[find(span, x) for x in labels]), lambda p: p > 0))
-
-    c, a = first(CIRCLED), first(LETTERS)
-    return F.when(c.isNotNull() & (a.isNull() | (c < a)), "circled").when(a.isNotNull(), "letters")
+    """'circled', 'letters' or null, by the scheme of the first label of either in the text."""
+    first = F.regexp_extract(span, r"[①②③④⑤]|\([a-e]\)", 0)
+    return let(first, lambda m: F.when(F.startswith(m, F.lit("(")), "letters").when(m != "", "circled"))
 
 
 def split_labels(span: Column, labels: tuple[str, ...]) -> Column:
     """Entries (key, value) of the pieces that begin at each expected label in turn; stops at the first that is missing; null if none is there."""
-    at = [find(span, labels[0])]
-    for before, label in zip(labels, labels[1:], strict=False):
-        previous = at[-1]
-        at.append(F.when(previous > 0, find(span, label, previous + len(before))).otherwise(0))
-
-    def cut(t: Column) -> Column:
-        pieces = []
-        for k in range(len(labels)):
-            end = F.when(t[f"p{k + 1}"] > 0, t[f"p{k + 1}"]).otherwise(F.length(t["s"]) + 1) if k + 1 < len(labels) else F.length(t["s"]) + 1
-            piece = statement_text(F.substring(t["s"], t[f"p{k}"], end - t[f"p{k}"]))
-            pieces.append(F.when(t[f"p{k}"] > 0, F.named_struct(F.lit("key"), F.lit(f"statement_{k + 1}"), F.lit("value"), piece)))
-        return F.filter(F.array(*pieces), lambda x: x.isNotNull())
-
-    fields = [F.lit("s"), span]
-    for k, p in enumerate(at):
-        fields += [F.lit(f"p{k}"), p]
-    found = let(F.named_struct(*fields), cut)
-    return F.when(F.size(found) > 0, found)
+
+    def step(state: Column, label: Column) -> Column:
+        at = F.when(state["behind"] > 0, F.position(label, span, state["behind"])).otherwise(0)
+        return let(at, lambda p: F.named_struct(F.lit("at"), F.concat(state["at"], F.array(p)), F.lit("behind"), F.when(p > 0, p + F.length(label)).otherwise(0)))
+
+    start = F.named_struct(F.lit("at"), F.array().cast("array<int>"), F.lit("behind"), F.lit(1))
+    places = F.aggregate(F.array(*[F.lit(x) for x in labels]), start, step, lambda state: F.filter(state["at"], lambda p: p > 0))
+
+    def cut(at: Column) -> Column:
+        def piece(p: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(at, k + 1), F.length(span) + 1)
+            return F.named_struct(F.lit("key"), F.concat(F.lit("statement_"), (k + 1).cast("string")), F.lit("value"), statement_text(F.substring(span, p, stop - p)))
+
+        return F.when(F.size(at) > 0, F.transform(at, piece))
+
+    return let(places, cut)
 
 
 def source_span(question: Column) -> Column:
@@ -93,8 +83,7 @@ def resegment(question: Column) -> Column:
     """Statements as entries (key, value) from a question's text; null if it has no labelled statements."""
 
     def split(span: Column) -> Column:
-        scheme = label_scheme(span)
-        return F.when(scheme == "circled", split_labels(span, CIRCLED)).when(scheme == "letters", split_labels(span, LETTERS))
+        return let(label_scheme(span), lambda s: F.when(s == "circled", split_labels(span, CIRCLED)).when(s == "letters", split_labels(span, LETTERS)))
 
     return let(source_span(F.coalesce(question, F.lit(""))), split)
 
