@@ -6,9 +6,9 @@ sections, which end where a paragraph's digest says so, so an edit moves no
 boundary elsewhere; the root digests the sections. Equal roots mean equal texts,
 and where roots differ, only differing branches are followed to locate an edit.
 
-A fingerprint is the root and a sketch of the leaves: the ``SKETCH`` smallest
-of their 32-bit hashes (all of them in most documents). Likeness is the share
-of leaves in common (Dice), estimated from two sketches; 1 for equal roots.
+A fingerprint is the root and the 32-bit hashes of all leaves, in ascending
+order and as often as they occur, whatever the length of the text. Likeness is
+the share of leaves in common (Dice, with counts); 1 for equal roots.
 
 Pairs of neighbours: a document's edited text takes text from the next one in
 descending order of id. The order is dealt out in ranges of ids; each range also
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from veridane.llm.bpe_speculative import column, slices
 
 LEAF = re.compile(r"[^\n]{24,96}?(?:\x20(?=[bdfhmr])|(?<=[.!?])\x20)|[^\n]{1,96}")
-SKETCH = 128
+#: Leaf hashes a fingerprint keeps, as the end of a slice: all of them.
+SKETCH = None
 SECTION_EVERY = 8
 LAST = -(1 << 63)
 
@@ -73,24 +75,18 @@ def tree(text: str | None) -> Tree:
 
 
 def fingerprint(t: Tree) -> str:
-    """Root, a colon, and the sketch: up to SKETCH leaf hashes of 8 hex digits, ascending."""
-    return t.root.hex() + ":" + "".join(sorted({x[:4].hex() for x in t.leaves})[:SKETCH])
+    """Root, a colon, and all leaf hashes of 8 hex digits, ascending."""
+    return t.root.hex() + ":" + "".join(sorted(x[:4].hex() for x in t.leaves))
 
 
 def likeness(a: str, b: str) -> float:
     """Share of leaves in common, from two fingerprints; 0 to 1."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = ([f[k : k + 8] for k in range(33, len(f), 8)] for f in (a, b))
+    x, y = (Counter(f[k : k + 8] for k in range(33, len(f), 8)) for f in (a, b))
     if not x or not y:
         return 0.0
-    # Bottom-k: of the smallest hashes of the union, how many are in both? Whole sketches show all their leaves.
-    whole = min(len(s) for s in (x, y)) < SKETCH and max(len(x), len(y)) < SKETCH
-    union = sorted({*x, *y})
-    union = union if whole else union[:SKETCH]
-    both = len({*x} & {*y} & {*union})
-    jaccard = both / len(union)
-    return 2 * jaccard / (1 + jaccard)
+    return 2 * (x & y).total() / (x.total() + y.total())
 
 
 def first_difference(a: Tree, b: Tree) -> int | None:
