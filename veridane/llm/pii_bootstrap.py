@@ -8,7 +8,9 @@
    match ended, so they are linear in a text's length and never recurse.
 2. *Seeds.* A token in which a valid base match begins is an instance of its kind.
 3. *Patterns.* Two lexical contexts of a token: the two words before it, and the
-   word before with the word behind. Pattern-instance pairs make a graph.
+   word before with the word behind; for a seed, behind the token in which its base
+   span ends. Any word counts, with digits or not; <s> and </s> stand for words
+   beyond the text's ends, digests for long words. Pattern-instance pairs make a graph.
 4. *Rounds.* A pattern's score for a kind is the sum of its instances' scores
    for it over its number of distinct instances plus one; patterns with fewer
    than ``support`` distinct seeds of the kind don't count. An instance's score
@@ -43,20 +45,35 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^0-9@\x20\x09-\x0D]*+[0-9@])[^\x20\x09-\x0D]++"
 HEAD_MARKS, TAIL_MARKS = r"^[(\[<{\x22\x27]++", r"(?<![.,;:!?)\]>}\x22\x27])[.,;:!?)\]>}\x22\x27]++$"
-NEAR = 120
+LONG = 64
 SPACES = r"[\x20\x09-\x0D]+"
+#: A text's first word, and its last two in a reversed text.
+FIRST = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)"
+LAST_TWO = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?+"
 SPAN = "struct<start:bigint,kind:int,stop:bigint>"
 
 
+def word_of(w: Column) -> Column:
+    """A word as patterns hold it: in lower case, long ones as digests."""
+    w = F.lower(w)
+    return F.when(F.length(w) > LONG, F.md5(w)).otherwise(w)
+
+
+def last_two(text: Column) -> Column:
+    """Array of a text's last two words, or of as many as there are."""
+    words = F.split(F.reverse(F.regexp_extract(F.reverse(text), LAST_TWO, 0)), SPACES)
+    return F.transform(F.filter(words, lambda w: w != ""), word_of)
+
+
 def pieces(text: Column, pattern: str, contexts: bool) -> Column:
-    """Structs of each match in order: length of the text before it back to the last match, the match, and on demand the text around."""
+    """Structs of each match in order: length of the text before it back to the last match, the match, and on demand the nearest words between it and the matches around."""
     parts = F.split(text, pattern, -1)
     zipped = F.arrays_zip(parts.alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(parts, 2, F.size(parts)).alias("h"))
 
     def one(x: Column) -> Column:
         fields = [F.lit("gap"), F.length(x["g"]), F.lit("m"), x["m"]]
         if contexts:
-            fields += [F.lit("before"), F.lower(F.right(x["g"], F.lit(NEAR))), F.lit("behind"), F.lower(F.left(x["h"], F.lit(NEAR)))]
+            fields += [F.lit("before"), last_two(x["g"]), F.lit("behind"), F.nullif(word_of(F.regexp_extract(x["h"], FIRST, 1)), F.lit(""))]
         return F.named_struct(*fields)
 
     return F.filter(F.transform(zipped, one), lambda x: x["m"].isNotNull())
@@ -77,7 +94,7 @@ def of_kind(k: int):
     around = k == len(KINDS)
 
     def one(x: Column) -> Column:
-        before, behind = (x["before"], x["behind"]) if around else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+        before, behind = (x["before"], x["behind"]) if around else (F.lit(None).cast("array<string>"), F.lit(None).cast("string"))
         return F.named_struct(F.lit("kind"), F.lit(k), F.lit("gap"), x["gap"], F.lit("m"), x["m"], F.lit("before"), before, F.lit("behind"), behind)
 
     return one
@@ -91,7 +108,7 @@ def scan(rows: DataFrame) -> DataFrame:
     """rows (row, text, ...) without text, with `found`: (kind, gap, m, before, behind) of all matches; kind 4 are tokens."""
     text = F.coalesce(F.col("text"), F.lit(""))
     with_digit = text.rlike("[0-9@]")
-    empty = "array<struct<kind:int,gap:int,m:string,before:string,behind:string>>"
+    empty = "array<struct<kind:int,gap:int,m:string,before:array<string>,behind:string>>"
     found = []
     for k, kind in enumerate(KINDS):
         need = with_digit & F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else with_digit
@@ -103,12 +120,19 @@ def scan(rows: DataFrame) -> DataFrame:
 
 
 def places(scanned: DataFrame) -> DataFrame:
-    """(row, kind, start, stop, m, before, behind): valid base spans and tokens, with places in code points."""
+    """(row, kind, start, stop, m, left, right): valid base spans and tokens, with places in code points, and for tokens the two words before and the word behind."""
     each = scanned.select("row", F.posexplode("found").alias("i", "f")).select("row", "i", "f.*")
-    along = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("row", "kind").orderBy("i")
+    along = order.rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap").cast("long") + F.length("m")).over(along)
-    placed = each.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("m"))
-    return placed.filter(valid(F.col("kind"), F.col("m"))).select("row", "kind", "start", "stop", "m", "before", "behind")
+    # Between two tokens lie the words that aren't tokens, so two tokens back is far enough.
+    token = F.when(F.col("kind") == len(KINDS), word_of(F.col("m")))
+    back = lambda k: F.coalesce(F.array(F.lag(token, k).over(order)), F.array())
+    words = F.concat(F.array(F.lit("<s>"), F.lit("<s>")), back(2), F.coalesce(F.lag("before", 1).over(order), F.array().cast("array<string>")), back(1), F.col("before"))
+    left = F.filter(words, lambda w: w.isNotNull())
+    right = F.when(F.col("kind") == len(KINDS), F.coalesce("behind", F.lead(token, 1).over(order), F.lit("</s>")))
+    placed = each.withColumns({"stop": stop, "words": left, "right": right}).withColumn("start", F.col("stop") - F.length("m"))
+    return placed.filter(valid(F.col("kind"), F.col("m"))).select("row", "kind", "start", "stop", "m", F.slice("words", -2, 2).alias("left"), "right")
 
 
 def occurrences(placed: DataFrame) -> DataFrame:
@@ -117,17 +141,22 @@ def occurrences(placed: DataFrame) -> DataFrame:
     kind is the kind of a base span that begins in the token, and then instance its text; else null, and the token without marks at its ends.
     """
     tokens = len(KINDS)
-    along = Window.partitionBy("row").orderBy("start", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    # Base spans come twice, where they begin and at their last character, to meet both tokens.
     is_token = F.col("kind") == tokens
-    holder = F.last(F.when(is_token, F.struct("start", "stop")), ignorenulls=True).over(along)
+    ends = F.when(is_token, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    met = placed.withColumn("end", F.explode(ends)).withColumn("at", F.when(F.col("end"), F.col("stop") - 1).otherwise(F.col("start")))
+    along = Window.partitionBy("row").orderBy("at", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    token = F.last(F.when(is_token, F.struct("start", "stop", "right")), ignorenulls=True).over(along)
     reach = F.max(F.when(~is_token, F.col("stop"))).over(along)
-    held = placed.withColumns({"holder": holder, "reach": reach}).filter(F.col("holder").isNotNull()).groupBy("row", "holder")
-    seed = F.min(F.when(~is_token, F.struct("kind", "m")))
-    each = held.agg(seed.alias("seed"), F.max(F.when(is_token, F.struct("m", "before", "behind", F.coalesce("reach", F.lit(0)).alias("reach")))).alias("t"))
+    begun = lambda c: F.max(F.when(~F.col("end"), F.col(c)))
+    both = met.withColumns({"token": token, "reach": reach}).groupBy("row", "kind", "start")
+    both = both.agg(begun("m").alias("m"), begun("left").alias("left"), begun("reach").alias("reach"), F.max(F.when(~F.col("end"), F.struct("token.start", "token.stop"))).alias("holder"), F.max(F.when(is_token | F.col("end"), F.col("token.right"))).alias("right"))
+    held = both.filter(F.col("holder.start").isNotNull()).groupBy("row", "holder")
+    seed = F.min(F.when(~is_token, F.struct("kind", "m", "right")))
+    each = held.agg(seed.alias("seed"), F.max(F.when(is_token, F.struct("m", "left", "right", F.coalesce("reach", F.lit(0)).alias("reach")))).alias("t"))
     each = each.filter(F.col("seed").isNotNull() | (F.col("t.reach") <= F.col("holder.start")))
-    word = lambda k: F.coalesce(F.try_element_at(F.filter(F.split(F.col("t.before"), SPACES), lambda w: w != ""), F.lit(-k)), F.lit("<s>"))
-    after = F.coalesce(F.get(F.filter(F.split(F.col("t.behind"), SPACES), lambda w: w != ""), F.lit(0)), F.lit("</s>"))
-    patterns = F.array(F.concat_ws(" ", F.lit("2"), word(2), word(1)), F.concat_ws(" ", F.lit("1"), word(1), F.lit("_"), after))
+    last = F.get("t.left", F.lit(1))
+    patterns = F.array(F.concat_ws(" ", F.lit("2"), F.get("t.left", F.lit(0)), last), F.concat_ws(" ", F.lit("1"), last, F.lit("_"), F.coalesce("seed.right", "t.right")))
     head, tail = F.length(F.regexp_extract("t.m", HEAD_MARKS, 0)), F.length(F.regexp_extract("t.m", TAIL_MARKS, 0))
     bare = F.regexp_replace(F.regexp_replace("t.m", HEAD_MARKS, ""), TAIL_MARKS, "")
     return each.select("row", (F.col("holder.start") + head).alias("start"), (F.col("holder.stop") - tail).alias("stop"), F.coalesce("seed.m", bare).alias("instance"), F.col("seed.kind").alias("kind"), patterns.alias("patterns"))
