@@ -63,3 +63,14 @@ def test_words_around_a_spaced_phone_discover(spark):
     got = {x["doc_id"]: x["spans"] for x in pii_bootstrap.personal_data(df).collect()}
     at = texts[8].index("555-")
     assert got[8] == f"phone:{at}:{at + 12}"
+
+
+def test_discoveries_induce_patterns(spark):
+    """Numbers found by the seeds' words occur behind other words, which no seed shares, and those find one more."""
+    texts = [f"w{k} please call me on +1 555 100 20{k}0 now" for k in range(20)]
+    texts += [f"please call me on 555-100-90{k}0 or" for k in range(5)] + [f"fax them at 555-100-90{k}0 today" for k in range(5)]
+    texts += ["fax them at 555-777-1234 soon", "fax to 555-888-1234 soon"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in pii_bootstrap.personal_data(df).collect()}
+    at = texts[30].index("555-")
+    assert got[30] == f"phone:{at}:{at + 12}" and got[31] == ""

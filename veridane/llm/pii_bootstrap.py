@@ -12,9 +12,10 @@
    span ends. Any word counts, with digits or not; <s> and </s> stand for words
    beyond the text's ends, digests for long words. Pattern-instance pairs make a graph.
 4. *Rounds.* A pattern's score for a kind is the sum of its instances' scores
-   for it over its number of distinct instances plus one; patterns with fewer
-   than ``support`` distinct seeds of the kind don't count. An instance's score
-   is 1 for a seed, else the best score of its patterns. ``rounds`` times.
+   for it over its number of distinct instances plus one. An instance's score
+   is 1 for a seed, else the best score of its patterns. In each round a pattern
+   counts if at least ``support`` of its distinct instances are seeds of the kind or
+   have reached ``confidence``, so discoveries can induce patterns. ``rounds`` times.
 5. *Discovery.* Tokens that are no seeds and whose best pattern reaches
    ``confidence`` become spans of that kind.
 
@@ -162,27 +163,27 @@ def occurrences(placed: DataFrame) -> DataFrame:
     return each.select("row", (F.col("holder.start") + head).alias("start"), (F.col("holder.stop") - tail).alias("stop"), F.coalesce("seed.m", bare).alias("instance"), F.col("seed.kind").alias("kind"), patterns.alias("patterns"))
 
 
-def scored_patterns(occ: DataFrame, support: int, rounds: int) -> DataFrame:
+def scored_patterns(occ: DataFrame, support: int, rounds: int, confidence: float) -> DataFrame:
     """(pattern, kind, score) of the last round."""
-    pairs = occ.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.min("kind").alias("kind"))
-    # Only patterns with enough seeds of one kind can score; they alone go on.
-    seeded = pairs.filter("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    sizes = pairs.groupBy("pattern").agg(F.count("*").alias("n"))
-    usable = written(seeded.join(sizes, "pattern").select("pattern", F.col("kind").alias("of"), "n", "seeds"), "usable")
-    edges = written(pairs.join(usable, "pattern").select("pattern", "of", "n", "instance", (F.col("kind").isNotNull()).alias("seed"), (F.col("kind") == F.col("of")).alias("same")), "edges")
-    scores = written(usable.select("pattern", "of", (F.col("seeds") / (F.col("n") + 1)).alias("score")), "scores")
-    for _ in range(rounds - 1):
-        ranked = edges.join(scores, ["pattern", "of"])
-        best = written(ranked.groupBy("instance", "of").agg(F.max("score").alias("best")), "instances")
-        sums = edges.join(best, ["instance", "of"]).select("pattern", "of", "n", F.when(F.col("same"), F.lit(1.0)).when(F.col("seed"), F.lit(0.0)).otherwise(F.col("best")).alias("s"))
-        scores = written(sums.groupBy("pattern", "of", "n").agg(F.sum("s").alias("total")).select("pattern", "of", (F.col("total") / (F.col("n") + 1)).alias("score")), "scores")
+    pairs = written(occ.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance").agg(F.min("kind").alias("kind")), "pairs")
+    sizes = written(pairs.groupBy("pattern").agg(F.count("*").alias("n")), "sizes")
+    seeds = pairs.filter("kind IS NOT NULL").select("pattern", F.col("kind").alias("of"), F.lit(1.0).alias("s"))
+    open_ = pairs.filter("kind IS NULL").select("pattern", "instance")
+    known = seeds
+    for k in range(rounds):
+        # Only patterns with enough seeds or discovered instances of one kind score.
+        sums = known.groupBy("pattern", "of").agg(F.sum("s").alias("total"), F.count_if(F.col("s") >= confidence).alias("lent")).filter(F.col("lent") >= support)
+        scores = written(sums.join(sizes, "pattern").select("pattern", "of", (F.col("total") / (F.col("n") + 1)).alias("score")), "scores")
+        if k < rounds - 1:
+            best = written(pairs.join(scores, "pattern").groupBy("instance", "of").agg(F.max("score").alias("s")), "instances")
+            known = seeds.union(open_.join(best, "instance").select("pattern", "of", "s"))
     return scores.select("pattern", F.col("of").alias("kind"), "score")
 
 
 def spans(placed: DataFrame, support: int = 3, rounds: int = 3, confidence: float = 0.6) -> DataFrame:
     """(row, kind, start, stop, base) of all spans: base matches, and tokens that good patterns discover."""
     occ = written(occurrences(placed), "occurrences")
-    good = written(scored_patterns(occ, support, rounds).filter(F.col("score") >= confidence), "patterns")
+    good = written(scored_patterns(occ, support, rounds, confidence).filter(F.col("score") >= confidence), "patterns")
     open_ = occ.filter("kind IS NULL").select("row", "start", "stop", F.explode("patterns").alias("pattern"))
     best = open_.join(good, "pattern").groupBy("row", "start", "stop").agg(F.max(F.struct("score", "kind")).alias("b"))
     base = placed.filter(F.col("kind") < len(KINDS)).select("row", "kind", "start", "stop", F.lit(True).alias("base"))
