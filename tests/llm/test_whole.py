@@ -5,7 +5,7 @@ import re
 
 import brute
 
-from veridane.llm import merkle, pii_bootstrap
+from veridane.llm import merkle, pii_bootstrap, repetition
 
 # --- Merkle ------------------------------------------------------------------
 
@@ -74,3 +74,23 @@ def test_discoveries_induce_patterns(spark):
     got = {x["doc_id"]: x["spans"] for x in pii_bootstrap.personal_data(df).collect()}
     at = texts[30].index("555-")
     assert got[30] == f"phone:{at}:{at + 12}" and got[31] == ""
+
+
+# --- quality -----------------------------------------------------------------
+
+
+def test_longest_repeat_is_exact():
+    """Against all windows of words, with repeats below and above the limit; SQL and the other tests leave the length out."""
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefgh")
+    texts = [None, "", "a", "a b", "a a", "a a a a", *[" ".join(word() for _ in range(r.randint(0, 80))) for _ in range(60)]]
+    for n in (5, 49, 50, 51, 60):
+        passage = " ".join(f"p{k}" for k in range(n))
+        texts += [f"x {passage} y {passage} z", f"{passage} {passage}"]
+
+    def longest(t):
+        w = (t or "").split()
+        return max((k for k in range(1, len(w)) if len({tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) < len(w) - k + 1), default=0)
+
+    got = repetition.measure(texts)["longest_repeat"]
+    assert [int(x) for x in got] == [longest(t) for t in texts]
