@@ -14,7 +14,7 @@ ENTRIES = "array<struct<key:string,value:string>>"
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, original_question, statements) of each document: its whole text in thirds, in four layouts by id; statements null, out of order, or with a spaced label."""
+    """(id, original_question, statements) of each document: its text in thirds, in four layouts by id that hold all three, the first two or the first; statements, of the first two, null, out of order, or with a spaced label."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
     third = F.expr("length(t) div 3").cast("int")
     a, b, c = F.substring("t", F.lit(1), third), F.substring("t", third + 1, third), F.substring("t", 2 * third + 1, F.length("t"))
