@@ -37,20 +37,162 @@ def pii(text):
 
 
 def shown(spans):
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{ALL_KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def redacted(text):
+def redacted(text, spans=None):
+    """text with its spans, or its base spans, replaced by their kinds."""
     if text is None:
         return None
     out, at = [], 0
-    for a, k, b in pii(text):
+    for a, k, b in pii(text) if spans is None else spans:
         if a >= at:
-            out += [text[at:a], f"<{KINDS[k].upper()}>"]
+            out += [text[at:a], f"<{ALL_KINDS[k].upper()}>"]
         at = max(at, b)
     return "".join(out) + text[at:]
 
 
+# --- bootstrapped extraction, word by word --------------------------------------
+
+ALL_KINDS = (*KINDS, "secret")
+SPACE = "[^\x20\t-\r]+"
+
+
+def secrets(text):
+    """(start, 4, end) of values of named secrets and of key formats."""
+    from veridane.llm.pii_bootstrap import KEY_FORMATS, SECRET_NAME  # fixed values
+
+    value = r"(?P<v>(?=[A-Za-z+/=_.-]{0,200}[0-9])[A-Za-z0-9+/=_.-]{16,})"
+    named = rf"(?<![A-Za-z0-9])(?i:{SECRET_NAME})[\"']?[ \t]*[:=][ \t]*[\"']?{value}"
+    key = rf"(?<![A-Za-z0-9])(?P<w>{KEY_FORMATS})"
+    return [(m.start(m.lastgroup), 4, m.end(m.lastgroup)) for m in re.finditer(f"{named}|{key}", text)]
+
+
+def cue(w):
+    bare = re.sub("[0-9]+", "0", w.lstrip("([{\"'").rstrip(".,;!?)]}\"'"))
+    return bare or w
+
+
+def units(w):
+    m = re.fullmatch(r"(.+?)[\"']?([:=#]+)", w)
+    return [cue(m[1]), m[2]] if m else [cue(w)]
+
+
+def shape(t):
+    s = re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "9", t))
+    return s if len(s) <= 16 else "x"
+
+
+def whole(t):
+    return next((k for k, kind in enumerate(KINDS) if re.fullmatch(PII[kind], t, re.A) and passes(kind, t)), None)
+
+
+def allowed(t):
+    """Kinds that a candidate's form allows."""
+    d = re.sub("[^0-9]", "", t)
+    base = lambda k: re.fullmatch(PII[k], t) is not None
+    out = []
+    if len(re.split(r"@|\(at\)|\[at\]", t)) >= 2 and t.count("@") <= 1 and re.fullmatch(r"[^@]+(@|\(at\)|\[at\])[^@]+", t):
+        out.append(0)
+    part = r"[0-9]{1,3}"
+    dot = r"(\.|\[\.\]|\(\.\))"
+    if (t.count(":") >= 2 and set(t) <= set("0123456789abcdefABCDEF:.")) or (re.fullmatch(part + (dot + part) * 3, t) and set(t) - set("0123456789.")):
+        out.append(1)
+    if set(t) <= set("0123456789 ./_-") and t[0].isdigit() and t[-1].isdigit() and 12 <= len(d) <= 19 and luhn(d) and not base("card"):
+        out.append(2)
+    if set(t) <= set("0123456789+() ./-") and t[0] in "0123456789+(" and t[-1].isdigit() and 6 <= len(d) <= 15 and len(t) > 2 and not base("phone") and not re.fullmatch(r"[0-9]+(\.[0-9]+)+", t) and not (len(d) >= 14 and d == t):
+        out.append(3)
+    if len(t) >= 8 and " " not in t and "@" not in t and re.search("[A-Za-z]", t) and not re.fullmatch("[A-Za-z]+[0-9]{1,4}", t):
+        out.append(4)
+    return out
+
+
+def mentions(text):
+    """[(start, stop, instance, kind, own, kinds, patterns)] of a text."""
+    text = text or ""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(SPACE, text)]
+    spans = [*pii(text), *secrets(text)]
+    low = lambda w: hashlib.md5(w.lower().encode()).hexdigest() if len(w) > 64 else w.lower()
+    said = lambda k: "<s>" if k < 0 else "</s>" if k >= len(words) else low(words[k][2])
+    at = lambda p: next(k for k, (a, b, _) in enumerate(words) if a <= p < b)
+    groups, tokens = [], [k for k, w in enumerate(words) if re.search("[0-9@]", w[2])]
+    marks = r"(?:[\[<{\"']|\((?![0-9+]+\).))*"
+    label = rf"{marks}(?:[A-Za-z][A-Za-z_-]{{1,40}}[\"']?[:=#]+)?{marks}"
+    number = lambda w: re.fullmatch(r"[(+]*[0-9][0-9()/.+-]*[.,;:!?]*", w) is not None
+    for k in tokens:
+        a, b, w = words[k]
+        begun = sorted((x, kind, text[x:y], y) for x, kind, y in spans if a <= x < b)
+        if begun:
+            groups.append((k, k, begun[0]))
+        elif not any(x < a < y for x, _, y in spans):
+            last = groups[-1] if groups else None
+            if last and last[2] is None and last[1] == k - 1 and text[words[k - 1][1] : a] == " " and number(w) and number(re.sub(f"^{label}", "", words[k - 1][2])) and words[k - 1][2][-1] not in ".,;:!?":
+                groups[-1] = (last[0], k, None)
+            else:
+                groups.append((k, k, None))
+    out = []
+    for i, j, seed in groups:
+        a, b = words[i][0], words[j][1]
+        if seed:
+            head, t, stop = text[a : seed[0]], seed[2], seed[3]
+            behind = at(stop - 1) + 1
+        else:
+            m = " ".join(w for _, _, w in words[i : j + 1])
+            head = re.match(label, m)[0]
+            t = m[len(head) :].rstrip(".,;:!?)]>}\"'*$%&#")
+            stop, behind = a + len(head) + len(t), j + 1
+        if not t:
+            continue
+        own = None if seed else whole(t)
+        kind = seed[1] if seed else own
+        name = re.sub(r"[\"'(\[<{]+$", "", head.lower().lstrip("([<{\"'"))
+        before = [u for w in [said(i - 2), said(i - 1), *([name] if name else [])] for u in units(w)]
+        u2, u1 = before[-2:]
+        patterns = (f"2 {u2} {u1}", f"1 {u1} _ {cue(said(behind))}", f"s {u1} {shape(t)}")
+        instance = hashlib.md5(t.encode()).hexdigest() if len(t) > 64 else t
+        out.append((a + len(head), stop, instance, kind, own is not None, None if kind is not None else allowed(t), patterns))
+    return out
+
+
+def all_spans(texts, support=3, rounds=3, confidence=0.6):
+    """Sorted (start, kind, end) of all spans of each text, by plain scoring of the whole graph."""
+    found = [mentions(t) for t in texts]
+    kind_of, kinds_of = {}, {}
+    for ms in found:
+        for _, _, instance, kind, _, kinds, patterns in ms:
+            for p in patterns:
+                key = p, instance
+                kind_of[key] = min((k for k in (kind_of.get(key), kind) if k is not None), default=None)
+                kinds_of[key] = max(kinds_of.get(key) or [], kinds or [])
+    sizes = collections.Counter(p for p, _ in kind_of)
+    seeds = [(p, k, 1.0) for (p, _), k in kind_of.items() if k is not None]
+    known, scores = seeds, {}
+    for _ in range(rounds):
+        total, lent = collections.Counter(), collections.Counter()
+        for p, k, s in known:
+            total[p, k] += s
+            lent[p, k] += s >= confidence
+        scores = {(p, k): total[p, k] / (sizes[p] + 1) for p, k in total if lent[p, k] >= support}
+        best = {}
+        for (p, i), k in kind_of.items():
+            if k is None:
+                for of in kinds_of[p, i]:
+                    if (p, of) in scores:
+                        best[i, of] = max(best.get((i, of), 0), scores[p, of])
+        known = seeds + [(p, of, best[i, of]) for (p, i), k in kind_of.items() if k is None for of in range(5) if (i, of) in best]
+    out = []
+    for t, ms in zip(texts, found, strict=True):
+        spans = [*pii(t or ""), *secrets(t or "")]
+        for a, b, _, kind, own, kinds, patterns in ms:
+            good = [(scores[p, k], k) for p in patterns for k in kinds or () if scores.get((p, k), 0) >= confidence]
+            if own:
+                spans.append((a, kind, b))
+            elif kind is None and good:
+                spans.append((a, max(good)[1], b))
+        out.append(sorted(spans))
+    return out
+
+
 def quality(text, least=5, fraction=0.3, longest=50):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

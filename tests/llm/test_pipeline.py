@@ -19,10 +19,10 @@ def test_pipeline_equals_plain_stages(spark):
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{BASE}/documents.parquet").to_pylist()]
     good = [r for r in rows if brute.quality(r[1])[-1] and any(c.isalpha() for c in r[1])]
     single = {i for i, _, c in brute.component_ids(good) if i == c}
+    left = [(i, t) for i, t in good if i in single]
     expected = collections.defaultdict(list)
-    for i, t in good:
-        if i in single:
-            expected[i].append([*byte_ids(brute.redacted(t)), 0])
+    for (i, t), spans in zip(left, brute.all_spans([t for _, t in left]), strict=True):
+        expected[i].append([*byte_ids(brute.redacted(t, spans)), 0])
     check_packed(corpus_pipeline.run(spark, BASE).collect(), expected)
 
 

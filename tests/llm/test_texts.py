@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veridane.llm import chat_collapse, language_id, license_scan, merkle, pii_bootstrap, repetition, simhash_dedup
+from veridane.llm import chat_collapse, language_id, license_scan, merkle, repetition, simhash_dedup
 from veridane.llm.components import components
 
 BASE = "/root/testdata/sf0.001"
@@ -180,39 +180,6 @@ def test_components_of_a_path(spark):
     assert got == dict.fromkeys(range(n), 0) | {1000: 1000, 1001: 1000}
 
 
-# --- PII -------------------------------------------------------------------------
-
-
-def test_base_spans(docs, rows, empty):
-    got = collections.Counter(tuple(r) for r in pii_bootstrap.personal_data(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect())
-    want = collections.Counter()
-    for i, t in pairs_of(rows):
-        spans = brute.pii(t) if t is None or len(t) < 50000 or not t.startswith("x@y") else [(0, 0, len(t))]
-        want[i, *[sum(s[1] == k for s in spans) for k in range(4)], hashlib.sha256(brute.shown(spans).encode()).hexdigest()] += 1
-    assert got == want
-    assert pii_bootstrap.personal_data(empty).count() == 0
-
-
-def test_patterns_discover(spark):
-    """Four phones behind "call me on" teach the pattern; a phone in another form is found by it, a number elsewhere is not."""
-    texts = [f"word{k} call me on +1 555 100 20{k}0 now" for k in range(8)] + ["please call me on 555-100-9999 now", "there were 12345 sheep"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in pii_bootstrap.personal_data(df).collect()}
-    at = texts[8].index("555-")
-    assert got[8] == f"phone:{at}:{at + 12}" and got[9] == ""
-    assert all(got[k].split(",")[0] == brute.shown(brute.pii(texts[k])) for k in range(8))
-
-
-def test_redaction(docs, rows, empty):
-    out = pii_bootstrap.redact(docs)
-    assert out.columns == docs.columns
-    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
-    short = lambda t: t is None or not t.startswith("x@y")
-    want = collections.Counter((i, brute.redacted(t) if short(t) else "<EMAIL>") for i, t in pairs_of(rows))
-    assert got == want
-    assert pii_bootstrap.redact(empty).count() == 0
-
-
 # --- licenses ----------------------------------------------------------------------
 
 

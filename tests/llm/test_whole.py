@@ -1,11 +1,8 @@
 """Operators do the whole job: nothing is sampled, cut or left out by size."""
 
 import random
-import re
 
-import brute
-
-from veridane.llm import merkle, pii_bootstrap, repetition
+from veridane.llm import merkle, repetition
 
 # --- Merkle ------------------------------------------------------------------
 
@@ -23,59 +20,6 @@ def test_likeness_of_long_texts_is_exact():
     assert like(shared[:1] * 300, shared[:1] * 100) == 2 * 100 / 400
 
 
-# --- PII -------------------------------------------------------------------------
-
-
-def plain_contexts(text):
-    """{(instance, kind, patterns)} of a text, word by word."""
-    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x20\t-\r]+", text)]
-    spans = brute.pii(text)
-    at = lambda p: next(k for k, (a, b, _) in enumerate(words) if a <= p < b)
-    said = lambda k: "<s>" if k < 0 else "</s>" if k >= len(words) else words[k][2].lower()
-    out = set()
-    for k, (a, b, w) in enumerate(words):
-        begun = [(kind, text[x:y], y) for x, kind, y in spans if a <= x < b]
-        if not begun and (not re.search("[0-9@]", w) or any(x < a < y for x, _, y in spans)):
-            continue
-        kind, instance, end = min(begun) if begun else (None, w.lstrip("([<{\"'").rstrip(".,;:!?)]>}\"'"), b)
-        out.add((instance, kind, (f"2 {said(k - 2)} {said(k - 1)}", f"1 {said(k - 1)} _ {said(at(end - 1) + 1)}")))
-    return out
-
-
-def test_contexts_are_the_words_around(spark):
-    """Words with digits, spans of several tokens, tokens in a row, long words and long gaps."""
-    r = random.Random(3)
-    some = ["on", "Call", "a1", "7", "12,", "+1 555 100 2000", "4111 1111 1111 1111", "+1 - 555 100 2000.", "(x@y.zz)", "10.0.0.1", "at:", "v2", "w" * 60]
-    texts = ["".join(r.choice(some) + r.choice([" ", "  ", "\n", "\t"]) for _ in range(r.randint(1, 14))) for _ in range(60)]
-    texts += ["+1 555 100 2000 now", "1 2 3", "5", "room 12 line +1 555 100 2000 x9 end", "far" + " " * 300 + "off" + " " * 300 + "5" + " " * 300 + "end"]
-    rows = pii_bootstrap.scan(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
-    got = {k: set() for k in range(len(texts))}
-    for o in pii_bootstrap.occurrences(pii_bootstrap.places(rows)).collect():
-        got[o["row"]].add((o["instance"], o["kind"], tuple(o["patterns"])))
-    for k, t in enumerate(texts):
-        assert got[k] == plain_contexts(t), t
-
-
-def test_words_around_a_spaced_phone_discover(spark):
-    """Only the word before and the word behind are shared with the seeds."""
-    texts = [f"w{k} call{k} on +1 555 100 20{k}0 now" for k in range(8)] + ["please ring on 555-100-9999 now"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x["doc_id"]: x["spans"] for x in pii_bootstrap.personal_data(df).collect()}
-    at = texts[8].index("555-")
-    assert got[8] == f"phone:{at}:{at + 12}"
-
-
-def test_discoveries_induce_patterns(spark):
-    """Numbers found by the seeds' words occur behind other words, which no seed shares, and those find one more."""
-    texts = [f"w{k} please call me on +1 555 100 20{k}0 now" for k in range(20)]
-    texts += [f"please call me on 555-100-90{k}0 or" for k in range(5)] + [f"fax them at 555-100-90{k}0 today" for k in range(5)]
-    texts += ["fax them at 555-777-1234 soon", "fax to 555-888-1234 soon"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x["doc_id"]: x["spans"] for x in pii_bootstrap.personal_data(df).collect()}
-    at = texts[30].index("555-")
-    assert got[30] == f"phone:{at}:{at + 12}" and got[31] == ""
-
-
 # --- quality -----------------------------------------------------------------
 
 

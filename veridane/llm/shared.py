@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written within each open scope().
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset, as in local tests, one of our own is set."""
+    """A folder of this application in spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own; on a cluster it is an error, as executors don't share local folders."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridane-"))
         where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/veridane-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,4 +29,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _SCOPES:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veridane_path = path
+    return out
+
+
+def path_of(table: DataFrame) -> str | None:
+    """Where written() has put a table."""
+    return getattr(table, "_veridane_path", None) if "_veridane_path" in vars(table) else None
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables through Spark's own file system."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing reads any more."""
+    for t in tables:
+        if (path := path_of(t)) is not None:
+            removed(t.sparkSession, [path])
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, all tables written within but those put into the list it gives."""
+    made: list[str] = []
+    keep: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        held = {path_of(t) for t in keep}
+        removed(spark, [p for p in made if p not in held])
