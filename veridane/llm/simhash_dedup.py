@@ -3,32 +3,43 @@
 Fingerprints: 64 bits, each the majority over the XXH64 hashes (seed 42) of a
 document's three-word shingles, as in ``op9``'s contract.
 
-Search: a fingerprint is cut into 32 segments of 2 bits and mapped to the vector
-of their bit counts. The Manhattan distance of two vectors is at most the
-Hamming distance of the fingerprints, so links (Hamming <= 3) lie within
-Manhattan distance 3. The vector's two halves are grids of cells (the half's 16
-counts are a cell's coordinates): as the halves' distances add up to 3 at most,
-in one half it is 1 at most, so linked fingerprints lie in the same cell or in
-cells one step apart in one coordinate. Each fingerprint is put in its own cell
-of either half and looks into itself and the cells one step up; the range join
-is an equi-join on cells, and its candidates are verified by Hamming distance.
-
-Dense groups: only the components matter, so a linear pass links neighbours and
-first members of each cell first; cells whose members all are in one component
-already are dropped before the join, and pairs within a component are never
-made. What is left is joined without caps.
-
-Exact copies share a fingerprint and are one node. Scale: about 13 narrow rows
-for each half and distinct fingerprint, hash-partitioned by cell.
+Embedding: the bits are cut into groups of odd size (five of 11 bits, one of 9
+for links of 3 bits), and a group's segments are its adjacent pairs of bits, the
+last with the first, so segments overlap and lie in one group. A fingerprint's
+vector holds the bit count, 0 to 2, of each segment. A bit is in two segments, so
+the Manhattan distance of two vectors is at most twice the Hamming distance of
+the fingerprints, and half of it is a lower bound. Counts are kept as two bit
+masks (count >= 1, count = 2); distances are two popcounts.
+
+Grid: linked fingerprints differ in at most 3 of the 6 groups, so their vectors
+lie at distance 0 in at least 3 groups. For each choice of 3 groups the counts
+in these are a grid's cell, and the range join is an equi-join on the cells of
+20 grids. As group sizes are odd, counts around a group fix its bits, so a cell
+of 33 or 31 bits is as narrow as the bits allow: of two random fingerprints some
+6e-9 meet, 3 candidates for each of 1e9 distinct fingerprints (segments that
+don't overlap, in two halves, met 1000 times as often). What meets is tested by
+the Manhattan bound first and then by Hamming distance.
+
+Dense groups: only the components matter, so a linear pass first links neighbours
+and first members of each cell; cells whose members all are in one component
+already are dropped, and pairs within a component are never kept. What is left
+is joined without caps. Cells of more than ``BLOCK`` members are cut into blocks,
+in the linear pass as in the join of blocks with blocks, so no cell is one task.
+
+Exact copies share a fingerprint and are one node. Scale: 20 narrow rows for each
+distinct fingerprint, dealt out by cell; cells of one member go no further.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any
 other; null ids never become a component's id unless a component has no other;
-rows that repeat share their component.
+rows that repeat share their component, and of equal ids `keep_one` keeps the
+first row; texts of any length are hashed in blocks; empty tables give empty
+results; other columns, whatever their names, are kept by `keep_one` as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +49,11 @@ from pyspark.sql import types as T
 
 from veridane.llm.bpe_speculative import column, slices
 from veridane.llm.components import components
-from veridane.llm.shared import written
+from veridane.llm.shared import release, written
 
-SEGMENT_BITS, HALVES, RADIUS = 2, 2, 3
-HALF_BITS = 64 // HALVES
-CELLS = HALF_BITS // SEGMENT_BITS
+RADIUS = 3
+#: Members of a cell that are joined in one piece.
+BLOCK = 4096
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -80,53 +91,88 @@ def with_fingerprint(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def cell(half: int) -> Column:
-    """The cell of a half: the bit counts of its segments, base 4 in one long."""
-    bits = F.shiftrightunsigned(F.col("fp"), HALF_BITS * half).bitwiseAND(F.lit((1 << HALF_BITS) - 1))
-    low = int("01" * CELLS, 2)
-    return bits.bitwiseAND(F.lit(low)) + F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(low))
+def groups_of(radius: int) -> tuple[list[tuple[int, int]], int]:
+    """(first bit, bits) of each group, all of odd size, and how many of them linked fingerprints share at least."""
+    count = radius + 3 if radius % 2 else radius + 4  # an even number of odd sizes makes 64
+    base = 64 // count - (64 // count + 1) % 2
+    sizes = [base] * count
+    for k in range((64 - base * count) // 2):
+        sizes[k] += 2
+    starts = [sum(sizes[:k]) for k in range(count)]
+    return list(zip(starts, sizes, strict=True)), count - radius
 
 
-def cells(nodes: DataFrame) -> DataFrame:
-    """(half, cell, own, fp, comp): each fingerprint's own cells and those one step up."""
-    parts = []
-    for half in range(HALVES):
-        own = cell(half)
-        # A coordinate takes 2 bits: 00, 01 or 10. One step up exists unless it is 10.
-        ups = [F.when(F.shiftrightunsigned(own, 2 * k + 1).bitwiseAND(F.lit(1)) == 0, own + F.lit(1 << (2 * k))) for k in range(CELLS)]
-        looks = F.array(F.struct(own.alias("cell"), F.lit(True).alias("own")), *[F.struct(u.alias("cell"), F.lit(False).alias("own")) for u in ups])
-        parts.append(nodes.select(F.lit(half).alias("half"), F.explode(looks).alias("look"), "fp", "comp"))
-    both = parts[0].union(parts[1])
-    return both.select("half", "look.cell", "look.own", "fp", "comp").filter("cell IS NOT NULL")
+def signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+
+
+def embedding(fp: Column, radius: int = RADIUS) -> tuple[Column, Column]:
+    """Bit masks of the segments with a bit count of at least 1, and of 2; segment i is bits i and i + 1, around its group."""
+    groups, _ = groups_of(radius)
+    tops = sum(1 << (start + n - 1) for start, n in groups)
+    turned = F.shiftrightunsigned(fp, 1).bitwiseAND(signed(~tops & ((1 << 64) - 1)))
+    for n in sorted({n for _, n in groups}):
+        firsts = sum(1 << start for start, size in groups if size == n)
+        turned = turned.bitwiseOR(F.shiftleft(fp.bitwiseAND(signed(firsts)), n - 1))
+    return fp.bitwiseOR(turned), fp.bitwiseAND(turned)
+
+
+def cells(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(cell, fp): each fingerprint's cell in every grid, as a hash of the grid and its counts."""
+    groups, shared = groups_of(radius)
+    some, both = embedding(F.col("fp"), radius)
+    embedded = nodes.select("fp", some.alias("some"), both.alias("both"))
+    keys = []
+    for grid, chosen in enumerate(combinations(groups, shared)):
+        mask = signed(sum(((1 << n) - 1) << start for start, n in chosen))
+        keys.append(F.xxhash64(F.lit(grid), F.col("some").bitwiseAND(mask), F.col("both").bitwiseAND(mask)))
+    return embedded.select(F.explode(F.array(*keys)).alias("cell"), "fp")
 
 
 def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def manhattan(a: str, b: str, radius: int = RADIUS) -> Column:
+    """Distance of two vectors of segment counts."""
+    (some_a, both_a), (some_b, both_b) = embedding(F.col(a), radius), embedding(F.col(b), radius)
+    return F.bit_count(some_a.bitwiseXOR(some_b)) + F.bit_count(both_a.bitwiseXOR(both_b))
+
+
+def members_of(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(cell, block, blocks, head, fp) of all cells with more than one member."""
+    keyed = cells(nodes, radius)
+    sizes = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("head")).filter("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    joined = keyed.join(sizes, "cell").withColumn("blocks", blocks)
+    return joined.select("cell", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), "blocks", "head", "fp")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, comp_a, b, comp_b): pairs of different components that share a cell; members: (cell, block, blocks, fp, comp)."""
+    a = members.select("cell", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), F.col("fp").alias("a"), F.col("comp").alias("comp_a"))
+    b = members.select("cell", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"), F.col("fp").alias("b"), F.col("comp").alias("comp_b"))
+    return a.join(b, ["cell", "x", "y"]).filter((F.col("comp_a") != F.col("comp_b")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))).select("a", "comp_a", "b", "comp_b")
+
+
 def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, comp) of each distinct fp of prints: comp is the smallest fingerprint that it is linked to."""
-    if radius > RADIUS:
-        raise ValueError(f"the cells hold links of up to {RADIUS} bits")
     nodes = written(prints.select("fp").distinct(), "fingerprints")
-    own = nodes.withColumn("comp", F.col("fp"))
+    members = written(members_of(nodes, radius), "cells")
     # Linear pass: neighbours and first members of each cell.
-    exact = F.array(*[F.struct(F.lit(h).alias("half"), cell(h).alias("cell")) for h in range(HALVES)])
-    order = Window.partitionBy("half", "cell").orderBy("fp")
-    first = nodes.select(F.explode(exact).alias("c"), "fp").select("c.half", "c.cell", "fp").select("fp", F.lag("fp").over(order).alias("prior"), F.first("fp").over(order).alias("head"))
-    easy = first.select(F.col("fp").alias("a"), F.explode(F.array("prior", "head")).alias("b")).filter(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & (distance("a", "b") <= radius))
-    merged = components(easy).select(F.col("node").alias("fp"), F.col("label").alias("known"))
+    order = Window.partitionBy("cell", "block").orderBy("fp")
+    first = members.select(F.col("fp").alias("a"), F.lag("fp").over(order).alias("prior"), "head").select("a", F.explode(F.array("prior", "head")).alias("b"))
+    easy = components(first.filter(F.col("b").isNotNull() & (F.col("a") != F.col("b")) & (distance("a", "b") <= radius)).distinct())
+    merged = easy.select(F.col("node").alias("fp"), F.col("label").alias("known"))
     own = written(nodes.join(merged, "fp", "left").select("fp", F.coalesce("known", "fp").alias("comp")), "classes")
     # Range join on cells that hold more than one component.
-    group = Window.partitionBy("half", "cell")
-    mixed = cells(own).withColumns({"low": F.min("comp").over(group), "high": F.max("comp").over(group), "any_own": F.bool_or("own").over(group)})
-    mixed = written(mixed.filter("low <> high AND any_own").select("half", "cell", "own", "fp", "comp"), "cells")
-    a = mixed.filter("own").select("half", "cell", F.col("fp").alias("a"), F.col("comp").alias("comp_a"))
-    b = mixed.select("half", "cell", "own", F.col("fp").alias("b"), F.col("comp").alias("comp_b"))
-    found = a.join(b, ["half", "cell"]).filter((F.col("comp_a") != F.col("comp_b")) & (~F.col("own") | (F.col("a") < F.col("b"))) & (distance("a", "b") <= radius))
-    links = found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    final = components(links).select(F.col("node").alias("comp"), F.col("label").alias("final"))
-    return own.join(final, "comp", "left").select("fp", F.coalesce("final", "comp").alias("comp"))
+    classed = written(members.drop("head").join(own, "fp"), "classed")
+    mixed = classed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell")
+    live = written(classed.join(mixed, "cell", "left_semi"), "mixed")
+    found = candidates(live).filter((manhattan("a", "b", radius) <= 2 * radius) & (distance("a", "b") <= radius))
+    final = components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
+    release(nodes, members, classed, live)
+    return own.join(final.select(F.col("node").alias("comp"), F.col("label").alias("final")), "comp", "left").select("fp", F.coalesce("final", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
