@@ -6,16 +6,25 @@ of hashes (two of 64 bits) of (turn since the first, role, text). A conversation
 is dropped if its whole hash is the prefix hash of a longer one; of identical
 ones the one with the smallest id stays. What remains is rendered.
 
-Scale: texts are hashed at the scan, so only hashes are shuffled until
-rendering. Rolling hashes are made in blocks of ``BLOCK`` turns plus a prefix
-over blocks, so one endless conversation spreads over many tasks, and it is
-rendered in parts of ``BLOCK`` turns. Prefixes that many conversations share
-are combined before their shuffle; the anti-join is between distinct keys.
+Scale: texts are hashed at the scan, so only hashes are shuffled until rendering.
+Rows of one turn are combined into one hash before rolling hashes are made, in
+blocks of ``BLOCK`` turns plus a prefix over blocks, so one endless conversation
+spreads over many tasks. Prefixes that many conversations share are combined
+before their shuffle; the anti-join is between distinct keys. To render, the
+scan is joined with the kept conversations first: up to ``BROADCAST`` of them,
+which are counted, go to every task, so texts of dropped conversations are never
+shuffled; beyond that it is a join by conversation that Spark can split. A
+conversation is rendered in parts of ``BLOCK`` turns; one with more than ``CROWD``
+rows in such a part is cut further by a hash of the rows, so no list is unbounded.
 
 Edge cases: rows that repeat count once; several rows of one turn stay in the
-order of role and text, and a prefix ends behind all of them; a null id is a
-conversation of its own; a null turn counts as turn -1; null roles and texts
-differ from empty ones when compared and are rendered as empty.
+order of role and text, and a prefix ends behind all of them; a row without a
+conversation's id can't be tied to others and is a conversation of its one turn;
+a null turn counts as turn -1; null roles and texts differ from empty ones when
+compared and are rendered as empty; texts of any length are one string; ties
+between identical conversations go to the smallest id, a null one first; an empty
+table gives an empty result; further columns, whatever their names, are left out.
+Parts of a crowded conversation are numbered from 2**32 on for each further cut.
 """
 
 from __future__ import annotations
@@ -23,49 +32,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridane.llm.shared import written
+from veridane.llm.shared import release, written
 
-BLOCK = 1024
+BLOCK, CROWD, BROADCAST = 1024, 1 << 16, 1 << 20
 NO_ID = -(1 << 63)
+CHAT = ["conv", "lone"]
 
 
 def turns(chats: DataFrame) -> DataFrame:
-    """(conv, turn, role, text) with nulls in conv and turn replaced."""
-    return chats.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("conv"), F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"), "role", "text")
+    """(conv, lone, turn, h1, h2, role, text) with nulls in conv and turn replaced; lone tells rows without an id apart."""
+    said = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    h1, turn = F.xxhash64(*said), F.coalesce("turn", F.lit(-1)).cast("long")
+    lone = F.when(F.col("conv_id").isNull(), F.xxhash64(turn, h1)).otherwise(F.lit(0).cast("long"))
+    return chats.select(F.coalesce("conv_id", F.lit(NO_ID)).cast("long").alias("conv"), lone.alias("lone"), turn.alias("turn"), h1.alias("h1"), F.xxhash64(F.lit("second"), *said).alias("h2"), "role", "text")
 
 
 def rolling(chats: DataFrame) -> DataFrame:
-    """(conv, r, p1, p2, last): the hash of each conversation's turns up to r turns after its first."""
-    said = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    hashed = written(turns(chats).select("conv", "turn", F.xxhash64(*said).alias("h1"), F.xxhash64(F.lit("second"), *said).alias("h2")).distinct(), "turns")
-    span = written(hashed.groupBy("conv").agg(F.min("turn").alias("first"), F.max("turn").alias("final")), "spans")
-    r = F.col("turn") - F.col("first")
-    placed = hashed.join(span, "conv").select("conv", r.alias("r"), (F.col("final") - F.col("first")).alias("last"), F.xxhash64(r, "h1").alias("e1"), F.xxhash64(r, "h2", F.lit(1)).alias("e2"), F.floor(r / BLOCK).alias("block"))
-    placed = written(placed, "placed")
-    totals = placed.groupBy("conv", "block").agg(F.bit_xor("e1").alias("t1"), F.bit_xor("e2").alias("t2"))
-    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("conv", "block", F.bit_xor("t1").over(earlier).alias("b1"), F.bit_xor("t2").over(earlier).alias("b2"))
-    within = Window.partitionBy("conv", "block").orderBy("r")  # the default frame takes all rows of a turn
-    inner = placed.select("conv", "block", "r", "last", F.bit_xor("e1").over(within).alias("w1"), F.bit_xor("e2").over(within).alias("w2")).distinct()
-    return inner.join(before, ["conv", "block"]).select("conv", "r", F.expr("w1 ^ coalesce(b1, 0)").alias("p1"), F.expr("w2 ^ coalesce(b2, 0)").alias("p2"), "last")
+    """(conv, lone, r, p1, p2, last, first, rows): the hash of each conversation's turns up to r turns after its first, its first turn, and its number of rows."""
+    hashed = written(turns(chats).select(*CHAT, "turn", "h1", "h2").distinct(), "turns")
+    span = hashed.groupBy(*CHAT).agg(F.min("turn").alias("first"), F.max("turn").alias("final"), F.count("*").alias("rows"))
+    placed = hashed.join(span, CHAT).withColumn("r", F.col("turn") - F.col("first"))
+    # All rows of a turn as one, so a turn of many rows is no hot group.
+    placed = placed.groupBy(*CHAT, "r").agg(F.bit_xor(F.xxhash64("r", "h1")).alias("e1"), F.bit_xor(F.xxhash64("r", "h2", F.lit(1))).alias("e2"), F.max(F.struct((F.col("final") - F.col("first")).alias("last"), "first", "rows")).alias("of"))
+    placed = written(placed.withColumn("block", F.floor(F.col("r") / BLOCK)), "placed")
+    totals = placed.groupBy(*CHAT, "block").agg(F.bit_xor("e1").alias("t1"), F.bit_xor("e2").alias("t2"))
+    earlier = Window.partitionBy(*CHAT).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*CHAT, "block", F.bit_xor("t1").over(earlier).alias("b1"), F.bit_xor("t2").over(earlier).alias("b2"))
+    within = Window.partitionBy(*CHAT, "block").orderBy("r")
+    inner = placed.select(*CHAT, "block", "r", "of", F.bit_xor("e1").over(within).alias("w1"), F.bit_xor("e2").over(within).alias("w2"))
+    out = inner.join(before, [*CHAT, "block"]).select(*CHAT, "r", F.expr("w1 ^ coalesce(b1, 0)").alias("p1"), F.expr("w2 ^ coalesce(b2, 0)").alias("p2"), "of.last", "of.first", "of.rows")
+    out = written(out, "prefixes")
+    release(hashed, placed)
+    return out
 
 
 def maximal(chats: DataFrame) -> DataFrame:
-    """(conv, copies): conversations that are no proper prefix of another, one for each set of identical ones."""
-    prefixes = written(rolling(chats), "prefixes")
+    """(conv, lone, copies, first, rows): conversations that are no proper prefix of another, one for each set of identical ones."""
+    prefixes = rolling(chats)
     key = ["r", "p1", "p2"]
-    whole = prefixes.filter("r = last").groupBy(*key).agg(F.min("conv").alias("conv"), F.count("*").alias("copies"))
+    whole = prefixes.filter("r = last").groupBy(*key).agg(F.min(F.struct(*CHAT, "first", "rows")).alias("c"), F.count("*").alias("copies"))
     proper = prefixes.filter("r < last").select(*key).distinct()
-    return whole.join(proper, key, "left_anti").select("conv", "copies")
+    return whole.join(proper, key, "left_anti").select("c.conv", "c.lone", "copies", "c.first", "c.rows")
 
 
 def render(chats: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, copies, rendered) of each maximal conversation, in parts of BLOCK turns."""
     kept = written(maximal(chats), "maximal")
-    rows = turns(chats).distinct().join(kept, "conv")
-    span = kept.join(turns(chats).groupBy("conv").agg(F.min("turn").alias("first")), "conv").select("conv", "first")
-    rows = rows.join(span, "conv").withColumn("part", F.floor((F.col("turn") - F.col("first")) / BLOCK))
-    parts = rows.groupBy("conv", "part", "copies").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
+    small = kept.limit(BROADCAST + 1).count() <= BROADCAST
+    rows = turns(chats).join(F.broadcast(kept) if small else kept, CHAT)
+    cut = F.pmod(F.col("h1"), F.ceil(F.col("rows") / CROWD))
+    part = F.floor((F.col("turn") - F.col("first")) / BLOCK) + F.shiftleft(cut.cast("long"), 32)
+    parts = rows.withColumn("part", part).groupBy(*CHAT, "part", "copies").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("all"))
     line = lambda t: F.concat(F.lit("<|im_start|>"), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|im_end|>\n"))
     return parts.select(F.expr(f"nullif(conv, {NO_ID + 1} - 1)").alias("conv_id"), "part", F.size("all").cast("long").alias("n_turns"), "copies", F.array_join(F.transform("all", line), "").alias("rendered"))
 
