@@ -1,12 +1,17 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 Words of a text become rolling three-word grams; their hashes are joined to the
-positions of all grams of the license templates (a fixed list, so the broadcast
-is of fixed size), and the words themselves are compared in the join. A match of
-text word i and template word j votes for diagonal i - j. Votes are summed by
-diagonal; diagonals at most ``SHIFT`` apart are merged, which bridges inserted or
-missing words; a merged span is verified by the share of the template's words
-that it covers.
+positions of all grams of the license templates, and the words themselves are
+compared in the join. A match of text word i and template word j votes for
+diagonal i - j. Votes are summed by diagonal; diagonals at most ``SHIFT`` apart
+are merged, which bridges inserted or missing words, but no further than half
+the template's length from the diagonal with most votes, so chains of stray
+votes don't grow into spans. A merged span is verified by the share of the
+template's words that it covers.
+
+Templates are a table (label, notice), by default the public texts of
+`license_texts`. Their grams are counted: up to ``BROADCAST`` rows go to every
+task, beyond that the join is a shuffle by hash.
 
 One scan: each document's grams are made, joined and filtered in one stage; what
 is shuffled are the matches and one row a document. The row's number is made
@@ -16,7 +21,11 @@ The base rule's phrases are found among the same grams.
 
 Edge cases: a null text has no words; labels are an empty string where there are
 none, places null; non-ASCII letters are word characters, and lower-casing
-beyond A-Z changes no base result; rows that repeat are scanned each.
+beyond A-Z changes no base result; rows that repeat are scanned each, also with
+null ids; texts of any length are scanned whole; of diagonals with equal votes the
+greatest is the span's middle; an empty table of documents gives an empty result,
+one of templates base labels alone; templates of under three words are never
+found; other columns of documents, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -24,26 +33,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Public notices of common licenses. label, notice.
-TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Licensed under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
-
-GRAM, SHIFT, LEAST = 3, 3, 0.7
+from veridane.llm.license_texts import TEMPLATES
+
+SHIFT, LEAST = 3, 0.7
+#: Rows of template grams that are broadcast, of some 100 bytes.
+BROADCAST = 1 << 18
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -61,11 +55,13 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
+def public_templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(TEMPLATES), "label string, notice string")
+
+
+def template_grams(templates: DataFrame) -> DataFrame:
     """(hash, template, label, size, j, ta, tb, tc): a row for each gram of each template."""
-    rows = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("notice")) for k, (label, text) in enumerate(TEMPLATES)])
-    source = spark.range(1).select(F.inline(rows))
-    source = source.withColumn("w", words(F.col("notice"))).withColumn("size", F.size("w"))
+    source = templates.select(F.xxhash64("label", "notice").alias("template"), "label", words(F.col("notice")).alias("w")).distinct().withColumn("size", F.size("w"))
     grams = source.select("template", "label", "size", F.posexplode(zipped(F.col("w"))).alias("j", "g")).filter(F.col("g.c").isNotNull())
     return grams.select(F.xxhash64("g.a", "g.b", "g.c").alias("hash"), "template", "label", "size", "j", F.col("g.a").alias("ta"), F.col("g.b").alias("tb"), F.col("g.c").alias("tc"))
 
@@ -77,25 +73,30 @@ def phrase(g: Column, i: Column) -> Column:
     return F.when(label.isNotNull(), F.named_struct(F.lit("at"), i.cast("long"), F.lit("label"), label))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates: DataFrame | None = None) -> DataFrame:
     """A row for each document: words, base places and labels, all labels, and the best span's share of its template."""
     grams = once(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.array_contains(w, "license").alias("licensed"), zipped(w).alias("grams")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("row", "id", grams.alias("s"))
     places = F.when(F.col("s.licensed"), F.filter(F.transform(F.col("s.grams"), phrase), lambda p: p.isNotNull()))
     based = rows.select("row", "id", F.col("s.n_words").alias("n_words"), places.alias("places"), F.col("s.grams").alias("grams"))
     exploded = based.select("row", "id", "n_words", "places", F.posexplode_outer("grams").alias("i", "g"))
-    t = F.broadcast(template_grams(docs.sparkSession))
+    t = template_grams(public_templates(docs.sparkSession) if templates is None else templates)
+    if t.limit(BROADCAST + 1).count() <= BROADCAST:
+        t = F.broadcast(t)
     same = (F.xxhash64("g.a", "g.b", "g.c") == F.col("hash")) & (F.col("g.a") == F.col("ta")) & (F.col("g.b") == F.col("tb")) & (F.col("g.c") == F.col("tc"))
     # A document's first gram, matched or not, carries its base result; all other rows are matches.
     head = F.coalesce(F.col("i") == 0, F.lit(True))
     votes = exploded.join(t, same, "left").filter(head | F.col("template").isNotNull())
     votes = votes.select("row", F.when(head, F.struct("id", "n_words", "places")).alias("doc"), "template", "label", "size", F.col("i").alias("at"), "j", (F.col("i") - F.col("j")).alias("diagonal")).repartition("row")
     lines = votes.groupBy("row", "template", "label", "size", "diagonal").agg(F.max("doc").alias("doc"), F.min("at").alias("start"), F.collect_set("j").alias("hits"))
-    # Neighbouring diagonals make one span.
+    # Neighbouring diagonals make one span, about the one with most votes.
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT).cast("int"), F.lit(0))
-    spans = lines.withColumn("apart", apart).withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("row", "template", "label", "size", "span").agg(F.max("doc").alias("doc"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    chains = lines.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    middle = F.max(F.struct(F.size("hits").alias("votes"), "diagonal")).over(Window.partitionBy("row", "template", "chain"))["diagonal"]
+    width = F.greatest(F.col("size"), F.lit(2 * SHIFT))
+    chains = chains.withColumn("part", F.floor((F.col("diagonal") - middle + F.floor(width / 2)) / width))
+    spans = chains.groupBy("row", "template", "label", "size", "chain", "part").agg(F.max("doc").alias("doc"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda j: F.array(j, j + 1, j + 2)))))
     share = F.when(F.col("template").isNotNull(), covered / F.col("size"))
     found = spans.select("row", "doc", "label", share.alias("share"))
