@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import unicodedata
 
 KINDS = ("email", "ip", "card", "phone")
 PII = {
@@ -263,8 +264,54 @@ def edits(rows):
     return out
 
 
+def grams(text, buckets):
+    """Buckets of all n-grams of 1 to 3 characters with a letter, one by one."""
+    points = [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in text.lower()]
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            if any(points[i : i + n]):
+                m = 0
+                for p in points[i : i + n]:
+                    m = m * 0x100000001B3 + (p or 0x20) + 1
+                out.append((((m + n) * 0x9E3779B97F4A7C15) % (1 << 64) >> 40) % buckets)
+    return out
+
+
+def leaves(text):
+    """Leaves of a text, cut character by character."""
+
+    def ends_here(t):
+        rolled = 0
+        for k, c in enumerate(reversed(t[-8:])):
+            mixed = ord(c) * 0x9E3779B1 & 0xFFFFFFFF
+            rolled += (mixed ^ mixed >> 15) * pow(0x01000193, k, 1 << 32)
+        return (rolled * 0x85EBCA6B & 0xFFFFFFFF) < 1 << 27
+
+    out = []
+    for line in (text or "").split("\n"):
+        leaf = ""
+        for c in line:
+            leaf += c
+            if len(leaf) >= 96 or (len(leaf) >= 16 and ends_here(leaf)):
+                out.append(leaf)
+                leaf = ""
+        out += [leaf] if leaf else []
+    return out
+
+
+def likeness(a, b):
+    """Share of leaves in common, with counts."""
+    x, y = collections.Counter(leaves(a)), collections.Counter(leaves(b))
+    return 1.0 if (a or "") == (b or "") else 2 * (x & y).total() / ((x + y).total() or 1)
+
+
+def license_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
+
+
 def phrases(text):
-    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    w = license_words(text)
     at, labels = [], set()
     for label, p in (("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])):
         for k in range(len(w)):
@@ -274,11 +321,41 @@ def phrases(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def voted(text, templates, least=0.7, shift=3):
+    """(labels, score) of a text by diagonal voting, template by template."""
+    w, labels, best = license_words(text), set(phrases(text)[4].split(",")) - {""}, 0.0
+    score = 1.0 if labels else 0.0
+    for label, notice in templates:
+        t = license_words(notice)
+        votes = collections.defaultdict(set)
+        for j in range(len(t) - 2):
+            for i in range(len(w) - 2):
+                if w[i : i + 3] == t[j : j + 3]:
+                    votes[i - j].add(j)
+        chains = []
+        for d in sorted(votes):
+            if not chains or d - chains[-1][-1] > shift:
+                chains.append([])
+            chains[-1].append(d)
+        for chain in chains:
+            middle = max((len(votes[d]), d) for d in chain)[1]
+            width = max(len(t), 2 * shift)
+            parts = collections.defaultdict(set)
+            for d in chain:
+                parts[(d - middle + width // 2) // width] |= {j + k for j in votes[d] for k in range(3)}
+            for inside in parts.values():
+                if len(inside) / len(t) >= least:
+                    labels.add(label)
+                    best = max(best, len(inside) / len(t))
+    return ",".join(sorted(labels)), score or best
+
+
 def maximal_chats(rows):
-    """{id: copies} of conversations that are no proper prefix of another."""
+    """{id: copies} of conversations that are no proper prefix of another; a row without an id is one of its own."""
     chats = collections.defaultdict(set)
     for conv, turn, role, text in rows:
-        chats[conv].add((turn, "\0" if role is None else role, "\0" if text is None else text))
+        said = (-1 if turn is None else turn, "\0" if role is None else role, "\0" if text is None else text)
+        chats[conv if conv is not None else ("none", said)].add(said)
     shaped = {}
     for conv, turns in chats.items():
         first = min(t for t, *_ in turns)
@@ -289,4 +366,5 @@ def maximal_chats(rows):
     classes = collections.defaultdict(list)
     for conv, s in shaped.items():
         classes[s].append(conv)
-    return {min(convs): len(convs) for s, convs in classes.items() if not any(len(o) > len(s) and o[: len(s)] == s for o in classes)}
+    least = lambda convs: min(convs, key=lambda c: (0, 0) if isinstance(c, tuple) else (1, c))
+    return collections.Counter((None if isinstance(least(c), tuple) else least(c), len(c)) for s, c in classes.items() if not any(len(o) > len(s) and o[: len(s)] == s for o in classes))
