@@ -85,6 +85,21 @@ def test_problems(spark):
     assert validate.gate(q.filter("id = '2021_13'"), records=1, total=1).first()["verdict"] == "Validation passed."
 
 
+def test_separators_are_white_space(spark):
+    assert one(spark, T.ends_finished, "It ends here.\x1c") and one(spark, T.too_short, "123456789\x1f")
+    assert one(spark, T.comparable, "a\x1c\x1db (c)\x1e.") == "a b (c)."
+    assert not one(spark, T.ends_finished, "") and not one(spark, T.ends_finished, "open;")
+
+
+def test_manual_records(spark):
+    """The shipped patch goes to its record; without one, a manual record stays, with a warning."""
+    q = records(spark, ("2025_05", "", [("statement_1", "x")]), ("zz", "", None))
+    r = {x["id"]: x for x in clean.clean(q).collect()}
+    assert [e["value"] for e in r["2025_05"]["new_statements"]] == list(clean.MANUAL_PATCH.values()) and r["2025_05"]["logged"] and not r["zz"]["logged"]
+    r = {x["id"]: x for x in clean.clean(q, F.lit(None).cast(ENTRIES)).collect()}["2025_05"]
+    assert ([e["value"] for e in r["new_statements"]], r["logged"], r["warning"]) == (["x"], False, "no patch")
+
+
 def test_routing(spark):
     q = records(spark, ("2023_29", "<statements> (a) p (b) q <choices>", [("statement_1", "x")]), ("2021_25", "no labels", [("statement_1", "x")]), ("2022_08", "", [("statement_1", "(a) . x")]), ("2024_06", "", [("statement_1", "(a). x")]), ("zz", "", None))
     got = {r["id"]: (r["mode"], r["logged"], r["warning"]) for r in clean.clean(q).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridane.functions.text import statement_text, trim_ws
+from veridane.functions.text import bound, statement_text, trim_ws
 
 #: Label schemes.
 CIRCLED = ("①", "②", "③", "④", "⑤")
@@ -18,13 +18,19 @@ COSMETIC_IDS = ("2021_13", "2022_08", "2023_29", "2024_06", "2024_22", "2024_29"
 FALSE_POSITIVE_IDS = ("2022_36", "2023_19", "2024_25", "2025_21", "2025_01")
 INCONSISTENT_IDS = ("2021_01", "2021_13", "2021_15", "2023_37")
 
+#: Statements of the manual record.
+MANUAL_PATCH = {
+    "statement_1": "(a). If Alice, an adult, hands over a manual containing all information about her property to Bob, a minor who has graduated from college, and then enters into a sales contract with him, the control of this contract is not justified by A, but is justified by B.",
+    "statement_2": "(b). If Charlie, a minor, sells his bicycle at a price much lower than the market price to David, an adult whom he has never met before through an online brokerage platform, the control of this contract is justified by A but not justified by B.",
+    "statement_3": "(c). If adult Eve and State X both know all information regarding a certain piece of land and then enter into a sales contract regarding that land, the control of this contract is justified neither by A nor by B.",
+}
+
 #: Fixed value: statements of the uncleaned set.
 EXPECTED_TOTAL = 315
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value evaluated once, also inside nested lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+#: A value that an expression names more than once, made once, also inside nested lambdas.
+let = bound
 
 
 def find(text: Column, what: str, after: Column | None = None) -> Column:
@@ -102,19 +108,25 @@ def route(key: Column) -> Column:
     return F.when(key.isin(*MANUAL_IDS), "manual").when(key.isin(*AUTO_IDS), "auto").when(key.isin(*COSMETIC_IDS), "cosmetic")
 
 
+def manual_patch() -> Column:
+    """The shipped patch as entries, for the records that it is for."""
+    entries = F.array(*[F.named_struct(F.lit("key"), F.lit(k), F.lit("value"), F.lit(v)) for k, v in MANUAL_PATCH.items()])
+    return F.when(F.col("id").isin(*MANUAL_IDS), entries)
+
+
 def clean(questions: DataFrame, patches: Column | None = None) -> DataFrame:
     """questions (id, original_question, statements as entries) with mode, new_statements, logged and warning.
 
-    patches: statements, as entries, of manual records. An auto record that can't be segmented keeps its
+    patches: statements, as entries, of manual records, by default the shipped ones; one without a patch is left as it is and gets a warning. An auto record that can't be segmented keeps its
     statements and gets a warning; a cosmetic one is logged only if it changes.
     """
-    entries = "array<struct<key:string,value:string>>"
-    patch = patches if patches is not None else F.lit(None).cast(entries)
+    patch = patches if patches is not None else manual_patch()
     q = questions.withColumn("mode", route(F.col("id"))).withColumn("auto", F.when(F.col("mode") == "auto", resegment(F.col("original_question"))))
     q = q.withColumn("cosmetic", F.when(F.col("mode") == "cosmetic", normalise_entries(F.col("statements"))))
     new = F.when(F.col("mode") == "manual", F.coalesce(patch, F.col("statements"))).when(F.col("mode") == "auto", F.coalesce("auto", "statements")).when(F.col("mode") == "cosmetic", F.col("cosmetic")).otherwise(F.col("statements"))
-    changed = F.when(F.col("mode") == "manual", True).when(F.col("mode") == "auto", F.col("auto").isNotNull()).when(F.col("mode") == "cosmetic", ~F.col("cosmetic").eqNullSafe(F.col("statements"))).otherwise(False)
-    return q.select("*", new.alias("new_statements"), changed.alias("logged"), F.when((F.col("mode") == "auto") & F.col("auto").isNull(), "no statements found").alias("warning")).drop("auto", "cosmetic")
+    changed = F.when(F.col("mode") == "manual", patch.isNotNull()).when(F.col("mode") == "auto", F.col("auto").isNotNull()).when(F.col("mode") == "cosmetic", ~F.col("cosmetic").eqNullSafe(F.col("statements"))).otherwise(False)
+    warning = F.when((F.col("mode") == "auto") & F.col("auto").isNull(), "no statements found").when((F.col("mode") == "manual") & patch.isNull(), "no patch")
+    return q.select("*", new.alias("new_statements"), changed.alias("logged"), warning.alias("warning")).drop("auto", "cosmetic")
 
 
 def change_log(cleaned: DataFrame) -> DataFrame:

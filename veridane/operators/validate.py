@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridane.functions.text import comparable, ends_finished, leaks_instruction, too_short
-from veridane.operators.clean import COSMETIC_IDS, FALSE_POSITIVE_IDS, MANUAL_IDS, n_statements
+from veridane.operators.clean import COSMETIC_IDS, FALSE_POSITIVE_IDS, MANUAL_IDS, let
 
 #: Size of the shipped set.
 EXPECTED_RECORDS, EXPECTED_STATEMENTS = 93, 301
@@ -17,35 +17,53 @@ def keys_in_order(entries: Column) -> Column:
     return F.forall(F.transform(entries, lambda e, i: e["key"] == F.concat(F.lit("statement_"), (i + 1).cast("string"))), lambda ok: ok)
 
 
-def problems(questions: DataFrame, statements: str = "statements") -> DataFrame:
-    """(id, check, key, message): one row for each problem, in the order of checks within a statement (column `nth`)."""
-    some = F.size(F.coalesce(F.col(statements), F.array().cast("array<struct<key:string,value:string>>"))) > 0
+#: Messages of the problems.
+MISSING, KEYS = "missing statements", "non-sequential keys: "
+SHORT, LEAK, PUNCTUATION, SOURCE = " suspiciously short: ", " possible instruction leak: ", " may be missing final punctuation: ", " not found verbatim in original_question"
+ENTRY = "array<struct<key:string,value:string>>"
+
+
+def checked_units(questions: DataFrame, statements: str = "statements") -> DataFrame:
+    """(id, pos, found): a row for each record (pos 0) and each of its statements (pos from 1), with its problems as (check, key, message).
+
+    One pass: what a record's checks need is made before it is spread into rows; a statement's
+    trimmed, lower-case and comparable forms are made once.
+    """
+    held = F.coalesce(F.col(statements), F.array().cast(ENTRY))
     checked = F.coalesce(~F.col("id").isin(*MANUAL_IDS, *FALSE_POSITIVE_IDS), F.lit(True))
-    row = questions.select("id", F.col(statements).alias("statements"), some.alias("some"), checked.alias("checked"), comparable(F.col("original_question")).alias("source"))
+    none = F.lit(None).cast("string")
 
     def found(check: str, key: Column, message: Column) -> Column:
         return F.named_struct(F.lit("check"), F.lit(check), F.lit("key"), key, F.lit("message"), message)
 
-    def of(e: Column) -> Column:
-        text, key = F.coalesce(e["value"], F.lit("")), e["key"]
+    record = questions.select("id", held.alias("e"), F.when(checked & (F.size(held) > 0), comparable(F.col("original_question"))).alias("source"))
+    keys = found("keys", none, F.concat(F.lit(KEYS), F.array_join(F.transform("e", lambda x: x["key"]), ", ")))
+    of_record = F.when(F.size("e") == 0, found("missing", none, F.lit(MISSING))).when(~keys_in_order(F.col("e")), keys)
+    spread = record.select("id", "source", of_record.alias("of_record"), F.posexplode(F.concat(F.array(F.lit(None).cast("struct<key:string,value:string>")), F.col("e"))).alias("pos", "s"))
+
+    def of(t: Column) -> Column:
+        key = F.col("s.key")
         return F.array(
-            F.when(too_short(text), found("short", key, F.concat(key, F.lit(" suspiciously short: "), text))),
-            F.when(leaks_instruction(text), found("leak", key, F.concat(key, F.lit(" possible instruction leak: "), F.substring(text, 1, 160)))),
-            F.when(~ends_finished(text), found("punctuation", key, F.concat(key, F.lit(" may be missing final punctuation: "), F.right(text, F.lit(80))))),
-            F.when(F.col("checked") & ~F.contains(F.col("source"), comparable(text)), found("source", key, F.concat(key, F.lit(" not found verbatim in original_question")))),
+            F.when(too_short(t), found("short", key, F.concat(key, F.lit(SHORT), t))),
+            F.when(leaks_instruction(t), found("leak", key, F.concat(key, F.lit(LEAK), F.substring(t, 1, 160)))),
+            F.when(~ends_finished(t), found("punctuation", key, F.concat(key, F.lit(PUNCTUATION), F.right(t, F.lit(80))))),
+            F.when(F.col("source").isNotNull() & ~F.contains(F.col("source"), comparable(t)), found("source", key, F.concat(key, F.lit(SOURCE)))),
         )
 
-    none = F.lit(None).cast("string")
-    missing = F.array(found("missing", none, F.lit("missing statements")))
-    order = F.array(F.when(~keys_in_order(F.col("statements")), found("keys", none, F.concat(F.lit("non-sequential keys: "), F.array_join(F.transform("statements", lambda e: e["key"]), ", ")))))
-    every = F.when(~F.col("some"), missing).otherwise(F.concat(order, F.flatten(F.transform("statements", of))))
-    return row.select("id", F.posexplode(F.filter(every, lambda p: p.isNotNull())).alias("nth", "p")).select("id", "nth", "p.check", "p.key", "p.message")
+    every = F.when(F.col("pos") == 0, F.array("of_record")).otherwise(let(F.coalesce("s.value", F.lit("")), of))
+    return spread.select("id", "pos", F.array_compact(every).alias("found"))
+
+
+def problems(questions: DataFrame, statements: str = "statements") -> DataFrame:
+    """(id, nth, check, key, message): one row for each problem; nth orders a record's problems by statement, and by check within one."""
+    each = checked_units(questions, statements).select("id", "pos", F.posexplode("found").alias("k", "p"))
+    return each.select("id", (F.col("pos") * 4 + F.col("k")).alias("nth"), "p.check", "p.key", "p.message")
 
 
 def gate(questions: DataFrame, statements: str = "statements", records: int = EXPECTED_RECORDS, total: int = EXPECTED_STATEMENTS) -> DataFrame:
-    """One row: counts, open problems (of records without an exemption), and the verdict by the first gate that fails."""
-    counts = questions.agg(F.count("*").alias("records"), F.coalesce(F.sum(n_statements(F.col(statements))), F.lit(0)).alias("statements"))
+    """One row, from one pass: counts, open problems (of records without an exemption), and the verdict by the first gate that fails."""
     exempt = F.coalesce(F.col("id").isin(*MANUAL_IDS, *FALSE_POSITIVE_IDS, *COSMETIC_IDS), F.lit(False))
-    open_ = problems(questions, statements).agg(F.count("*").alias("problems"), F.count(F.when(~exempt, 1)).alias("unexpected"))
+    n = F.size("found").cast("long")
+    sums = checked_units(questions, statements).agg(F.count_if(F.col("pos") == 0).alias("records"), F.count_if(F.col("pos") > 0).alias("statements"), F.coalesce(F.sum(n), F.lit(0)).alias("problems"), F.coalesce(F.sum(F.when(exempt, 0).otherwise(n)), F.lit(0)).alias("unexpected"))
     verdict = F.when(F.col("records") != records, "record count").when(F.col("statements") != total, "statement count").when(F.col("unexpected") > 0, "unexpected problems").otherwise("Validation passed.")
-    return counts.join(open_, F.lit(True)).withColumn("verdict", verdict)
+    return sums.withColumn("verdict", verdict)
