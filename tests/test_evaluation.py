@@ -13,27 +13,36 @@ from veridane.sources import files
 from veridane.streaming import live
 
 
-def scan(text):
-    """The scanner as a plain loop."""
-    out, depth, start, quoted, escaped = [], 0, None, False, False
-    for i, c in enumerate(text):
-        if quoted:
-            escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            start, depth = (i if depth == 0 else start), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
-            out += [text[start : i + 1]] if depth == 0 else []
-    return out
+#: Texts and the objects in them, written by hand.
+OBJECTS = (
+    ("{}{}", ["{}", "{}"]),
+    ('a "{" {b} " {c}', ["{b}"]),
+    ('{"a": "\\\\"} {"b": "\\""}', ['{"a": "\\\\"}', '{"b": "\\""}']),
+    ("}}{{}", []),
+    ("}}{{}}{x}", ["{{}}", "{x}"]),
+    ("{😀} x", ["{😀}"]),
+    ("", []),
+    ("no braces", []),
+    ('A 6" bolt: {"x": 1}', []),
+    ('two "quotes" {"x": {"y": "}"}} end', ['{"x": {"y": "}"}}']),
+    ('\\"{a} {b}', []),
+    ('{"line\nend": "\\', []),
+    ("{a\nb}\n{c}", ["{a\nb}", "{c}"]),
+)
 
 
 def test_object_scanner(spark):
-    texts = [r for r, *_ in EDGES] + ["{}{}", 'a "{" {b} " {c}', '{"a": "\\\\"} {"b": "\\""}', "}}{{}", "{😀} x", ""]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r["o"] for r in df.select(extract.json_objects(F.col("t")).alias("o")).collect()]
-    assert got == [scan(t) for t in texts]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(OBJECTS)], "k int, t string")
+    got = {r["k"]: r["o"] for r in df.select("k", extract.json_objects(F.col("t")).alias("o")).collect()}
+    assert got == {k: o for k, (_, o) in enumerate(OBJECTS)}
+
+
+def test_many_objects_in_one_response(spark):
+    """20,000 objects, nested ones and stray braces in between."""
+    text = 'so {"a": {"b": "}"}} } "{" ' * 20000
+    df = spark.createDataFrame([(text,)], "t string").select(extract.json_objects(F.col("t")).alias("o"))
+    r = df.select(F.size("o").alias("n"), F.size(F.array_distinct("o")).alias("kinds"), F.get("o", F.lit(19999)).alias("last")).first()
+    assert (r["n"], r["kinds"], r["last"]) == (20000, 1, '{"a": {"b": "}"}}')
 
 
 def test_null_response_fails_closed(spark):
@@ -41,26 +50,25 @@ def test_null_response_fails_closed(spark):
     assert (r["decision"], r["parse_ok"]) == ("DENIED", False)
 
 
-def test_prompt(spark):
-    df = spark.createDataFrame([("ODRL", "r1"), ("plain", "r2")], "d string, r string")
+def test_prompt(spark, tmp_path):
+    df = spark.createDataFrame([("ODRL", "r1 {dsl_name}"), ("plain", "r2")], "d string, r string")
     odrl, plain = [r["p"] for r in df.select(prompt.system_prompt(F.col("d"), F.col("r")).alias("p")).collect()]
-    assert "<ODRL>\nr1\n</ODRL>" in odrl and "the ODRL rules" in odrl and "r2" in plain and "plain English" in plain
+    assert "<ODRL>\nr1 {dsl_name}\n</ODRL>" in odrl and "the ODRL rules" in odrl and "the plain English rules" in plain and "r2" not in plain
+    assert df.select(prompt.default_prompt().alias("p")).first()["p"] == plain
     with pytest.raises(PySparkException, match="Unsupported DSL"):
         df.select(prompt.system_prompt(F.lit("nope"), F.col("r")).alias("p")).collect()
+    texts = {"base": "B {dsl_section}\n\n{dsl_name}.\n", "plain": "inline", "odrl": "<{rules}>", "legalruleml": "", "de_jure": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    own = prompt.read_templates(spark, {name: str(tmp_path / name) for name in texts})
+    assert df.select(prompt.system_prompt(F.col("d"), F.col("r"), own).alias("p")).collect()[0]["p"] == "B <r1 {dsl_name}>\n\nODRL."
 
 
-def test_rule_files_agree(spark, tmp_path):
-    z, x = "http://h/substituteAvailable", "http://h/infringingProductAvailable"
-    units = [(r, "award" if o == "AWARDED" else "deny", c) for _, r, o, c in rules.RULE_ROWS[:3]]
-    (tmp_path / "u.json").write_text(json.dumps({"rule_units": [{"rule_id": r, "statement": {"action": a, "conditions": [{"field": f, "operator": "eq", "value": v} for f, v in c]}} for r, a, c in units]}, indent=2))
-    rule = lambda r, c: {"uid": r, "constraint": [{"leftOperand": z if f == "Z" else x, "operator": "eq", "rightOperand": v} for f, v in c]}
-    (tmp_path / "p.json").write_text(json.dumps({"permission": [rule(r, c) for r, a, c in units if a == "award"], "prohibition": [rule(r, c) for r, a, c in units if a == "deny"]}, indent=2))
-    atom = lambda f, v: f'<k:Atom><k:Rel iri="h"/><k:Var t="k:i">{f}</k:Var><k:Ind t="k:i">{v}</k:Ind></k:Atom>'
-    xml = "".join(f'<l:LegalRule key="{r}"><k:if>{"".join(atom(*y) for y in c)}</k:if><k:then>{atom("Y", "AWARDED" if a == "award" else "DENIED")}</k:then></l:LegalRule>' for r, a, c in units)
-    (tmp_path / "l.xml").write_text(f"<l:LegalRuleML>\n{xml}\n</l:LegalRuleML>")
-    loaded = files.rules_from_units(spark, str(tmp_path / "u.json")).union(files.rules_from_policy(spark, str(tmp_path / "p.json"))).union(files.rules_from_xml(spark, str(tmp_path / "l.xml")))
-    shape = lambda df: sorted((r["dsl"], r["rule_id"], r["outcome"], sorted((c["field"], c["operator"], c["value"]) for c in r["conditions"])) for r in df.collect())
-    assert shape(loaded) == shape(rules.rule_table(spark))
+def test_rule_files_agree(spark):
+    loaded = rules.shipped_rules(spark)
+    conditions = lambda r: sorted((c["field"], c["operator"], c["value"]) for c in r["conditions"])
+    shape = {dsl: sorted((r["outcome"], conditions(r)) for r in loaded.filter(F.col("dsl") == dsl).collect()) for dsl in ("de_jure", "odrl", "legalruleml")}
+    assert shape["de_jure"] == shape["odrl"] == shape["legalruleml"] == [("AWARDED", [("X", "eq", 1), ("Z", "eq", 0)]), ("DENIED", [("X", "eq", 0), ("Z", "eq", 0)]), ("DENIED", [("Z", "eq", 1)])]
 
 
 def test_definitions(spark, tmp_path):
@@ -79,14 +87,18 @@ def test_question_files(spark, tmp_path):
     assert [e["key"] for e in rows["a"]] == ["statement_2", "statement_1"] and rows["b"] is None
     files.write_questions(q, str(tmp_path / "out"))
     assert {r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()} == {"a", "b"}
+    files.write_questions(q, str(tmp_path / "one"), one_array=True)
+    assert files.read_questions(spark, str(tmp_path / "one")).orderBy("id").collect() == q.orderBy("id").collect()
+    lines = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "one"), wholetext=True).collect())
+    assert [r["id"] for r in json.loads(lines)] == ["a", "b"] and lines.startswith("[\n  {\n")
     (tmp_path / "bad.json").write_text('[{"id": ')
     with pytest.raises((PySparkException, Py4JJavaError)):
         files.read_questions(spark, str(tmp_path / "bad.json")).collect()
 
 
 def test_vectors_round_trip(spark, tmp_path):
-    files.write_vector(spark, "v", [1.0, -2.5], str(tmp_path / "v"))
-    assert files.read_vector(spark, str(tmp_path / "v")).first()["vector"] == [1.0, -2.5]
+    files.write_vectors(spark.createDataFrame([("v", [1.0, -2.5])], "vec_id string, vector array<double>"), str(tmp_path / "v"))
+    assert files.read_vectors(spark, str(tmp_path / "v")).first()["vector"] == [1.0, -2.5]
 
 
 def test_decisions_on_a_stream(spark, tmp_path):

@@ -1,7 +1,10 @@
 """Extraction of two predicates from a model's free-form response, failing closed.
 
-The scanner for top-level JSON objects is a fold over characters that keeps
-offsets only; it is evaluated once for each response and stays in the JVM.
+The scanner for top-level JSON objects folds over a response's strings, braces
+and what lies between, in chunks, so it is about linear in the response; all
+stays in the JVM, and nothing depends on session settings. Two kinds of objects
+fail closed though common decoders take them: nested deeper than 1000 levels, or
+with a key twice inside a nested object.
 """
 
 from __future__ import annotations
@@ -17,40 +20,48 @@ from veridane.operators.clean import let
 INFRINGING, SUBSTITUTE = "infringing_product_available", "substitute_product_available"
 PARSE_FAILED = "Parsing failed: Response JSON does not contain the required predicate fields"
 FENCE = "```"
+#: What ends a line.
+LINE_END = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
+#: A string, closed or not; a brace; all else.
+TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?\z)|[{}]|[^"{}]++'
 
 
 def strip_fences(raw: Column) -> Column:
     """Without code-fence lines, if the text begins with one, and without a leading "json"."""
     t = trim_ws(F.coalesce(raw, F.lit("")))
-    lines = F.filter(F.split(t, r"\R"), lambda x: ~F.startswith(x, F.lit(FENCE)))
+    lines = F.filter(F.split(t, LINE_END), lambda x: ~F.startswith(x, F.lit(FENCE)))
     bare = F.when(F.startswith(t, F.lit(FENCE)), trim_ws(F.array_join(lines, "\n"))).otherwise(t)
     return let(bare, lambda b: F.when(F.lower(F.left(b, F.lit(4))) == "json", trim_ws(F.substring(b, F.lit(5), F.length(b)))).otherwise(b))
 
 
-def object_spans(text: Column) -> Column:
-    """Array of (at, length) of the top-level balanced {...}; quotes count everywhere, also outside objects."""
-    start = F.expr("named_struct('i', 0, 'depth', 0, 'at', 0, 'quoted', false, 'escaped', false, 'spans', cast(array() as array<struct<at:int,length:int>>))")
+def object_spans(tokens: Column) -> Column:
+    """Array of (at, n): the tokens of each top-level balanced {...}; a closing brace outside of any counts for nothing."""
+    spans = "array<struct<at:int,n:int>>"
 
-    def step(s: Column, c: Column) -> Column:
-        i = s["i"] + 1
-        open_ = ~s["quoted"] & (c == "{")
-        close = ~s["quoted"] & (c == "}") & (s["depth"] > 0)
+    def step(s: Column, token: Column) -> Column:
+        open_, close = token == "{", (token == "}") & (s["depth"] > 0)
         done = close & (s["depth"] == 1)
         return F.named_struct(
-            F.lit("i"), i,
-            F.lit("depth"), F.when(open_, s["depth"] + 1).when(close, s["depth"] - 1).otherwise(s["depth"]),
-            F.lit("at"), F.when(open_ & (s["depth"] == 0), i).otherwise(s["at"]),
-            F.lit("quoted"), F.when(s["quoted"], s["escaped"] | (c != '"')).otherwise(c == '"'),
-            F.lit("escaped"), s["quoted"] & ~s["escaped"] & (c == "\\"),
-            F.lit("spans"), F.when(done, F.concat(s["spans"], F.array(F.named_struct(F.lit("at"), s["at"], F.lit("length"), i - s["at"] + 1)))).otherwise(s["spans"]),
+            F.lit("i"), s["i"] + 1,
+            F.lit("depth"), s["depth"] + open_.cast("int") - close.cast("int"),
+            F.lit("at"), F.when(open_ & (s["depth"] == 0), s["i"]).otherwise(s["at"]),
+            F.lit("spans"), F.when(done, F.concat(s["spans"], F.array(F.named_struct(F.lit("at"), s["at"], F.lit("n"), s["i"] - s["at"] + 1)))).otherwise(s["spans"]),
         )
 
-    return F.aggregate(F.split(text, ""), start, step, lambda s: s["spans"])
+    def chunk(s: Column, part: Column) -> Column:
+        start = F.named_struct(F.lit("i"), s["i"], F.lit("depth"), s["depth"], F.lit("at"), s["at"], F.lit("spans"), F.array().cast(spans))
+        return let(F.aggregate(part, start, step), lambda r: F.named_struct(F.lit("i"), r["i"], F.lit("depth"), r["depth"], F.lit("at"), r["at"], F.lit("lists"), F.concat(s["lists"], F.array(r["spans"]))))
+
+    # Chunks of about the root of the number of tokens: short lists of spans, and few of them.
+    width = F.greatest(F.ceil(F.sqrt(F.size(tokens))), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / width).cast("int")), lambda k: F.slice(tokens, k * width + 1, width))
+    start = F.expr(f"named_struct('i', 1, 'depth', 0, 'at', 0, 'lists', cast(array() as array<{spans}>))")
+    return F.aggregate(parts, start, chunk, lambda s: F.flatten(s["lists"]))
 
 
 def json_objects(text: Column) -> Column:
-    """Texts of the top-level objects; a text without a brace isn't scanned."""
-    whole = let(text, lambda t: F.transform(object_spans(t), lambda s: F.substring(t, s["at"], s["length"])))
+    """Texts of the top-level objects; quotes count everywhere, also outside objects; a text without a brace isn't scanned."""
+    whole = let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.transform(object_spans(t), lambda s: F.array_join(F.slice(t, s["at"], s["n"]), "")))
     return F.when(F.contains(text, F.lit("{")), whole).otherwise(F.array().cast("array<string>"))
 
 
@@ -68,23 +79,22 @@ def truth(value: Column) -> Column:
     )
 
 
-def last_key(candidate: Column, name: str) -> Column:
-    """The spelling of a key (in any case) that decides: the last one in the order in which keys first appear."""
-    keys = F.array_distinct(F.coalesce(F.map_keys(F.from_json(candidate, "map<string,string>")), F.array().cast("array<string>")))
-    return F.try_element_at(F.filter(keys, lambda k: F.lower(k) == name), F.lit(-1))
+def last_value(entries: Column, name: str) -> Column:
+    """The value of a key in any case: of its spellings the one that first appears last decides, and of that its last value."""
+    own = F.filter(entries, lambda e: F.lower(e["key"]) == name)
+    spelling = F.element_at(F.array_distinct(F.transform(own, lambda e: e["key"])), -1)
+    return F.when(F.size(own) > 0, let(spelling, lambda k: F.element_at(F.filter(own, lambda e: e["key"] == k), -1)["value"]))
 
 
 def predicates(raw: Column) -> Column:
     """STRUCT(x, z) from the first top-level object with both keys, or null."""
 
-    def field(candidate: Column, name: str) -> Column:
-        # Keys are plain words, so the deciding spelling can stand in a path.
-        value = lambda v: F.try_variant_get(v, F.concat(F.lit("$."), last_key(candidate, name)), "variant")
-        return truth(value(F.try_parse_json(candidate)))
-
     def decoded(candidate: Column) -> Column:
-        has = F.try_parse_json(candidate).isNotNull() & last_key(candidate, INFRINGING).isNotNull() & last_key(candidate, SUBSTITUTE).isNotNull()
-        return F.when(has, F.named_struct(F.lit("x"), field(candidate, INFRINGING), F.lit("z"), field(candidate, SUBSTITUTE)))
+        # NaN and Infinity are numbers here; a key may repeat.
+        entries = F.map_entries(F.from_json(candidate, "map<string,variant>", {"allowSingleQuotes": "false"}))
+        has = lambda e, name: F.exists(e, lambda x: F.lower(x["key"]) == name)
+        both = lambda e: has(e, INFRINGING) & has(e, SUBSTITUTE)
+        return let(entries, lambda e: F.when(both(e), F.named_struct(F.lit("x"), truth(last_value(e, INFRINGING)), F.lit("z"), truth(last_value(e, SUBSTITUTE)))))
 
     objects = json_objects(strip_fences(raw))
     return F.get(F.filter(F.transform(objects, decoded), lambda p: p.isNotNull()), F.lit(0))
@@ -92,8 +102,6 @@ def predicates(raw: Column) -> Column:
 
 def decide(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """responses with decision, explanation and parse_ok; a response without predicates is DENIED."""
-    # A key that repeats keeps its last value, as common decoders do.
-    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     parsed = responses.withColumn("_p", predicates(F.col(raw)))
     failed = F.named_struct(F.lit("decision"), F.lit(rules.DENIED), F.lit("explanation"), F.lit(PARSE_FAILED))
     made = parsed.withColumn("_d", F.when(F.col("_p").isNotNull(), rules.decision(F.col("_p.x"), F.col("_p.z"))).otherwise(failed))

@@ -1,32 +1,61 @@
-"""Prompt assembly as column expressions. Templates and rule texts are parameters."""
+"""Prompt assembly as column expressions. Templates and rule texts come from files; the package ships a set of its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridane.sources import files
+from veridane.sources.scratch import package_text, shipped
+
 #: Names of the rule languages as prompts show them.
 DISPLAY = {"plain": "plain English", "odrl": "ODRL", "legalruleml": "LegalRuleML", "de_jure": "De Jure"}
-#: Tags around a language's rules; plain has its rules inline.
-TAGS = {"odrl": "ODRL", "legalruleml": "LegalRuleML", "de_jure": "DeJure"}
+#: Rule file of a language; plain has its rules in its section.
+RULES = {"odrl": "policy.json", "legalruleml": "rules.xml", "de_jure": "units.json"}
+
+
+def read_templates(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
+    """Whole text files by name: base, with {dsl_section} and {dsl_name}, and a section for each language, with {rules}. A few small files."""
+    out = {}
+    for name, path in paths.items():
+        found = files.read_whole(spark, path).select("value").first()  # an empty file has no row
+        out[name] = found["value"].removesuffix("\n") if found else ""
+    return out
+
 
-BASE = "Decide each claim by the rules below.\n\n{dsl_section}\n\nApply the {dsl_name} rules and answer with one JSON object."
+def own_templates() -> dict[str, str]:
+    """The package's templates."""
+    return {name: package_text("veridane.templates", f"{name}.txt").removesuffix("\n") for name in ("base", *DISPLAY)}
 
 
-def section(dsl: Column, rules: Column) -> Column:
-    """A language's rules in its tag; plain text as it is."""
-    out = F.when(dsl == "plain", rules)
-    for name, tag in TAGS.items():
-        out = out.when(dsl == name, F.concat(F.lit(f"<{tag}>\n"), rules, F.lit(f"\n</{tag}>")))
+def shipped_prompts(spark: SparkSession) -> DataFrame:
+    """(dsl, system) for each language, from template and rule files read as whole texts."""
+    texts = read_templates(spark, {name: shipped(spark, "veridane.templates", f"{name}.txt") for name in ("base", *DISPLAY)})
+    rules = read_templates(spark, {dsl: shipped(spark, "veridane.rulesets", name) for dsl, name in RULES.items()})
+    named = spark.createDataFrame([(dsl, rules.get(dsl, "")) for dsl in DISPLAY], "dsl string, rules string")
+    return named.select("dsl", system_prompt(F.col("dsl"), F.col("rules"), texts).alias("system"))
+
+
+def section(dsl: Column, rules: Column, templates: dict[str, str]) -> Column:
+    """A language's section with its rules filled in."""
+    out = F.lit(None).cast("string")
+    for name in DISPLAY:
+        out = F.when(dsl == name, F.replace(F.lit(templates[name]), F.lit("{rules}"), rules)).otherwise(out)
     return out
 
 
-def system_prompt(dsl: Column, rules: Column, base: str = BASE) -> Column:
+def system_prompt(dsl: Column, rules: Column, templates: dict[str, str] | None = None) -> Column:
     """The base template with section and name filled in; names in any case; an unknown language is an error."""
+    templates = templates or own_templates()
     low = F.lower(dsl)
     name = F.try_element_at(F.create_map(*[F.lit(x) for kv in DISPLAY.items() for x in kv]), low)
-    known = F.when(low.isin(*DISPLAY), F.lit(base)).otherwise(F.raise_error(F.concat(F.lit("Unsupported DSL: "), low)).cast("string"))
-    return F.replace(F.replace(known, F.lit("{dsl_section}"), F.coalesce(section(low, F.coalesce(rules, F.lit(""))), F.lit(""))), F.lit("{dsl_name}"), F.coalesce(name, F.lit("")))
+    known = F.when(low.isin(*DISPLAY), F.lit(templates["base"])).otherwise(F.raise_error(F.concat(F.lit("Unsupported DSL: "), low)).cast("string"))
+    return F.replace(F.replace(known, F.lit("{dsl_name}"), F.coalesce(name, F.lit(""))), F.lit("{dsl_section}"), F.coalesce(section(low, F.coalesce(rules, F.lit("")), templates), F.lit("")))
+
+
+def default_prompt() -> Column:
+    """The system prompt of code that names no language: plain."""
+    return system_prompt(F.lit("plain"), F.lit(""))
 
 
 def messages(system: Column, user: Column) -> Column:
@@ -41,8 +70,8 @@ def render(chat: Column) -> Column:
 
 
 def transcript(pairs: DataFrame) -> DataFrame:
-    """(id, side, expected, prompt): pairs unpivoted, A before B."""
+    """(id, ground_truth, side, expected, prompt): pairs unpivoted, A before B."""
     from veridane.operators.score import expected_label
 
     sides = F.array(*[F.named_struct(F.lit("side"), F.lit(s), F.lit("expected"), expected_label(F.col("ground_truth"), s), F.lit("prompt"), F.col(f"prompt_{s}")) for s in "AB"])
-    return pairs.select("id", F.inline(sides))
+    return pairs.select("id", "ground_truth", F.inline(sides))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridane.sources import files
+from veridane.sources.scratch import shipped
+
 AWARDED, DENIED = "AWARDED", "DENIED"
 
 #: Explanations of the three outcomes.
@@ -12,14 +15,6 @@ SUBSTITUTE = "A non-infringing substitute is available, so the claim is denied"
 GRANTED = "No substitute is available and the infringing product is present, so the claim is awarded"
 ABSENT = "The infringing product is absent, so the claim is denied"
 
-#: The rules of each source language as rows: language, rule, outcome, conditions (field = value).
-RULE_ROWS = tuple(
-    (dsl, rule, outcome, conditions)
-    for dsl in ("de_jure", "odrl", "legalruleml")
-    for rule, outcome, conditions in (("substitute", DENIED, (("Z", 1),)), ("award", AWARDED, (("Z", 0), ("X", 1))), ("absent", DENIED, (("Z", 0), ("X", 0))))
-)
-
-
 def decision(infringing: Column, substitute: Column) -> Column:
     """STRUCT(decision, explanation): a substitute denies, else an infringing product awards, else denied."""
 
@@ -29,10 +24,11 @@ def decision(infringing: Column, substitute: Column) -> Column:
     return F.when(substitute, out(DENIED, SUBSTITUTE)).when(infringing, out(AWARDED, GRANTED)).otherwise(out(DENIED, ABSENT))
 
 
-def rule_table(spark: SparkSession, rows=RULE_ROWS) -> DataFrame:
-    """(dsl, rule_id, outcome, conditions): conditions as array of (field, operator, value)."""
-    shaped = [(d, r, o, [(f, "eq", v) for f, v in c]) for d, r, o, c in rows]
-    return spark.createDataFrame(shaped, "dsl string, rule_id string, outcome string, conditions array<struct<field:string,operator:string,value:int>>")
+def shipped_rules(spark: SparkSession) -> DataFrame:
+    """(dsl, rule_id, outcome, conditions) of the package's rule files, each read in its own format."""
+    at = lambda name: shipped(spark, "veridane.rulesets", name)
+    units, policy, xml = files.rules_from_units(spark, at("units.json")), files.rules_from_policy(spark, at("policy.json")), files.rules_from_xml(spark, at("rules.xml"))
+    return units.union(policy).union(xml)
 
 
 def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("X", "Z"), most: int = 10_000) -> DataFrame:

@@ -8,28 +8,29 @@ from pyspark.sql import functions as F
 from veridane.functions import text as T
 from veridane.operators import clean, validate
 from veridane.plans.registry import register, table
+from veridane.sources import files, scratch
 
 IDS = (*clean.MANUAL_IDS, *clean.AUTO_IDS, *clean.COSMETIC_IDS, *clean.FALSE_POSITIVE_IDS, *clean.INCONSISTENT_IDS)
 ENTRIES = "array<struct<key:string,value:string>>"
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, original_question, statements) of each document: its text in thirds, in four layouts by id that hold all three, the first two or the first; statements, of the first two, null, out of order, or with a spaced label."""
+    """(id, original_question, statements) of each document: its whole text in thirds, in four layouts by id, all of which hold all three; statements, of all three, null, out of order, or with a spaced label."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"))
     third = F.expr("length(t) div 3").cast("int")
     a, b, c = F.substring("t", F.lit(1), third), F.substring("t", third + 1, third), F.substring("t", 2 * third + 1, F.length("t"))
     n = F.col("doc_id")
     source = (
         F.when(n % 4 == 0, F.concat(F.lit("Intro <statements> (a) . "), a, F.lit(" (b) "), b, F.lit(" (c) "), c, F.lit(" <choices> ① x")))
-        .when(n % 4 == 1, F.concat(F.lit("Intro <choices> ① "), a, F.lit(" ② "), b))
-        .when(n % 4 == 2, F.concat(F.lit("(a) "), a, F.lit(" (b) "), b, F.lit(" <question> which")))
-        .otherwise(F.concat(F.lit("plain "), a))
+        .when(n % 4 == 1, F.concat(F.lit("Intro <choices> ① "), a, F.lit(" ② "), b, F.lit(" ③ "), c))
+        .when(n % 4 == 2, F.concat(F.lit("(a) "), a, F.lit(" (b) "), b, F.lit(" (c) "), c, F.lit(" <question> which")))
+        .otherwise(F.concat(F.lit("plain "), F.col("t")))
     )
     entry = lambda key, value: F.named_struct(F.lit("key"), F.lit(key), F.lit("value"), value)
     held = (
         F.when(n % 5 == 0, F.lit(None).cast(ENTRIES))
-        .when(n % 5 == 1, F.array(entry("statement_2", b), entry("statement_1", a)))
-        .otherwise(F.array(entry("statement_1", F.concat(F.lit("(a) . "), a)), entry("statement_2", F.concat(F.lit("(b) . "), b))))
+        .when(n % 5 == 1, F.array(entry("statement_2", b), entry("statement_1", a), entry("statement_3", c)))
+        .otherwise(F.array(entry("statement_1", F.concat(F.lit("(a) . "), a)), entry("statement_2", F.concat(F.lit("(b) . "), b)), entry("statement_3", F.concat(F.lit("(c) . "), c))))
     )
     name = F.when(n < len(IDS), F.get(F.array(*[F.lit(x) for x in IDS]), n.cast("int"))).otherwise(F.concat(F.lit("q"), n.cast("string")))
     return d.select(name.alias("id"), source.alias("original_question"), held.alias("statements"))
@@ -56,15 +57,15 @@ def sql_comparable(x: str) -> str:
 
 
 QUESTIONS = f"""WITH d AS (SELECT doc_id AS n, replace(text, chr(10), ' ') AS t, length(text) // 3 AS k FROM documents),
-    s AS (SELECT n, substring(t, 1, k) AS a, substring(t, k + 1, k) AS b, substring(t, 2 * k + 1) AS c FROM d),
+    s AS (SELECT n, t, substring(t, 1, k) AS a, substring(t, k + 1, k) AS b, substring(t, 2 * k + 1) AS c FROM d),
     q AS (SELECT CASE WHEN n < {len(IDS)} THEN [{quoted(*IDS)}][n + 1] ELSE 'q' || n END AS id,
-      CASE n % 4 WHEN 0 THEN 'Intro <statements> (a) . ' || a || ' (b) ' || b || ' (c) ' || c || ' <choices> ① x' WHEN 1 THEN 'Intro <choices> ① ' || a || ' ② ' || b
-        WHEN 2 THEN '(a) ' || a || ' (b) ' || b || ' <question> which' ELSE 'plain ' || a END AS original_question,
-      CASE n % 5 WHEN 0 THEN NULL WHEN 1 THEN [{{'key': 'statement_2', 'value': b}}, {{'key': 'statement_1', 'value': a}}]
-        ELSE [{{'key': 'statement_1', 'value': '(a) . ' || a}}, {{'key': 'statement_2', 'value': '(b) . ' || b}}] END AS statements FROM s),
+      CASE n % 4 WHEN 0 THEN 'Intro <statements> (a) . ' || a || ' (b) ' || b || ' (c) ' || c || ' <choices> ① x' WHEN 1 THEN 'Intro <choices> ① ' || a || ' ② ' || b || ' ③ ' || c
+        WHEN 2 THEN '(a) ' || a || ' (b) ' || b || ' (c) ' || c || ' <question> which' ELSE 'plain ' || t END AS original_question,
+      CASE n % 5 WHEN 0 THEN NULL WHEN 1 THEN [{{'key': 'statement_2', 'value': b}}, {{'key': 'statement_1', 'value': a}}, {{'key': 'statement_3', 'value': c}}]
+        ELSE [{{'key': 'statement_1', 'value': '(a) . ' || a}}, {{'key': 'statement_2', 'value': '(b) . ' || b}}, {{'key': 'statement_3', 'value': '(c) . ' || c}}] END AS statements FROM s),
     z AS (SELECT *, CASE WHEN original_question LIKE 'Intro <st%' THEN regexp_extract(original_question, '<statements>(.*)<choices>', 1, 's') WHEN original_question LIKE 'Intro%' THEN regexp_extract(original_question, '<choices>(.*)', 1, 's')
         WHEN original_question LIKE '(a)%' THEN regexp_extract(original_question, '^(.*) <question>', 1, 's') END AS span FROM q),
-    g AS (SELECT *, CASE WHEN span LIKE '%①%' THEN list_filter(['① ' || split_part(split_part(span, '① ', 2), ' ② ', 1), '② ' || split_part(span, ' ② ', 2)], lambda x: true)
+    g AS (SELECT *, CASE WHEN span LIKE '%①%' THEN ['① ' || split_part(split_part(span, '① ', 2), ' ② ', 1), '② ' || split_part(split_part(span, ' ② ', 2), ' ③ ', 1), '③ ' || split_part(span, ' ③ ', 2)]
         WHEN span IS NOT NULL THEN list_filter([regexp_extract(span, '(\\(a\\).*?)( \\(b\\)|$)', 1, 's'), regexp_extract(span, '(\\(b\\).*?)( \\(c\\)|$)', 1, 's'), regexp_extract(span, '(\\(c\\).*)', 1, 's')], lambda x: x <> '') END AS raw FROM z),
     seg AS (SELECT *, list_transform(raw, lambda x: {sql_statement("x")}) AS pieces FROM g)"""
 
@@ -173,14 +174,13 @@ def validation_gate(spark, sf_dir):
 
 MODE = f"CASE WHEN id IN ({quoted(*clean.MANUAL_IDS)}) THEN 'manual' WHEN id IN ({quoted(*clean.AUTO_IDS)}) THEN 'auto' WHEN id IN ({quoted(*clean.COSMETIC_IDS)}) THEN 'cosmetic' END"
 CLEANED = f"""{QUESTIONS}, m AS (SELECT *, {MODE} AS mode, list_transform(statements, lambda x: x.value) AS held, list_transform(statements, lambda x: {sql_statement('x.value')}) AS fixed FROM seg),
-    c AS (SELECT id, mode, held, CASE WHEN mode = 'manual' THEN ['patched.'] WHEN mode = 'auto' THEN coalesce(pieces, held) WHEN mode = 'cosmetic' THEN fixed ELSE held END AS made,
+    c AS (SELECT id, mode, held, CASE WHEN mode = 'manual' THEN [{quoted(*clean.MANUAL_PATCH.values())}] WHEN mode = 'auto' THEN coalesce(pieces, held) WHEN mode = 'cosmetic' THEN fixed ELSE held END AS made,
       CASE WHEN mode = 'manual' THEN true WHEN mode = 'auto' THEN pieces IS NOT NULL WHEN mode = 'cosmetic' THEN fixed IS DISTINCT FROM held ELSE false END AS logged,
       CASE WHEN mode = 'auto' AND pieces IS NULL THEN 'no statements found' END AS warning FROM m)"""
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patch = F.array(F.named_struct(F.lit("key"), F.lit("statement_1"), F.lit("value"), F.lit("patched.")))
-    return clean.clean(questions(spark, sf_dir), patch)
+    return clean.clean(questions(spark, sf_dir))
 
 
 @register("clean_route", f"{CLEANED} SELECT id, mode, array_to_string(made, '|') AS statements, logged, warning FROM c")
@@ -207,3 +207,37 @@ def drop_inconsistent(spark, sf_dir):
 def choice_markers(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("1. "), F.col("text"), F.lit("\n2. "), F.col("lang")).alias("t"))
     return d.select("doc_id", F.md5(clean.circled_choices(F.col("t"))).alias("digest"))
+
+
+# --- files ----------------------------------------------------------------
+
+FILED = f"{QUESTIONS} SELECT id, coalesce(len(statements), 0)::BIGINT AS n, array_to_string(list_transform(statements, lambda x: x.key), ',') AS keys, md5(array_to_string(list_transform(statements, lambda x: x.value), '|')) AS digest, md5(original_question) AS question FROM q"
+
+
+def filed(spark: SparkSession, q: DataFrame, one_array: bool) -> DataFrame:
+    """q written to a file and read again."""
+    path = scratch.fresh(spark, "questions")
+    files.write_questions(q, path, one_array)
+    back = files.read_questions(spark, path, lines=not one_array)
+    text = F.array_join(F.transform("statements", lambda e: e["value"]), "|")
+    return back.select("id", clean.n_statements(F.col("statements")).alias("n"), F.array_join(F.transform("statements", lambda e: e["key"]), ",").alias("keys"), F.md5(text).alias("digest"), F.md5("original_question").alias("question"))
+
+
+@register("question_lines_file", FILED)
+def question_lines_file(spark, sf_dir):
+    """All records through a file of JSON lines, statements in their order."""
+    return filed(spark, questions(spark, sf_dir), False)
+
+
+@register("question_array_file", FILED.replace("FROM q", f"FROM q WHERE id IN ({quoted(*IDS)})"))
+def question_array_file(spark, sf_dir):
+    """The named records of the shipped set, a small one, through one indented JSON array."""
+    return filed(spark, questions(spark, sf_dir).filter(F.col("id").isin(*IDS)), True)
+
+
+@register("cleaned_set_file", f"{CLEANED} SELECT id, array_to_string(made, '|') AS statements FROM c")
+def cleaned_set_file(spark, sf_dir):
+    """The cleaned set as a later step reads it."""
+    path = scratch.fresh(spark, "cleaned")
+    files.write_questions(cleaned(spark, sf_dir).select("id", "original_question", F.col("new_statements").alias("statements")), path)
+    return files.read_questions(spark, path, lines=True).select("id", F.array_join(F.transform("statements", lambda e: e["value"]), "|").alias("statements"))

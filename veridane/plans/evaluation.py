@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veridane.operators import extract, prompt, rules, score
 from veridane.plans.registry import register, table
+from veridane.sources import files, scratch
 
 CASE = "CASE WHEN toxic = 1 THEN 'DENIED' WHEN quality = 1 THEN 'AWARDED' ELSE 'DENIED' END"
 WHY = f"CASE WHEN toxic = 1 THEN '{rules.SUBSTITUTE}' WHEN quality = 1 THEN '{rules.GRANTED}' ELSE '{rules.ABSENT}' END"
@@ -38,18 +39,33 @@ def rule_decision_by_lang(spark, sf_dir):
 
 @register("rules_data_driven", f"SELECT dsl, doc_id, {CASE} AS outcome FROM labels, (VALUES ('de_jure'), ('odrl'), ('legalruleml')) v(dsl)")
 def rules_data_driven(spark, sf_dir):
-    return rules.apply_rules(facts(spark, sf_dir), rules.rule_table(spark)).select("dsl", "doc_id", "outcome")
+    """Labels decided by three rule files, each read in its own format."""
+    return rules.apply_rules(facts(spark, sf_dir), rules.shipped_rules(spark)).select("dsl", "doc_id", "outcome")
 
 
-@register(
-    "rules_equivalence",
-    """SELECT dsl, x AS "X", z AS "Z", CASE WHEN z = 1 THEN 'DENIED' WHEN x = 1 THEN 'AWARDED' ELSE 'DENIED' END AS outcome, true AS agrees
-    FROM (VALUES ('de_jure'), ('odrl'), ('legalruleml')) v(dsl), (VALUES (0), (1)) a(x), (VALUES (0), (1)) b(z)""",
-)
+@register("rules_equivalence", f"SELECT dsl, quality::INT AS \"X\", toxic::INT AS \"Z\", count(*) AS n, count(DISTINCT {CASE}) AS outcomes, true AS agrees FROM labels, (VALUES ('de_jure'), ('odrl'), ('legalruleml')) v(dsl) GROUP BY 1, 2, 3")
 def rules_equivalence(spark, sf_dir):
-    states = spark.createDataFrame([(x, z) for x in (0, 1) for z in (0, 1)], "X int, Z int")
+    """For each rule file and state of facts: does it always give what the rule in code gives?"""
     own = rules.decision(F.col("X") == 1, F.col("Z") == 1)["decision"]
-    return rules.apply_rules(states, rules.rule_table(spark)).select("dsl", "X", "Z", "outcome", (F.col("outcome") == own).alias("agrees"))
+    ruled = rules.apply_rules(facts(spark, sf_dir), rules.shipped_rules(spark))
+    return ruled.groupBy("dsl", "X", "Z").agg(F.count("*").alias("n"), F.count_distinct("outcome").alias("outcomes"), F.bool_and(F.col("outcome") == own).alias("agrees"))
+
+
+LOADED = [("de_jure", "U1", "DENIED", "Z=1"), ("de_jure", "U2", "AWARDED", "Z=0,X=1"), ("de_jure", "U3", "DENIED", "Z=0,X=0"), ("legalruleml", "L1", "DENIED", "Z=1"), ("legalruleml", "L2", "AWARDED", "Z=0,X=1"), ("legalruleml", "L3", "DENIED", "Z=0,X=0"), ("odrl", "P1", "AWARDED", "Z=0,X=1"), ("odrl", "P2", "DENIED", "Z=1"), ("odrl", "P3", "DENIED", "Z=0,X=0")]
+
+
+@register("rule_files", f"SELECT * FROM (VALUES {', '.join(map(str, LOADED))}) v(dsl, rule_id, outcome, conditions)")
+def rule_files(spark, sf_dir):
+    shown = F.array_join(F.transform("conditions", lambda c: F.concat(c["field"], F.when(c["operator"] == "eq", "=").otherwise("?"), c["value"].cast("string"))), ",")
+    return rules.shipped_rules(spark).select("dsl", "rule_id", "outcome", shown.alias("conditions"))
+
+
+@register("rule_definitions", "SELECT * FROM (VALUES ('X', 'lost-profit rules', 2::BIGINT), ('Z', 'lost-profit rules', 2)) v(term, citation, definitions)")
+def rule_definitions(spark, sf_dir):
+    path = scratch.shipped(spark, "veridane.rulesets", "units.json")
+    terms, about = files.definitions_from_units(spark, path), files.section_from_units(spark, path)
+    n = terms.agg(F.count("*").alias("definitions"))
+    return terms.select("term").join(F.broadcast(about.select("citation")), F.lit(True)).join(F.broadcast(n), F.lit(True))
 
 
 # --- scores ---------------------------------------------------------------
@@ -98,17 +114,14 @@ def flip_check(spark, sf_dir):
     return score.flips(responses(spark, sf_dir))
 
 
-#: The six counterfactual pairs: ground truth and prompts.
-YES, NO = "Available", "Not Available"
-WORDS = "Evaluate. Infringing Product: {}. Third-Party Substitute: {}."
-SIGNS = "Evaluate. X={}, Z={}."
+#: The six counterfactual pairs: id, ground truth and prompts.
 PAIRS = (
-    ("IP_Causation_Pair_1", "A: AWARDED; B: DENIED", WORDS.format(YES, NO), WORDS.format(YES, YES)),
-    ("IP_Causation_Pair_2", "A: DENIED; B: DENIED", WORDS.format(YES, YES), WORDS.format(NO, YES)),
-    ("IP_Causation_Pair_3", "A: DENIED; B: AWARDED", WORDS.format(YES, YES), WORDS.format(YES, NO)),
-    ("IP_Causation_Pair_4", "A: DENIED; B: DENIED", SIGNS.format(1, 1), SIGNS.format(0, 1)),
-    ("IP_Causation_Pair_5", "A: DENIED; B: AWARDED", SIGNS.format(1, 1), SIGNS.format(1, 0)),
-    ("IP_Causation_Pair_6", "A: AWARDED; B: DENIED", SIGNS.format(1, 0), SIGNS.format(1, 1)),
+    ("IP_Causation_Pair_1", "A: AWARDED; B: DENIED", "Evaluate. Infringing Product: Available. Third-Party Substitute: Not Available.", "Evaluate. Infringing Product: Available. Third-Party Substitute: Available."),
+    ("IP_Causation_Pair_2", "A: DENIED; B: DENIED", "Evaluate. Infringing Product: Available. Third-Party Substitute: Available.", "Evaluate. Infringing Product: Not Available. Third-Party Substitute: Available."),
+    ("IP_Causation_Pair_3", "A: DENIED; B: AWARDED", "Evaluate. Infringing Product: Available. Third-Party Substitute: Available.", "Evaluate. Infringing Product: Available. Third-Party Substitute: Not Available."),
+    ("IP_Causation_Pair_4", "A: DENIED; B: DENIED", "Evaluate. X=1, Z=1.", "Evaluate. X=0, Z=1."),
+    ("IP_Causation_Pair_5", "A: DENIED; B: AWARDED", "Evaluate. X=1, Z=1.", "Evaluate. X=1, Z=0."),
+    ("IP_Causation_Pair_6", "A: AWARDED; B: DENIED", "Evaluate. X=1, Z=0.", "Evaluate. X=1, Z=1."),
 )
 PAIR_VALUES = ", ".join(str(p) for p in PAIRS)
 
@@ -117,7 +130,7 @@ def pairs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PAIRS), "id string, ground_truth string, prompt_A string, prompt_B string")
 
 
-@register("ground_truth_parse", f"""WITH p AS (SELECT * FROM (VALUES {PAIR_VALUES}) v(id, gt, a, b)) SELECT id, 'A' AS side, split_part(split_part(gt, '; ', 1), ': ', 2) AS expected, a AS prompt FROM p UNION ALL SELECT id, 'B', split_part(split_part(gt, '; ', 2), ': ', 2), b FROM p""")
+@register("ground_truth_parse", f"""WITH p AS (SELECT * FROM (VALUES {PAIR_VALUES}) v(id, gt, a, b)) SELECT id, gt AS ground_truth, 'A' AS side, split_part(split_part(gt, '; ', 1), ': ', 2) AS expected, a AS prompt FROM p UNION ALL SELECT id, gt, 'B', split_part(split_part(gt, '; ', 2), ': ', 2), b FROM p""")
 def ground_truth_parse(spark, sf_dir):
     return prompt.transcript(pairs(spark))
 
@@ -157,6 +170,12 @@ EDGES = (
     (f'{{"note": "a }} b", "{I}": true, "{S}": false}}', "AWARDED", rules.GRANTED, True),
     (f"{{'{I}': true, '{S}': false}}", "DENIED", extract.PARSE_FAILED, False),
     (f'{{"{I}": true, "{I}": false, "{S}": false}}', "DENIED", rules.ABSENT, True),
+    (f'{{"{I}": NaN, "{S}": 0}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": -Infinity, "note": "NaN", "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": true, "{S}": Infinity}}', "DENIED", rules.SUBSTITUTE, True),
+    (f'{{"{I}": true, "deep": {"[" * 900}{"]" * 900}, "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": false, "{I.upper()}": true, "{S}": true, "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'\x1c{F3}\x1d{{"{I}": true, "{S}": false}}\x1e{F3}\x1f', "AWARDED", rules.GRANTED, True),
     ('{"error": "generation_failed", "reason": "x"}', "DENIED", extract.PARSE_FAILED, False),
     ("", "DENIED", extract.PARSE_FAILED, False),
     (f'JSON {{"{I}": 0.0, "{S}": []}}', "DENIED", rules.ABSENT, True),
@@ -178,22 +197,53 @@ def predicate_extract_labels(spark, sf_dir):
     return extract.decide(facts(spark, sf_dir).select("doc_id", raw.alias("raw"))).drop("raw")
 
 
-@register("json_objects", "SELECT event_id, 1::BIGINT AS n, props AS first_object FROM events")
+@register("json_objects", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END::BIGINT AS n, CASE event_id % 4 WHEN 2 THEN NULL WHEN 3 THEN '{\"in\": ' || props || '}' ELSE props END AS first_object FROM events")
 def json_objects(spark, sf_dir):
-    found = extract.json_objects(F.col("props"))
+    """Objects in prose: one, two, none behind a quote that never ends, and a nested one beside stray braces."""
+    p, k = F.col("props"), F.col("event_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("so "), p)).when(k == 1, F.concat(p, F.lit(' "{" and '), p)).when(k == 2, F.concat(F.lit('6" of '), F.replace(p, F.lit('"'), F.lit("'")))).otherwise(F.concat(F.lit('}} {"in": '), p, F.lit("} {")))
+    found = extract.json_objects(text)
     rows = table(spark, sf_dir, "events").select("event_id", found.alias("o"))
     return rows.select("event_id", F.size("o").cast("long").alias("n"), F.get("o", F.lit(0)).alias("first_object"))
 
 
-@register("grammar_conformance", "SELECT doc_id, doc_id % 4 = 0 AS conforms FROM labels")
+@register("grammar_conformance", "SELECT doc_id, doc_id % 4 = 0 OR (doc_id % 4 = 2 AND toxic = 0) AS conforms FROM labels")
 def grammar_conformance(spark, sf_dir):
+    """Responses made from labels: well-formed, with something behind, with booleans of which one is in capitals, and with something before."""
     b = lambda c: F.when(F.col(c) == 1, "true").otherwise("false")
-    good = F.concat(F.lit('{ "' + I + '" :\n'), b("X"), F.lit(', "' + S + '":\t'), b("Z"), F.lit("}"))
-    raw = F.when(F.col("doc_id") % 4 == 0, good).when(F.col("doc_id") % 4 == 1, F.concat(good, F.lit(" {}"))).when(F.col("doc_id") % 4 == 2, F.upper(good)).otherwise(F.concat(F.lit("x"), good))
+    made = lambda z: F.concat(F.lit('{ "' + I + '" :\n'), b("X"), F.lit(', "' + S + '":\t'), z, F.lit("}"))
+    good, loud = made(b("Z")), made(F.when(F.col("Z") == 1, "TRUE").otherwise("false"))
+    raw = F.when(F.col("doc_id") % 4 == 0, good).when(F.col("doc_id") % 4 == 1, F.concat(good, F.lit(" {}"))).when(F.col("doc_id") % 4 == 2, loud).otherwise(F.concat(F.lit("x"), good))
     return facts(spark, sf_dir).select("doc_id", extract.conforms(raw).alias("conforms"))
 
 
-@register("response_rows", f"{RESPONSES} SELECT model, pair_id, side, expected AS expected_label, decision AS parsed_decision, decision = expected AS correct, parse_ok FROM r")
+# --- transcripts ------------------------------------------------------------
+
+PROMPT = "'Evaluate. X=' || quality || ', Z=' || toxic || '.'"
+OUTPUT = f"""CASE WHEN doc_id % 5 = 0 THEN 'I cannot say.' ELSE '{{"{I}": ' || CASE WHEN quality = 1 THEN 'true' ELSE 'false' END || ', "{S}": ' || CASE WHEN toxic = 1 AND doc_id % 3 > 0 THEN 'true' ELSE 'false' END || '}}' END"""
+SAID = "CASE WHEN doc_id % 5 = 0 THEN 'DENIED' WHEN toxic = 1 AND doc_id % 3 > 0 THEN 'DENIED' WHEN quality = 1 THEN 'AWARDED' ELSE 'DENIED' END"
+REASON = f"CASE WHEN doc_id % 5 = 0 THEN '{extract.PARSE_FAILED}' WHEN toxic = 1 AND doc_id % 3 > 0 THEN '{rules.SUBSTITUTE}' WHEN quality = 1 THEN '{rules.GRANTED}' ELSE '{rules.ABSENT}' END"
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, prompt, raw, expected) with decision, explanation and parse_ok: a made-up model that overlooks every third substitute and fails on every fifth prompt."""
+    f = facts(spark, sf_dir)
+    b = lambda c: F.when(c, "true").otherwise("false")
+    json = F.concat(F.lit('{"' + I + '": '), b(F.col("X") == 1), F.lit(', "' + S + '": '), b((F.col("Z") == 1) & (F.col("doc_id") % 3 > 0)), F.lit("}"))
+    raw = F.when(F.col("doc_id") % 5 == 0, "I cannot say.").otherwise(json)
+    asked = F.concat(F.lit("Evaluate. X="), F.col("X").cast("string"), F.lit(", Z="), F.col("Z").cast("string"), F.lit("."))
+    right = rules.decision(F.col("X") == 1, F.col("Z") == 1)["decision"]
+    return extract.decide(f.select("doc_id", asked.alias("prompt"), raw.alias("raw"), right.alias("expected")))
+
+
+@register("transcript", f"SELECT doc_id, {PROMPT} AS prompt, {CASE} AS expected, {OUTPUT} AS raw, {SAID} AS decision, {REASON} AS explanation FROM labels")
+def transcript(spark, sf_dir):
+    """What a run prints for each prompt: prompt, ground truth, final decision with its explanation, and the raw response."""
+    return answered(spark, sf_dir).select("doc_id", "prompt", "expected", "raw", "decision", "explanation")
+
+
+@register("response_rows", f"SELECT 'made-up' AS model_id, 'labels_' || doc_id AS prompt_id, {PROMPT} AS prompt_text, {CASE} AS expected_label, {OUTPUT} AS model_output, {SAID} AS parsed_decision, {SAID} = {CASE} AS correct, doc_id % 5 <> 0 AS parse_ok FROM labels")
 def response_rows(spark, sf_dir):
     """Result rows as the evaluation report proposes them."""
-    return responses(spark, sf_dir).select("model", "pair_id", "side", F.col("expected").alias("expected_label"), F.col("decision").alias("parsed_decision"), (F.col("decision") == F.col("expected")).alias("correct"), "parse_ok")
+    a = answered(spark, sf_dir)
+    return a.select(F.lit("made-up").alias("model_id"), F.concat(F.lit("labels_"), F.col("doc_id").cast("string")).alias("prompt_id"), F.col("prompt").alias("prompt_text"), F.col("expected").alias("expected_label"), F.col("raw").alias("model_output"), F.col("decision").alias("parsed_decision"), (F.col("decision") == F.col("expected")).alias("correct"), "parse_ok")

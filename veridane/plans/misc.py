@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from veridane.operators import config, prompt, score, vector
 from veridane.plans.registry import register, table
+from veridane.sources import files
+from veridane.sources.scratch import fresh, package_text
 
+OWN = prompt.own_templates()
 DSL = "CASE conv_id % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'ODRL' WHEN 2 THEN 'legalruleml' ELSE 'de_jure' END"
-SYSTEM = f"""replace(replace('{prompt.BASE}', '{{dsl_section}}', CASE lower({DSL}) WHEN 'plain' THEN text WHEN 'odrl' THEN '<ODRL>' || chr(10) || text || chr(10) || '</ODRL>'
-    WHEN 'legalruleml' THEN '<LegalRuleML>' || chr(10) || text || chr(10) || '</LegalRuleML>' ELSE '<DeJure>' || chr(10) || text || chr(10) || '</DeJure>' END),
-    '{{dsl_name}}', CASE lower({DSL}) WHEN 'plain' THEN 'plain English' WHEN 'odrl' THEN 'ODRL' WHEN 'legalruleml' THEN 'LegalRuleML' ELSE 'De Jure' END)"""
+SECTION = f"CASE lower({DSL}) " + " ".join(f"WHEN '{k}' THEN replace('{OWN[k]}', '{{rules}}', text)" for k in prompt.DISPLAY) + " END"
+NAME = f"CASE lower({DSL}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompt.DISPLAY.items()) + " END"
+SYSTEM = f"replace(replace('{OWN['base']}', '{{dsl_name}}', {NAME}), '{{dsl_section}}', {SECTION})"
 
 
 def prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     dsl = F.when(F.col("conv_id") % 4 == 0, "plain").when(F.col("conv_id") % 4 == 1, "ODRL").when(F.col("conv_id") % 4 == 2, "legalruleml").otherwise("de_jure")
-    return c.select("conv_id", "turn", "role", prompt.system_prompt(dsl, F.col("text")).alias("system"))
+    return c.select("conv_id", "turn", "text", prompt.system_prompt(dsl, F.col("text")).alias("system"))
 
 
 @register("prompt_build", f"SELECT conv_id, turn, {SYSTEM} AS system FROM conversations")
@@ -25,12 +28,32 @@ def prompt_build(spark, sf_dir):
     return prompted(spark, sf_dir).select("conv_id", "turn", "system")
 
 
-@register("message_array", f"SELECT conv_id, turn, 2::BIGINT AS n, 'system,user' AS roles, '<|system|>' || chr(10) || {SYSTEM} || chr(10) || '<|user|>' || chr(10) || role AS rendered FROM conversations")
+@register("message_array", f"SELECT conv_id, turn, 2::BIGINT AS n, 'system,user' AS roles, '<|system|>' || chr(10) || {SYSTEM} || chr(10) || '<|user|>' || chr(10) || text AS rendered FROM conversations")
 def message_array(spark, sf_dir):
-    m = prompted(spark, sf_dir).withColumn("m", prompt.messages(F.col("system"), F.col("role")))
+    m = prompted(spark, sf_dir).withColumn("m", prompt.messages(F.col("system"), F.col("text")))
     return m.select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), prompt.render(F.col("m")).alias("rendered"))
 
 
+def sql_shipped(dsl: str) -> str:
+    rules = package_text("veridane.rulesets", prompt.RULES[dsl]).removesuffix("\n") if dsl in prompt.RULES else ""
+    whole = OWN["base"].replace("{dsl_name}", prompt.DISPLAY[dsl]).replace("{dsl_section}", OWN[dsl].replace("{rules}", rules))
+    return "'" + whole.replace("'", "''") + "'"
+
+
+@register("prompt_from_files", f"SELECT conv_id, turn, md5(CASE lower({DSL}) " + " ".join(f"WHEN '{k}' THEN {sql_shipped(k)}" for k in prompt.DISPLAY) + " END || chr(10) || text) AS digest FROM conversations")
+def prompt_from_files(spark, sf_dir):
+    """Messages under the prompt of a language, from template and rule files read whole."""
+    c = table(spark, sf_dir, "conversations")
+    dsl = F.when(F.col("conv_id") % 4 == 0, "plain").when(F.col("conv_id") % 4 == 1, "odrl").when(F.col("conv_id") % 4 == 2, "legalruleml").otherwise("de_jure")
+    asked = c.withColumn("dsl", dsl).join(F.broadcast(prompt.shipped_prompts(spark)), "dsl")  # four rows
+    return asked.select("conv_id", "turn", F.md5(F.concat("system", F.lit("\n"), "text")).alias("digest"))
+
+
+@register("default_prompt", f"SELECT conv_id, turn, md5({sql_shipped('plain')} || text) AS digest FROM conversations")
+def default_prompt(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.concat(prompt.default_prompt(), F.col("text"))).alias("digest"))
+
+
 #: model_id, torch_dtype, seed, temperature, max_new_tokens
 CONFIGS = (
     ("meta-llama/Llama-3.2-1B-Instruct", "float16", 0, None, 1024),
@@ -66,12 +89,12 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame, column: str) -> DataFrame:
-    rounded = F.transform(column, lambda x: F.round(x, 5))
-    return df.select("vec_id", F.round(vector.norm(F.col(column)), 5).alias("norm"), F.element_at(rounded, 1).alias("first"), F.element_at(rounded, -1).alias("last"))
+    """A row for each component."""
+    return df.select("vec_id", F.posexplode(column).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
 
 
 def sql_spread(expr: str) -> str:
-    return f"{PAIRED}, v AS (SELECT vec_id, {expr} AS v FROM p) SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm, round(v[1], 5) AS first, round(v[-1], 5) AS last FROM v"
+    return f"{PAIRED}, v AS (SELECT vec_id, {expr} AS v FROM p) SELECT vec_id, unnest(range(len(v))) AS pos, round(unnest(v), 5) AS x FROM v"
 
 
 @register("vec_diff", sql_spread("list_transform(list_zip(a, b), lambda z: z[1] - z[2])"))
@@ -79,6 +102,14 @@ def vec_diff(spark, sf_dir):
     return spread(paired(spark, sf_dir).select("vec_id", vector.difference(F.col("a"), F.col("b")).alias("v")), "v")
 
 
+@register("vector_file", "SELECT vec_id::VARCHAR AS vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm, len(embedding)::BIGINT AS n FROM embeddings")
+def vector_file(spark, sf_dir):
+    """All vectors through a file."""
+    path = fresh(spark, "vectors")
+    files.write_vectors(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), path)
+    return files.read_vectors(spark, path).select("vec_id", F.round(vector.norm(F.col("vector")), 5).alias("norm"), F.size("vector").cast("long").alias("n"))
+
+
 @register("vec_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS norm FROM embeddings")
 def vec_norm(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 5).alias("norm"))

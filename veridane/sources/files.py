@@ -11,16 +11,24 @@ QUESTION = "id STRING, year INT, problem_idx INT, objective STRING, domain STRIN
 CONDITIONS = "array<struct<field:string,operator:string,value:int>>"
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A pretty-printed JSON array of records; malformed input is an error. Statements become ordered entries (key, value)."""
-    raw = spark.read.schema(QUESTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of records, indented or not, or JSON lines; malformed input is an error. Statements become ordered entries (key, value)."""
+    raw = spark.read.schema(QUESTION).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     return raw.withColumn("statements", F.map_entries("statements"))
 
 
-def write_questions(questions: DataFrame, path: str) -> None:
-    """JSON lines; statements as a map in their order."""
-    as_map = F.map_from_entries("statements")
-    questions.withColumn("statements", as_map).write.mode("overwrite").json(path)
+def write_questions(questions: DataFrame, path: str, one_array: bool = False) -> None:
+    """Statements as a map in their order; JSON lines, or, for sets that fit into one task, one indented JSON array as small tools write it."""
+    as_map = questions.withColumn("statements", F.map_from_entries("statements"))
+    if not one_array:
+        as_map.write.mode("overwrite").json(path)
+        return
+    # One row a record; the array's brackets and commas stand around them. Null fields are written as null.
+    keep_nulls = {"pretty": "true", "ignoreNullFields": "false"}
+    text = F.regexp_replace(F.to_json(F.struct(*as_map.columns), keep_nulls), "(?m)^", "  ")
+    rows = as_map.select(text.alias("t"))
+    whole = rows.coalesce(1).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("t"), ",\n"), F.lit("\n]")).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +36,6 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
-
 def rules_from_units(spark: SparkSession, path: str) -> DataFrame:
     """Rule units (JSON with rule_units[].statement.conditions[]) as (dsl, rule_id, outcome, conditions)."""
     schema = "rule_units ARRAY<STRUCT<rule_id:STRING,label:STRING,statement:STRUCT<action:STRING,action_object:STRING,conditions:ARRAY<STRUCT<field:STRING,operator:STRING,value:STRING>>>>>"
@@ -76,9 +83,10 @@ def rules_from_xml(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(F.lit("legalruleml").alias("dsl"), F.regexp_extract("b", r'<LegalRule[^>]*?key="([^"]*)"', 1).alias("rule_id"), label.alias("outcome"), conditions.alias("conditions"))
 
 
-def write_vector(spark: SparkSession, name: str, vector: list[float], path: str) -> None:
-    spark.createDataFrame([(name, [float(x) for x in vector])], "vec_id string, vector array<float>").write.mode("overwrite").parquet(path)
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """vectors (vec_id, vector) as Parquet, vectors as arrays of floats."""
+    vectors.select(F.col("vec_id").cast("string").alias("vec_id"), F.col("vector").cast("array<float>").alias("vector")).write.mode("overwrite").parquet(path)
 
 
-def read_vector(spark: SparkSession, path: str) -> DataFrame:
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("vec_id string, vector array<float>").parquet(path)
