@@ -151,6 +151,46 @@ def test_repeats_of_random_words():
         assert (*(int(m[c][k]) for c in repetition.COUNTS[:-1]), failed[k], kept[k]) == brute.quality(t)
 
 
+def methods_own():
+    """Texts that the base rule passes: with repeats just within and just over the method's limits."""
+    r = random.Random(21)
+    fresh = iter(f"w{k}" for k in range(10**6))
+    some = lambda n: " ".join(next(fresh) for _ in range(n))
+    out = []
+    for n in (49, 50, 51, 52, 80):  # one long passage twice in a long text
+        p = some(n)
+        out.append(f"{some(200)} {p} {some(150)} {p} {some(100)}")
+    for times in (5, 6, 7, 8, 9, 12):  # many short passages twice: 14 words each of 200 and more
+        parts = [some(7) for _ in range(times)]
+        rest = [some(3) for _ in range(2 * times)]
+        mixed = [*parts, *parts]
+        r.shuffle(mixed)
+        out.append(" ".join(x for pair in zip(rest, mixed, strict=True) for x in pair) + " " + some(200 - 6 * times))
+    return out
+
+
+def test_method_rejects_beyond_the_base_rule(spark):
+    """Planted repeats that only the method fails, against brute force and the registered SQL."""
+    import duckdb
+
+    from veridane.llm import op5_sql
+
+    texts = methods_own()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repetition.quality(df).drop("longest_repeat").collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert 0 < sum(not r["kept"] for r in got.values()) < len(texts)
+    assert [got[k]["kept"] for k in range(len(texts))] == [brute.quality(t)[-1] for t in texts]
+    assert [got[k]["kept"] for k in range(5)] == [True, True, False, False, False]
+    assert len({got[k]["kept"] for k in range(5, len(texts))}) == 2
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    names = list(got[0].asDict())
+    rows = duck.execute(f"SELECT {', '.join(names)} FROM ({op5_sql.ORACLE})").fetchall()
+    assert sorted(rows) == sorted(tuple(r) for r in got.values())
+
+
 # --- language ------------------------------------------------------------------
 
 

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veridane.sources.scratch import shared_dir
+
 #: Paths written within each open scope().
 _SCOPES: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own; on a cluster it is an error, as executors don't share local folders."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridane-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return f"{where.rstrip('/')}/veridane-{spark.sparkContext.applicationId}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again."""
     spark = df.sparkSession
