@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +35,19 @@ def shipped_rules(spark: SparkSession) -> DataFrame:
 
 
 def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("X", "Z"), most: int = 10_000) -> DataFrame:
-    """facts joined to each rule whose conditions all hold. Up to `most` rules (they are counted) go to every task; beyond that the join is Spark's choice."""
-    if rules.limit(most + 1).count() <= most:
-        rules = F.broadcast(rules)
-    held = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("int"))])
-    holds = F.forall("conditions", lambda c: (c["operator"] == "eq") & (F.element_at(F.col("_facts"), c["field"]) == c["value"]))
-    return facts.withColumn("_facts", held).join(rules, holds).drop("_facts", "conditions")
+    """facts joined to each rule whose conditions (field eq value) all hold; a null field makes no condition hold.
+
+    An equi-join at any size: a rule's key is its set of conditions, and each fact
+    offers one key for every subset of its few fields. Up to `most` rules (they are
+    counted) go to every task.
+    """
+    one = lambda f, v: F.concat(f, F.lit("="), v.cast("string"))
+    joined = lambda keys: F.array_join(F.array_sort(keys), ",")
+    usable = F.forall("conditions", lambda c: F.coalesce((c["operator"] == "eq") & c["field"].isin(*fields) & c["value"].isNotNull(), F.lit(False)))
+    keyed = rules.filter(usable).withColumn("_key", joined(F.array_distinct(F.transform("conditions", lambda c: one(c["field"], c["value"]))))).drop("conditions")
+    if keyed.limit(most + 1).count() <= most:
+        keyed = F.broadcast(keyed)
+    subsets = [c for n in range(len(fields) + 1) for c in itertools.combinations(fields, n)]
+    whole = lambda c: functools.reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in c], F.lit(True))
+    offers = [F.when(whole(c), joined(F.array(*[one(F.lit(f), F.col(f).cast("int")) for f in c])) if c else F.lit("")) for c in subsets]
+    return facts.withColumn("_key", F.explode(F.array_compact(F.array(*offers)))).join(keyed, "_key").drop("_key")
