@@ -1,6 +1,7 @@
 """The pipeline against plain stages, and the registered queries against their SQL."""
 
 import collections
+import pathlib
 from pathlib import Path
 
 import brute
@@ -11,6 +12,7 @@ from test_tokens import byte_ids, check_packed
 
 import corpus_pipeline
 from veridane.llm import queries
+from veridane.sources.scratch import shared_dir
 
 BASE = "/root/testdata/sf0.001"
 
@@ -38,6 +40,33 @@ def test_pipeline_of_nothing(spark):
         assert stage(spark, docs, BASE).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, docs, rows, tmp_path):
+    """Nulls in any column, repeated rows and ids, empty and very long texts: what is left is packed whole, and only good documents are left."""
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    good = {i for i, t in [*[(r[0], r[1]) for r in rows], (None, "a null id"), (None, rows[3][1])] if t and len(t) < 20000 and brute.quality(t)[-1]}
+    assert pieces and {p["doc_id"] for p in pieces} <= good
+    by_sequence, by_doc = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
+        by_doc[p["doc_id"]].append((p["start"], p["length"], p["doc_tokens"]))
+    for parts in by_sequence.values():
+        ends = [0, *[a + n for a, n in sorted(parts)]]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+    for parts in by_doc.values():  # one document of each group of copies, so an id occurs once
+        ends = [0, *[a + n for a, n, _ in sorted(parts)]]
+        assert [a for a, *_ in sorted(parts)] == ends[:-1] and {total for *_, total in parts} == {ends[-1]}
+
+
+def test_tables_of_a_run_are_cleared(spark, tmp_path):
+    """All but what the last stage reads."""
+    spark.read.parquet(f"{BASE}/documents.parquet").limit(30).write.parquet(str(tmp_path / "documents.parquet"))
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert len(set(folder.iterdir()) - before) == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()

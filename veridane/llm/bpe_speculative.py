@@ -17,7 +17,9 @@ Memory is bounded by the window of text (``window_chars``), whatever a
 document's length: long documents are cut before white space that follows other
 text, where the split rule always has a boundary.
 
-Edge cases: null text counts as empty and gives no tokens; the special string
+Edge cases: null text counts as empty and gives no tokens; an empty table gives an
+empty result; of equal rules the leftmost pair is merged first; other columns of
+the table, whatever their names, are left out; the special string
 ``<|endoftext|>`` gives its special id, as the tokenizers library does by
 default, and is decoded as that string; repeated rows give repeated results.
 """

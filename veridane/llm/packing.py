@@ -13,8 +13,11 @@ no shuffle, no state between tasks, memory bounded by the block and the longest
 document. A sequence's number holds its task's partition number in the upper
 bits; a task that is run again makes the same numbers.
 
-Edge cases: a null or empty text is a document of its end id alone; rows that
-repeat, also with the same id, are packed each; a null id stays null.
+Edge cases: a null or empty text is a document of its end id alone; an empty table
+gives an empty result; rows that repeat, also with the same id, are packed each; a
+null id stays null; texts of any length are cut into full sequences and a tail; of
+equal lengths the document read first is placed first, of equal costs the sequence
+of the smaller number is taken; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ the longest repeat. A text is kept if neither passes its limit.
 The same array gives the base rule's repeated three-word windows (LCP >= 3).
 
 Edge cases: a null text has no words; an empty table gives an empty result;
-equal rows give equal results; a text without repeats has covered fraction 0.
+equal rows give equal results; a text without repeats has covered fraction 0; of
+equal repeats each place counts; other columns, whatever their names, are left out
+of the query and kept as they are by `keep_good`.
 Memory follows the words of a slice of ``batch_words`` or of the longest document.
 """
 

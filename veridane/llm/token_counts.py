@@ -12,8 +12,11 @@ stable common boundary: a place q < p inside the overlap where
 Without such a place the overlap is doubled, at last to the document's end, so
 a count never rests on an unproven splice. Memory: one chunk's encoding.
 
-Edge cases: null text is empty (0 bytes, 0 tokens); special strings in texts are
-handled as the library's default does; repeated rows are counted each.
+Edge cases: null text is empty (0 bytes, 0 tokens); an empty table gives an empty
+result; special strings in texts are handled as the library's default does;
+repeated rows are counted each, also with null ids; of equally good splices the
+last is taken, which changes no count; other columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations
