@@ -140,3 +140,10 @@ def majority_baseline(spark, sf_dir):
 def null_profile(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("domain"))
     return c.agg(F.count("*").alias("records"), F.count(F.when(F.col("domain").isNull(), 1)).alias("null_domain"))
+
+
+@register("null_listing", "SELECT c_custkey AS id FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NULL")
+def null_listing(spark, sf_dir):
+    """The records without a domain."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("domain"))
+    return c.filter("domain IS NULL").select("id")
