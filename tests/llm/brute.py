@@ -1,6 +1,7 @@
 """Plain versions of the operators, one document at a time."""
 
 import collections
+import functools
 import hashlib
 import re
 import unicodedata
@@ -278,6 +279,7 @@ def grams(text, buckets):
     return out
 
 
+@functools.cache
 def leaves(text):
     """Leaves of a text, cut character by character."""
 

@@ -156,7 +156,7 @@ def test_redaction_of_overlaps_and_wide_characters(spark):
 def test_redaction_is_linear_in_spans(spark):
     """Twice the spans in one text take about twice the time, not four times."""
     took = []
-    for n in (1000, 16000, 32000):
+    for n in (1000, 10000, 20000):
         df = spark.createDataFrame([(1, " ".join(f"a{k}@b.cd é" for k in range(n)))], SCHEMA)
         start = time.perf_counter()
         assert pii_bootstrap.redact(df).first()["text"] == " ".join(["<EMAIL> é"] * n)

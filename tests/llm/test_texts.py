@@ -61,6 +61,8 @@ def test_branches_locate_all_edits():
         if r.random() < 0.2:
             u = "\n".join(r.sample(u.split("\n"), u.count("\n") + 1))
         a, b = merkle.tree(t), merkle.tree(u)
+        same = next((k for k, (x, y) in enumerate(zip(t, u, strict=False)) if x != y), min(len(t), len(u)))
+        assert merkle.regrown(a, u, same) == b
         found = ",".join(f"{w}:{x}>{y}:{z}" for w, x, y, z in merkle.differences(a, b))
         assert replayed(t, u, found) == u
         assert math.isclose(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)), brute.likeness(t, u))
