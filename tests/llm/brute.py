@@ -121,6 +121,7 @@ def mentions(text):
     marks = r"(?:[\[<{\"']|\((?![0-9+]+\).))*"
     label = rf"{marks}(?:[A-Za-z][A-Za-z_-]{{1,40}}[\"']?[:=#]+)?{marks}"
     number = lambda w: re.fullmatch(r"[(+]*[0-9][0-9()/.+-]*[.,;:!?]*", w) is not None
+    alone = lambda w: number(w) and whole(w.rstrip(".,;:!?)]>}\"'*$%&#")) is not None
     for k in tokens:
         a, b, w = words[k]
         begun = sorted((x, kind, text[x:y], y) for x, kind, y in spans if a <= x < b)
@@ -128,7 +129,7 @@ def mentions(text):
             groups.append((k, k, begun[0]))
         elif not any(x < a < y for x, _, y in spans):
             last = groups[-1] if groups else None
-            if last and last[2] is None and last[1] == k - 1 and text[words[k - 1][1] : a] == " " and number(w) and number(re.sub(f"^{label}", "", words[k - 1][2])) and words[k - 1][2][-1] not in ".,;:!?":
+            if last and last[2] is None and last[1] == k - 1 and text[words[k - 1][1] : a] == " " and number(w) and number(re.sub(f"^{label}", "", words[k - 1][2])) and words[k - 1][2][-1] not in ".,;:!?" and not alone(w) and not alone(words[k - 1][2]):
                 groups[-1] = (last[0], k, None)
             else:
                 groups.append((k, k, None))

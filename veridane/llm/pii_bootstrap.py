@@ -9,8 +9,9 @@
    ended, so they are linear in a text's length and never recurse.
 2. *Mentions.* A base span or a secret that begins in an identifier-like word is a
    seed. Of the other such words, numbers in a row, one space apart, are one
-   candidate as a whole (``555 100 2000``); a word that a span touches is none, so
-   there are no pieces of spans. Marks and a name with = : or # before a candidate
+   candidate as a whole (``555 100 2000``), but for one that alone is a base match
+   and passes its check; a word that a span touches is none, so there are no pieces
+   of spans. Marks and a name with = : or # before a candidate
    (``tel:``) belong to its context. A candidate that in itself is a base match
    and passes its check is a seed too: a match that a neighbour had run into.
 3. *Patterns.* Three lexical contexts of a mention, from the words around it in
@@ -241,10 +242,11 @@ def mentions(placed: DataFrame) -> DataFrame:
     words = both.filter(F.col("holder.start").isNotNull()).groupBy("row", "holder").agg(seed.alias("seed"), word.alias("t"))
     # Words that no span touches; numbers among them in a row make one candidate.
     free = F.col("seed").isNull() & (F.col("t.reach") <= F.col("holder.start"))
-    number = F.col("free") & F.col("t.m").rlike(NUMBER)
+    number = F.col("free") & F.col("t.m").rlike(NUMBER) & ~F.col("alone")
     order = Window.partitionBy("row").orderBy("holder.start")
-    goes_on = F.lag(F.col("free") & F.col("t.m").rlike(FIRST_NUMBER) & ~F.col("t.m").rlike(LAST_NUMBER)).over(order)
-    words = words.withColumn("free", free).withColumn("joined", F.coalesce(number & F.col("t.near") & goes_on, F.lit(False)))
+    goes_on = F.lag(F.col("free") & ~F.col("alone") & F.col("t.m").rlike(FIRST_NUMBER) & ~F.col("t.m").rlike(LAST_NUMBER)).over(order)
+    alone = F.when(F.col("free") & F.col("t.m").rlike(NUMBER), whole(F.regexp_replace("t.m", TAIL, "")).isNotNull()).otherwise(False)
+    words = words.withColumn("free", free).withColumn("alone", alone).withColumn("joined", F.coalesce(number & F.col("t.near") & goes_on, F.lit(False)))
     words = words.withColumn("run", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(order)).filter(F.col("free") | F.col("seed").isNotNull())
     runs = words.groupBy("row", "run").agg(
         F.min(F.struct("holder.start", "t.m", "t.left", "t.first_byte", "seed")).alias("a"),
