@@ -11,8 +11,9 @@ all edits (`differences`).
 
 A fingerprint is the root and the tree with 32-bit hashes of all leaves, whatever
 the length of the text. Likeness is the share of leaves in common (Dice, with
-counts), 1 for equal roots; it is counted down the branches: equal sections are
-common as a whole, then equal paragraphs of the others, then leaves of the rest.
+counts), 1 for equal roots; it is counted down the branches: sections that are
+equal at either end are common as a whole, so are paragraphs of what lies between
+them, and what is left is compared leaf by leaf.
 
 Pairs of neighbours: a document's edited text takes text from the next one in
 descending order of id. The order is dealt out in ranges of about equal bytes.
@@ -74,40 +75,66 @@ def cut_places(text: str) -> list[int]:
         return []
     mixed = points * np.uint32(0x9E3779B1)
     mixed ^= mixed >> np.uint32(15)
-    n = len(points) - WINDOW + 1
-    rolled, factor = np.zeros(n, np.uint32), 1
-    for k in range(WINDOW):
-        rolled += mixed[WINDOW - 1 - k : WINDOW - 1 - k + n] * np.uint32(factor)
-        factor = factor * 0x01000193 & 0xFFFFFFFF
-    rolled *= np.uint32(0x85EBCA6B)
+    rolled, width, factor = mixed, 1, 0x01000193
+    while width < WINDOW:  # from hashes of `width` characters to those of twice as many
+        rolled = rolled[width:] + rolled[:-width] * np.uint32(factor)
+        width, factor = 2 * width, factor * factor & 0xFFFFFFFF
+    rolled = rolled * np.uint32(0x85EBCA6B)
     return (np.flatnonzero(rolled >> np.uint32(32 - EVERY_BITS) == 0) + WINDOW).tolist()
 
 
-def tree(text: str | None) -> Tree:
-    text = text or ""
-    places = cut_places(text)
-    paragraphs, paragraph_ends, leaves, lengths = [], [], [], []
+class Lines(NamedTuple):
+    """The two lower levels of a tree."""
+
+    paragraphs: list[bytes]
+    paragraph_ends: list[int]
+    leaves: list[bytes]
+    leaf_lengths: list[int]
+
+
+def lines_of(text: str) -> Lines:
+    places = [*cut_places(text), len(text) + MOST]
+    out = Lines([], [], [], [])
+    _, ends, leaves, lengths = out
     at = k = 0
     for line in text.split("\n"):
         stop, own = at + len(line), []
         while at < stop:
             # The window of a place LEAST characters on lies in the leaf, so a leaf depends on itself alone.
             k = bisect_left(places, at + LEAST, k)
-            end = min(stop, at + MOST, places[k] if k < len(places) else stop)
-            own.append(digest(text[at:end].encode()))
+            end = min(stop, at + MOST, places[k])
+            own.append(hashlib.blake2b(text[at:end].encode(), digest_size=16).digest())
             lengths.append(end - at)
             at = end
         at = stop + 1
         leaves += own
-        paragraphs.append(digest(b"p" + b"".join(own)))
-        paragraph_ends.append(len(leaves))
+        out.paragraphs.append(digest(b"p" + b"".join(own)))
+        ends.append(len(leaves))
+    return out
+
+
+def grown(lines: Lines) -> Tree:
+    """The tree above its lines."""
     sections, ends, start = [], [], 0
-    for k, p in enumerate(paragraphs):
-        if p[0] % SECTION_EVERY == 0 or k == len(paragraphs) - 1:
-            sections.append(digest(b"s" + b"".join(paragraphs[start : k + 1])))
+    for k, p in enumerate(lines.paragraphs):
+        if p[0] % SECTION_EVERY == 0 or k == len(lines.paragraphs) - 1:
+            sections.append(digest(b"s" + b"".join(lines.paragraphs[start : k + 1])))
             ends.append(k + 1)
             start = k + 1
-    return Tree(digest(b"r" + b"".join(sections)), sections, ends, paragraphs, paragraph_ends, leaves, lengths)
+    return Tree(digest(b"r" + b"".join(sections)), sections, ends, *lines)
+
+
+def tree(text: str | None) -> Tree:
+    return grown(lines_of(text or ""))
+
+
+def regrown(old: Tree, text: str, same: int) -> Tree:
+    """The tree of a text whose first `same` characters are those of old's text: their whole lines are taken over."""
+    begin = text.rfind("\n", 0, same) + 1
+    n = text.count("\n", 0, begin)
+    kept = old.paragraph_ends[n - 1] if n else 0
+    rest = lines_of(text[begin:])
+    return grown(Lines(old.paragraphs[:n] + rest.paragraphs, old.paragraph_ends[:n] + [kept + e for e in rest.paragraph_ends], old.leaves[:kept] + rest.leaves, old.leaf_lengths[:kept] + rest.leaf_lengths))
 
 
 def fingerprint(t: Tree) -> str:
@@ -121,14 +148,21 @@ def likeness(a: str, b: str) -> float:
     """Share of leaves in common, from two fingerprints; 0 to 1."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = a[33:].split("|"), b[33:].split("|")
-    total = sum(len(f) - 33 - f.count("|") - f.count(",") for f in (a, b)) // 8
-    common = 0
-    for parts in (lambda s: s.split(","), lambda p: [p[k : k + 8] for k in range(0, len(p), 8)], lambda leaf: []):
-        left, right = Counter(x), Counter(y)
-        same = left & right
-        common += sum((len(node) - node.count(",")) // 8 * n for node, n in same.items())
-        x, y = ([p for node in (side - same).elements() for p in parts(node)] for side in (left, right))
+    size = lambda node: (len(node) - node.count("|") - node.count(",")) // 8
+    x, y = a[33:], b[33:]
+    total, common = size(x) + size(y), 0
+    for mark in "|,":  # branches that are equal at either end, of the sections and then of the paragraphs between
+        p, q = x.split(mark), y.split(mark)
+        n, start = min(len(p), len(q)), 0
+        while start < n and p[start] == q[start]:
+            start += 1
+        end = 0
+        while end < n - start and p[-1 - end] == q[-1 - end]:
+            end += 1
+        common += sum(map(size, p[:start])) + sum(map(size, p[len(p) - end :]))
+        x, y = (mark.join(side[start : len(side) - end]) for side in (p, q))
+    left, right = (Counter(side[k : k + 8] for k in range(0, len(side), 8)) for side in (x.replace("|", "").replace(",", ""), y.replace("|", "").replace(",", "")))
+    common += sum(min(n, right[leaf]) for leaf, n in left.items() if leaf in right)
     return 2 * common / total if total else 0.0
 
 
@@ -319,7 +353,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if held is not None and held[0] == bucket:
                     _, held_key, before, before_tree, before_print = held
                     changed = edited(before, text)
-                    other = tree(changed) if changed != before else before_tree
+                    other = regrown(before_tree, changed, len(before) - len(before) // 3) if changed != before else before_tree
                     other_print = fingerprint(other)
                     found = ",".join(f"{a}:{b}>{c}:{d}" for a, b, c, d in differences(before_tree, other))
                     rows.append((held_key, len(before), hashlib.sha256(changed.encode()).hexdigest(), before_print, other_print, likeness(before_print, other_print), likeness(before_print, print_), found))
