@@ -169,12 +169,7 @@ class SpeculativeBpe:
             token = self.node_token[node]
             whole = token >= 0
             best[at[whole]], length[at[whole]] = token[whole], depth
-        steps, p, seen = (np.arange(n, dtype=np.int32) + length).tolist(), 0, []
-        add = seen.append
-        while p < n:
-            add(p)
-            p = steps[p]
-        first = np.array(seen, np.int64)
+        first = followed(starts.astype(np.int64), np.append(starts[1:], n), length)
         return best[first].astype(np.int64), first
 
     # --- verify ---------------------------------------------------------
@@ -444,6 +439,25 @@ class SpeculativeBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+def followed(starts: np.ndarray, stops: np.ndarray, length: np.ndarray, rounds: int = 256) -> np.ndarray:
+    """All places that jumps of `length` reach from starts up to their stops, in order: all words go one jump at a time, the few that are left after some rounds one by one."""
+    out, at, stop = [], starts, stops
+    for _ in range(rounds):
+        if not len(at):
+            break
+        out.append(at)
+        at = at + length[at]
+        inside = at < stop
+        at, stop = at[inside], stop[inside]
+    for a, b in zip(at.tolist(), stop.tolist(), strict=True):
+        own, jumps, p = [], length[a:b].tolist(), 0
+        while p < len(jumps):
+            own.append(a + p)
+            p += jumps[p]
+        out.append(np.array(own, np.int64))
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 @functools.cache
 def coder(path: str) -> SpeculativeBpe:
     """One for each worker process and vocabulary."""
