@@ -196,7 +196,7 @@ def places(scanned: DataFrame) -> DataFrame:
     name = F.when(F.col("kind") == SECRET, F.regexp_extract("m", f"^{NAMED}", 0)).otherwise("")
     placed = each.withColumns({"stop": stop, "last_byte": last_byte, "words": left, "right": right, "m": F.substring("m", F.length(name) + 1, F.length("m"))})
     placed = placed.withColumns({"start": F.col("stop") - F.length("m"), "first_byte": F.col("last_byte") - F.octet_length("m")})
-    return placed.filter(valid(F.col("kind"), F.col("m"))).select("row", "kind", "start", "stop", "first_byte", "last_byte", "m", F.col("near").alias("near"), F.slice("words", -2, 2).alias("left"), "right")
+    return placed.filter(valid(F.col("kind"), F.col("m"))).select("row", "kind", "start", "stop", "first_byte", "last_byte", "m", "near", F.slice("words", -2, 2).alias("left"), "right")
 
 
 def cue(w: Column) -> Column:
@@ -344,13 +344,14 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     names = docs.columns
     numbered_docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
     text = f"c{names.index(text_col)}"
-    rows = written(numbered_docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    placed = written(places(written(scan(rows.select("row", F.col(text).alias("text"))), "scan")), "places")
+    rows = written(numbered_docs.withColumns({"row": F.monotonically_increasing_id(), "busy": F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))}), "rows")
+    placed = written(places(written(scan(rows.filter("busy").select("row", F.col(text).alias("text"))), "scan")), "places")
     order = Window.partitionBy("row").orderBy("start", "kind", "stop").rowsBetween(Window.unboundedPreceding, -1)
     cuts = spans(placed, support, rounds, confidence).withColumn("done", F.coalesce(F.max("last_byte").over(order), F.lit(0)))
     cut = F.when(F.col("first_byte") >= F.col("done"), F.struct("start", "done", F.col("first_byte").alias("upto"), "kind"))
     per_row = written(cuts.groupBy("row").agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("last_byte").alias("done")), "cuts")
-    joined = rows.join(per_row, "row", "left")
+    # One plan at every size: a merge join of the texts that can hold a span; the others, without a digit or @, aren't shuffled.
+    joined = rows.filter("busy").join(per_row.hint("merge"), "row", "left")
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def clean(raw: Column) -> Column:
@@ -360,6 +361,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
 
     # The bytes are bound once, so no piece copies the text.
     done = joined.withColumn("clean", F.when(F.col("cuts").isNotNull(), F.get(F.transform(F.array(F.col(text).cast("binary")), clean), F.lit(0))).otherwise(F.col(text)))
+    done = done.unionByName(rows.filter("NOT busy").withColumns({"cuts": F.lit(None).cast(per_row.schema["cuts"].dataType), "done": F.lit(None).cast("long"), "clean": F.col(text)}))
     out = []
     for k, name in enumerate(names):
         if name == text_col:
