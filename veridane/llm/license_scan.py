@@ -56,7 +56,8 @@ def once(value: Column, use) -> Column:
 
 
 def public_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES), "label string, notice string")
+    rows = [F.struct(F.lit(label).alias("label"), F.lit(notice).alias("notice")) for label, notice in TEMPLATES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def template_grams(templates: DataFrame) -> DataFrame:
