@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, pii_bootstrap, repetition, simhash_dedup, token_counts
+from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, pii_bootstrap, repetition, simhash_dedup, source_divergence, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_collapse": op1_chat_collapse,
     "op2_token_counts": op2_token_counts,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_collapse": chat_collapse.ORACLE, "op5_repetition_rules": op5_sql.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_collapse": chat_collapse.ORACLE, "op5_repetition_rules": op5_sql.ORACLE, "op13_source_divergence": source_divergence.ORACLE}
