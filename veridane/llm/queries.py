@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, pii_bootstrap, repetition, simhash_dedup, source_divergence, token_counts
+from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, pii_bootstrap, repetition, secret_scan, simhash_dedup, source_divergence, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(documents(spark, sf_dir))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(documents(spark, sf_dir))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_secret_scan": op12_secret_scan,
     "op13_source_divergence": op13_source_divergence,
 }
 
