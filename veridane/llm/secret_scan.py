@@ -48,12 +48,12 @@ NAMED = r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*+[:=]\x20*+[
 ASSIGN = rf"(?=[aApPsStT]){NAMED}[A-Za-z0-9+/_.=-]++"
 #: Of a run only the first AKIA can be long enough if any is, and runs of hex digits are whole, so lengths stand in the expressions.
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
-HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
+HEX = r"[0-9a-f]{16,}+"
 LEAST_VALUE = 12
 
 ALPHABET = string.digits + string.ascii_lowercase + string.ascii_uppercase + "+/=_-"
 WINDOW = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{WINDOW},}}+"
+CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}+"
 #: Bits a character that a window of a class must reach; random ones of 20 characters miss them one time in a hundred.
 BITS = (2.9, 3.4, 3.65)
 
@@ -64,8 +64,9 @@ ALLOWED = (
     r"(?i:example|placeholder|changeme|dummy|sample|redacted|your[-_])",
     r"(?i:abcdefghij|klmnopqrst|qrstuvwxyz|0123456789|1234567890|9876543210)",
 )
-#: Words of identifiers and paths; a candidate of which they leave a fifth or less is made of words.
-WORDS = r"[A-Z]?[a-z]{5,}|[A-Z]{5,}|(?<![a-z0-9])[A-Z]?[a-z]{2,4}(?=[A-Z/=_-])|(?<=[a-z][/=_-])[a-z]{2,4}(?![0-9a-z])"
+#: Words of identifiers and paths; a candidate of which they leave a fifth or less is made of words. Short ones count only in mixed case or between separators.
+WORDS, LONG_WORDS = r"[A-Z]?[a-z]{2,}+|[A-Z]{3,}+|[/=_-]", r"[a-z]{5,}+|[A-Z]{5,}+"
+PARTED = r"[/=_-]|[a-z][A-Z]"
 
 let: Callable[[Column, Callable[[Column], Column]], Column] = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -87,17 +88,19 @@ def running(steps: Column) -> Column:
         start = F.named_struct(F.lit("sum"), s["sum"], F.lit("sums"), F.array().cast(longs))
         return let(F.aggregate(part, start, step), lambda r: F.named_struct(F.lit("sum"), r["sum"], F.lit("lists"), F.concat(s["lists"], F.array(r["sums"]))))
 
-    width = F.greatest(F.ceil(F.sqrt(F.size(steps))), F.lit(1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int")), lambda k: F.slice(steps, k * width + 1, width))
-    start = F.named_struct(F.lit("sum"), F.lit(0).cast("long"), F.lit("lists"), F.array().cast(f"array<{longs}>"))
-    return F.when(F.size(steps) > 0, F.aggregate(parts, start, chunk, lambda s: F.flatten(s["lists"]))).otherwise(F.array().cast(longs))
+    def whole(steps: Column, width: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int")), lambda k: F.slice(steps, k * width + 1, width))
+        start = F.named_struct(F.lit("sum"), F.lit(0).cast("long"), F.lit("lists"), F.array().cast(f"array<{longs}>"))
+        return F.aggregate(parts, start, chunk, lambda s: F.flatten(s["lists"]))
+
+    return let(steps, lambda x: F.when(F.size(x) > 0, let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda width: whole(x, width))).otherwise(F.array().cast(longs)))
 
 
 def found(text: Column, pattern: str) -> Column:
     """(start, stop, m) of each match in turn; a text without one isn't cut up."""
 
     def placed(ms: Column) -> Column:
-        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), F.lit(1), F.size(ms))
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(ms))
         stops = running(F.zip_with(gaps, ms, lambda g, m: (g + F.length(m)).cast("long")))
         return F.zip_with(stops, ms, lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("m")))
 
@@ -111,14 +114,18 @@ def spans(matches: Column, kind: int) -> Column:
 def base_spans(text: Column) -> Column:
     """Sorted spans of the three base kinds."""
     long_enough = lambda x: F.length(F.regexp_replace(x["m"], f"^{NAMED}", "")) >= LEAST_VALUE
-    access = F.when(F.contains(text, F.lit("AKIA")), found(text, ACCESS)).otherwise(F.array().cast(FOUND))
-    return F.sort_array(F.concat(spans(F.filter(found(text, ASSIGN), long_enough), 0), spans(access, 1), spans(found(text, HEX), 2)))
+    none = F.array().cast(FOUND)
+    assign = F.when(F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), F.filter(found(text, ASSIGN), long_enough)).otherwise(none)
+    access = F.when(F.contains(text, F.lit("AKIA")), found(text, ACCESS)).otherwise(none)
+    return F.sort_array(F.concat(spans(assign, 0), spans(access, 1), spans(found(text, HEX), 2)))
 
 
 def suppressed(candidate: Column, values: tuple[str, ...]) -> Column:
     """Is a candidate on the allow-list?"""
-    words = F.length(F.regexp_replace(F.regexp_replace(candidate, WORDS, ""), "[/=_-]", "")) * 5 <= F.length(candidate)
-    out = words | candidate.isin(*values) if values else words
+    left = F.when(candidate.rlike(PARTED), F.regexp_replace(candidate, WORDS, "")).otherwise(F.regexp_replace(candidate, LONG_WORDS, ""))
+    out = F.length(left) * 5 <= F.length(candidate)
+    if values:
+        out = out | candidate.isin(*values)
     for form in ALLOWED:
         out = out | candidate.rlike(form)
     return out
@@ -156,7 +163,7 @@ def entropy_hit(candidate: Column) -> Column:
 
                 return let(t, lambda t: let(F.when(t["hex"] >= WINDOW, 0).when((t["low"] >= WINDOW) | (t["up"] >= WINDOW), 1).otherwise(2), lambda k: out(t, k)))
 
-            return let(left, lambda w: let(at(c), lambda p: entered(w, p)))
+            return let(left, lambda w: let(at(c), lambda p: let(moved(w, p, 1), lambda v: entered(v, p))))
 
         none = F.lit(None).cast("int")
         start = F.struct(F.lit("0" * len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), *[F.lit(0).alias(k) for k in ("hex", "low", "up")], *[F.lit(-1).alias(k) for k in ("digit", "letter")], *[none.alias(k) for k in ("first", "last", "class")])
@@ -219,6 +226,7 @@ def shown(found_spans: Column) -> Column:
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ()) -> DataFrame:
     """A row for each document: counts and digest of base spans, all spans, and how many were added and confirmed."""
     found_ = scan(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", allow)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     every = F.sort_array(F.concat("base", "added"))
     return found_.select(F.col("id").alias(id_col), *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"), F.size("added").cast("long").alias("n_added"), F.col("confirmed").alias("n_confirmed"))
