@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, op5_sql, packing, pii_bootstrap, repetition, secret_scan, simhash_dedup, source_divergence, token_counts
+from veridane.llm import bpe_speculative, chat_collapse, language_id, license_scan, merkle, merkle_manifest, op5_sql, packing, pii_bootstrap, repetition, secret_scan, simhash_dedup, source_divergence, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(documents(spark, sf_dir))
 
@@ -74,8 +78,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_secret_scan": op12_secret_scan,
     "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_collapse": chat_collapse.ORACLE, "op5_repetition_rules": op5_sql.ORACLE, "op13_source_divergence": source_divergence.ORACLE}
+ORACLES: dict[str, str] = {"op1_chat_collapse": chat_collapse.ORACLE, "op5_repetition_rules": op5_sql.ORACLE, "op11_merkle_manifest": merkle_manifest.ORACLE, "op13_source_divergence": source_divergence.ORACLE}
