@@ -34,6 +34,7 @@ whatever their names, are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -78,14 +79,14 @@ def ranked(items: DataFrame, order: list[str], name: str) -> DataFrame:
     return held.withColumn("task", task).join(starts, ["tree", "task"]).withColumn("place", F.col("at") - F.col("first") + F.col("before")).drop("task", "at", "first", "before")
 
 
-def size_at(n: int, level: int) -> int:
+def size_at(n: int, level: int, arity: int) -> int:
     """Nodes of a level of a tree of n leaves."""
     for _ in range(level):
-        n = -(-n // ARITY)
+        n = -(-n // arity)
     return n
 
 
-def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def grow(batches: Iterator[pa.RecordBatch], arity: int = ARITY) -> Iterator[pa.RecordBatch]:
     """Partial parents in, complete ones (with their digests) and those that stay partial out.
 
     One parent a level is open at a time, so rows in the order of (tree, level, ix) are
@@ -109,17 +110,17 @@ def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part = part | {"kids": held["kids"] + part["kids"]}
                 else:
                     out.append(held)
-            below = size_at(part["n"], level - 1)
-            if len(part["kids"]) < min(ARITY, below - ARITY * part["ix"]):
+            below = size_at(part["n"], level - 1, arity)
+            if len(part["kids"]) < min(arity, below - arity * part["ix"]):
                 open_[level] = part
                 return
             kids = sorted(part["kids"], key=lambda kid: kid["k"])
             whole = hashlib.sha256("".join(kid["digest"] for kid in kids).encode()).hexdigest()
             out.append(part | {"kids": kids, "digest": whole})
-            if below <= ARITY:  # the root
+            if below <= arity:  # the root
                 return
-            kid = {"k": part["ix"] % ARITY, "digest": whole, "id": None, "shown": None}
-            part = {"tree": part["tree"], "n": part["n"], "level": level + 1, "ix": part["ix"] // ARITY, "digest": None, "kids": [kid]}
+            kid = {"k": part["ix"] % arity, "digest": whole, "id": None, "shown": None}
+            part = {"tree": part["tree"], "n": part["n"], "level": level + 1, "ix": part["ix"] // arity, "digest": None, "kids": [kid]}
 
     for batch in batches:
         for part in batch.to_pylist():
@@ -130,40 +131,41 @@ def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def forest(placed: DataFrame, name: str) -> DataFrame:
+def forest(placed: DataFrame, name: str, arity: int = ARITY) -> DataFrame:
     """(tree, n, level, ix, digest, kids) of all parents of all trees: placed (tree, n, place, digest, id, shown). Trees of one leaf have none."""
-    kid = F.struct((F.col("place") % ARITY).cast("int").alias("k"), "digest", "id", "shown")
-    leaves = placed.filter("n > 1").select("tree", F.col("n").cast("long").alias("n"), F.lit(1).alias("level"), F.floor(F.col("place") / ARITY).alias("ix"), F.lit(None).cast("string").alias("digest"), F.array(kid).alias("kids"))
+    grown_by = functools.partial(grow, arity=arity)
+    kid = F.struct((F.col("place") % arity).cast("int").alias("k"), "digest", "id", "shown")
+    leaves = placed.filter("n > 1").select("tree", F.col("n").cast("long").alias("n"), F.lit(1).alias("level"), F.floor(F.col("place") / arity).alias("ix"), F.lit(None).cast("string").alias("digest"), F.array(kid).alias("kids"))
     order = ["tree", "level", "ix"]
-    grown = written(leaves.sortWithinPartitions("tree", "ix").mapInArrow(grow, PART), f"{name}-parents")
+    grown = written(leaves.sortWithinPartitions("tree", "ix").mapInArrow(grown_by, PART), f"{name}-parents")
     whole, rounds = grown.filter("digest IS NOT NULL"), 0
     while True:
         frontier = grown.filter("digest IS NULL")
         if not frontier.take(1):
             return whole
         rounds += 1
-        grown = written(frontier.repartition(*order).sortWithinPartitions(*order).mapInArrow(grow, PART), f"{name}-frontier-{rounds}")
+        grown = written(frontier.repartition(*order).sortWithinPartitions(*order).mapInArrow(grown_by, PART), f"{name}-frontier-{rounds}")
         whole = whole.union(grown.filter("digest IS NOT NULL"))
 
 
-def height(n: Column, most: int) -> Column:
+def height(n: Column, most: int, arity: int) -> Column:
     """Levels above the leaves of a tree of n, for n up to most."""
     out, level, size = F.lit(0), 1, 1
     while size < most:
         out = F.when(n > size, level).otherwise(out)
-        level, size = level + 1, size * ARITY
+        level, size = level + 1, size * arity
     return out
 
 
-def paths_down(parents: DataFrame, tops: DataFrame, most: int, name: str) -> DataFrame:
+def paths_down(parents: DataFrame, tops: DataFrame, most: int, name: str, arity: int = ARITY) -> DataFrame:
     """(tree, id, digest, shown, path, ...) of each leaf of the trees of `parents`: its siblings and those of all above it, from the bottom up, then its tree's own path.
 
     tops: (tree, n, path, ...), whose further columns go along.
     """
     along = [c for c in tops.columns if c not in ("tree", "n", "path")]
-    tops = tops.withColumn("level", height(F.col("n"), most))
+    tops = tops.withColumn("level", height(F.col("n"), most, arity))
     top = 1
-    while ARITY**top < most:
+    while arity**top < most:
         top += 1
     given = None
     for level in range(top, 0, -1):
@@ -172,11 +174,11 @@ def paths_down(parents: DataFrame, tops: DataFrame, most: int, name: str) -> Dat
         joined = parents.filter(F.col("level") == level).select("tree", "ix", "kids").join(given, ["tree", "ix"])
         digests = F.transform("kids", lambda kid: kid["digest"])
         each = joined.select("tree", "ix", "path", *along, digests.alias("d"), F.posexplode("kids").alias("k", "kid"))
-        beside = F.struct(F.array_join(F.slice("d", F.lit(1), F.col("k")), "").alias("left"), F.array_join(F.slice("d", F.col("k") + 2, F.lit(ARITY)), "").alias("right"))
+        beside = F.struct(F.array_join(F.slice("d", F.lit(1), F.col("k")), "").alias("left"), F.array_join(F.slice("d", F.col("k") + 2, F.lit(arity)), "").alias("right"))
         each = each.withColumn("path", F.concat(F.array(beside), "path"))
         if level == 1:
             return each.select("tree", "kid.id", "kid.digest", "kid.shown", "path", *along)
-        given = written(each.select("tree", (F.col("ix") * ARITY + F.col("k")).alias("ix"), "path", *along), f"{name}-{level}")
+        given = written(each.select("tree", (F.col("ix") * arity + F.col("k")).alias("ix"), "path", *along), f"{name}-{level}")
     raise AssertionError
 
 
@@ -187,7 +189,7 @@ def roots(placed: DataFrame, parents: DataFrame) -> DataFrame:
     return lone.union(most)
 
 
-def proofs(docs: DataFrame, shown: Column | None = None) -> DataFrame:
+def proofs(docs: DataFrame, shown: Column | None = None, arity: int = ARITY) -> DataFrame:
     """(doc_id, leaf, shown, siblings, subroot, root) of each row: siblings, (left, right) by level from the bottom up, are its proof.
 
     shown: the row as it is presented for checking, as an expression of its text; null where it is as it was.
@@ -201,19 +203,19 @@ def proofs(docs: DataFrame, shown: Column | None = None) -> DataFrame:
     made = text.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("id"), leaf.alias("digest"), other.alias("shown"))
     leaves = written(made.withColumn("row", F.monotonically_increasing_id()), "leaves")
     placed = ranked(leaves, ["id", "digest", "row"], "ordered").drop("row")
-    parents = forest(placed, "trees")
+    parents = forest(placed, "trees", arity)
     subroots = written(roots(placed, parents), "subroots")
 
     # The tree over the trees: its leaves are the subroots, in the order of their trees' names.
     over = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("digest"))
     over = ranked(over, ["of"], "over").withColumns({"id": F.lit(None).cast("long"), "shown": F.col("of")})
-    above = forest(over, "top")
+    above = forest(over, "top", arity)
     root = roots(over, above).select("tree", "n", "root")
     few = int(subroots.count())
     if few <= 1:
         given = subroots.withColumn("path", F.array().cast(PATH)).withColumn("subroot", F.col("root"))
     else:
-        down = paths_down(above, root.withColumn("path", F.array().cast(PATH)), few, "top-paths")
+        down = paths_down(above, root.withColumn("path", F.array().cast(PATH)), few, "top-paths", arity)
         down = down.select(F.col("shown").alias("tree"), "path", F.col("root").alias("whole"))
         given = subroots.join(down, "tree").select("tree", "n", "path", F.col("root").alias("subroot"), F.col("whole").alias("root"))
     given = written(given.select("tree", "n", "path", "subroot", "root"), "tops")
@@ -223,7 +225,7 @@ def proofs(docs: DataFrame, shown: Column | None = None) -> DataFrame:
     lone = placed.filter("n = 1").select("tree", "id", "digest", "shown").join(given.select("tree", "path", "subroot", "root"), "tree").select(*columns)
     if most == 1:
         return lone
-    return paths_down(parents, given, most, "paths").select(*columns).union(lone)
+    return paths_down(parents, given, most, "paths", arity).select(*columns).union(lone)
 
 
 def tampered() -> Column:
@@ -240,9 +242,9 @@ def verified(proved: DataFrame) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     """Each row's leaf, roots and proof, and whether the proof holds for the row as it is presented."""
-    return verified(proofs(docs, tampered()))
+    return verified(proofs(docs, tampered(), arity))
 
 
 LEVELS, TOP_LEVELS = 5, 2
