@@ -6,7 +6,9 @@ import math
 import random
 
 import brute
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,7 +448,7 @@ def test_collapse(spark, monkeypatch, block, crowd, most):
         monkeypatch.setattr(chat_collapse, name, value)
     rows = chats()
     df = spark.createDataFrame([(*x, 0, "b") for x in rows], "conv_id long, turn long, role string, text string, lone int, block string")
-    got = collections.Counter((None if r["conv"] == chat_collapse.NO_ID else r["conv"], r["copies"]) for r in chat_collapse.maximal(df).collect())
+    got = collections.Counter((None if r["conv"] == chat_collapse.NO_ID else r["conv"], r["copies"]) for r in chat_collapse.maximal(chat_collapse.rolling(df)[0]).collect())
     want = brute.maximal_chats(rows)
     assert got == want
     out = chat_collapse.render(df).collect()
@@ -457,6 +459,36 @@ def test_collapse(spark, monkeypatch, block, crowd, most):
     assert all(r["n_turns"] <= block * crowd for r in out)
 
 
+def test_parts_equal_the_sql(spark, monkeypatch):
+    """Order and numbers of parts included: a conversation of more rows than CROWD, but none of its parts, is cut by turns alone."""
+    monkeypatch.setattr(chat_collapse, "BLOCK", 4)
+    monkeypatch.setattr(chat_collapse, "CROWD", 4)
+    rows = [(c, 5 + t, "user" if t % 2 == 0 else "assistant", f"t{t}") for c in (1, 2) for t in range(30 if c == 1 else 15)] + [(3, t, "user", f"other {t}") for t in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = sorted(tuple(r) for r in chat_collapse.render(df).select("conv_id", "part", "n_turns", "copies", "rendered").collect())
+    duck = duckdb.connect()
+    duck.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    assert got == sorted(duck.execute(f"SELECT conv_id, part, n_turns, copies, rendered FROM ({chat_collapse.ORACLE.replace('// 1024', '// 4')})").fetchall()) and len(got) == 11
+
+
+def test_a_very_long_conversation(spark):
+    """70,000 turns, more than CROWD: 69 parts, whole and in order."""
+    df = spark.range(70_000).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "concat('t', id) AS text").repartition(3)
+    got = {r["part"]: r["rendered"] for r in chat_collapse.render(df).collect()}
+    assert sorted(got) == list(range(69)) and "".join(got[k] for k in range(69)) == "".join(f"<|im_start|>user\nt{t}<|im_end|>\n" for t in range(70_000))
+
+
+def test_only_crowded_parts_are_cut(spark, monkeypatch):
+    """A turn with very many rows cuts its own part; the others stay whole and in order."""
+    monkeypatch.setattr(chat_collapse, "BLOCK", 4)
+    monkeypatch.setattr(chat_collapse, "CROWD", 5)
+    rows = [(1, t, "user", f"t{t}") for t in range(12)] + [(1, 5, "user", f"more {k}") for k in range(40)]
+    got = {r["part"]: r["rendered"] for r in chat_collapse.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    whole = lambda ts: "".join(f"<|im_start|>user\nt{t}<|im_end|>\n" for t in ts)
+    assert got[0] == whole(range(4)) and got[2] == whole(range(8, 12)) and sorted(p % 2**32 for p in got)[1:-1] == [1] * (len(got) - 2)
+    assert sorted("".join(got.values()).split("<|im_end|>\n")[:-1]) == sorted(f"<|im_start|>user\n{x}" for _, _, _, x in rows)
+
+
 def test_rendering(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (None, 0, "user", None), (3, None, None, "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

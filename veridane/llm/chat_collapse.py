@@ -14,8 +14,9 @@ before their shuffle; the anti-join is between distinct keys. To render, the
 scan is joined with the kept conversations first: up to ``BROADCAST`` of them,
 which are counted, go to every task, so texts of dropped conversations are never
 shuffled; beyond that it is a join by conversation that Spark can split. A
-conversation is rendered in parts of ``BLOCK`` turns; one with more than ``CROWD``
-rows in such a part is cut further by a hash of the rows, so no list is unbounded.
+conversation is rendered in parts of ``BLOCK`` turns, in their order, however many
+they are; only a part in which more than ``CROWD`` rows lie, so some turn has very many,
+is cut further, by a hash of its rows, so no list is unbounded.
 
 Edge cases: rows that repeat count once; several rows of one turn stay in the
 order of role and text, and a prefix ends behind all of them; a row without a
@@ -24,7 +25,7 @@ a null turn counts as turn -1; null roles and texts differ from empty ones when
 compared and are rendered as empty; texts of any length are one string; ties
 between identical conversations go to the smallest id, a null one first; an empty
 table gives an empty result; further columns, whatever their names, are left out.
-Parts of a crowded conversation are numbered from 2**32 on for each further cut.
+The further cuts of a crowded part have its number plus 2**32 for each cut.
 """
 
 from __future__ import annotations
@@ -47,41 +48,43 @@ def turns(chats: DataFrame) -> DataFrame:
     return chats.select(F.coalesce("conv_id", F.lit(NO_ID)).cast("long").alias("conv"), lone.alias("lone"), turn.alias("turn"), h1.alias("h1"), F.xxhash64(F.lit("second"), *said).alias("h2"), "role", "text")
 
 
-def rolling(chats: DataFrame) -> DataFrame:
-    """(conv, lone, r, p1, p2, last, first, rows): the hash of each conversation's turns up to r turns after its first, its first turn, and its number of rows."""
+def rolling(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv, lone, r, p1, p2, last, first): the hash of each conversation's turns up to r turns after its first, and its first turn; and (conv, lone, block, rows) of blocks of turns with more than CROWD rows."""
     hashed = written(turns(chats).select(*CHAT, "turn", "h1", "h2").distinct(), "turns")
-    span = hashed.groupBy(*CHAT).agg(F.min("turn").alias("first"), F.max("turn").alias("final"), F.count("*").alias("rows"))
+    span = hashed.groupBy(*CHAT).agg(F.min("turn").alias("first"), F.max("turn").alias("final"))
     placed = hashed.join(span, CHAT).withColumn("r", F.col("turn") - F.col("first"))
     # All rows of a turn as one, so a turn of many rows is no hot group.
-    placed = placed.groupBy(*CHAT, "r").agg(F.bit_xor(F.xxhash64("r", "h1")).alias("e1"), F.bit_xor(F.xxhash64("r", "h2", F.lit(1))).alias("e2"), F.max(F.struct((F.col("final") - F.col("first")).alias("last"), "first", "rows")).alias("of"))
+    placed = placed.groupBy(*CHAT, "r").agg(F.bit_xor(F.xxhash64("r", "h1")).alias("e1"), F.bit_xor(F.xxhash64("r", "h2", F.lit(1))).alias("e2"), F.max(F.struct((F.col("final") - F.col("first")).alias("last"), "first")).alias("of"), F.count("*").alias("rows"))
     placed = written(placed.withColumn("block", F.floor(F.col("r") / BLOCK)), "placed")
-    totals = placed.groupBy(*CHAT, "block").agg(F.bit_xor("e1").alias("t1"), F.bit_xor("e2").alias("t2"))
+    totals = placed.groupBy(*CHAT, "block").agg(F.bit_xor("e1").alias("t1"), F.bit_xor("e2").alias("t2"), F.sum("rows").alias("rows"))
+    crowded = written(totals.filter(F.col("rows") > CROWD).select(*CHAT, "block", "rows"), "crowded")
     earlier = Window.partitionBy(*CHAT).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*CHAT, "block", F.bit_xor("t1").over(earlier).alias("b1"), F.bit_xor("t2").over(earlier).alias("b2"))
     within = Window.partitionBy(*CHAT, "block").orderBy("r")
     inner = placed.select(*CHAT, "block", "r", "of", F.bit_xor("e1").over(within).alias("w1"), F.bit_xor("e2").over(within).alias("w2"))
-    out = inner.join(before, [*CHAT, "block"]).select(*CHAT, "r", F.expr("w1 ^ coalesce(b1, 0)").alias("p1"), F.expr("w2 ^ coalesce(b2, 0)").alias("p2"), "of.last", "of.first", "of.rows")
+    out = inner.join(before, [*CHAT, "block"]).select(*CHAT, "r", F.expr("w1 ^ coalesce(b1, 0)").alias("p1"), F.expr("w2 ^ coalesce(b2, 0)").alias("p2"), "of.last", "of.first")
     out = written(out, "prefixes")
     release(hashed, placed)
-    return out
+    return out, crowded
 
 
-def maximal(chats: DataFrame) -> DataFrame:
-    """(conv, lone, copies, first, rows): conversations that are no proper prefix of another, one for each set of identical ones."""
-    prefixes = rolling(chats)
+def maximal(prefixes: DataFrame) -> DataFrame:
+    """(conv, lone, copies, first) from rolling(): conversations that are no proper prefix of another, one for each set of identical ones."""
     key = ["r", "p1", "p2"]
-    whole = prefixes.filter("r = last").groupBy(*key).agg(F.min(F.struct(*CHAT, "first", "rows")).alias("c"), F.count("*").alias("copies"))
+    whole = prefixes.filter("r = last").groupBy(*key).agg(F.min(F.struct(*CHAT, "first")).alias("c"), F.count("*").alias("copies"))
     proper = prefixes.filter("r < last").select(*key).distinct()
-    return whole.join(proper, key, "left_anti").select("c.conv", "c.lone", "copies", "c.first", "c.rows")
+    return whole.join(proper, key, "left_anti").select("c.conv", "c.lone", "copies", "c.first")
 
 
 def render(chats: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, copies, rendered) of each maximal conversation, in parts of BLOCK turns."""
-    kept = written(maximal(chats), "maximal")
-    small = kept.limit(BROADCAST + 1).count() <= BROADCAST
-    rows = turns(chats).join(F.broadcast(kept) if small else kept, CHAT)
-    cut = F.pmod(F.col("h1"), F.ceil(F.col("rows") / CROWD))
-    part = F.floor((F.col("turn") - F.col("first")) / BLOCK) + F.shiftleft(cut.cast("long"), 32)
+    prefixes, crowded = rolling(chats)
+    kept = written(maximal(prefixes), "maximal")
+    sent = lambda df: F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+    block = F.floor((F.col("turn") - F.col("first")) / BLOCK)
+    rows = turns(chats).join(sent(kept), CHAT).withColumn("block", block).join(sent(crowded), [*CHAT, "block"], "left")
+    cut = F.when(F.col("rows").isNotNull(), F.pmod(F.col("h1"), F.ceil(F.col("rows") / CROWD))).otherwise(0)
+    part = F.col("block") + F.shiftleft(cut.cast("long"), 32)
     parts = rows.withColumn("part", part).groupBy(*CHAT, "part", "copies").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("all"))
     line = lambda t: F.concat(F.lit("<|im_start|>"), F.coalesce(t["role"], F.lit("")), F.lit("\n"), F.coalesce(t["text"], F.lit("")), F.lit("<|im_end|>\n"))
     return parts.select(F.expr(f"nullif(conv, {NO_ID + 1} - 1)").alias("conv_id"), "part", F.size("all").cast("long").alias("n_turns"), "copies", F.array_join(F.transform("all", line), "").alias("rendered"))
