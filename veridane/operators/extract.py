@@ -2,9 +2,9 @@
 
 The scanner for top-level JSON objects folds over a response's strings, braces
 and what lies between, in chunks, so it is about linear in the response; all
-stays in the JVM, and nothing depends on session settings. Two kinds of objects
-fail closed though common decoders take them: nested deeper than 1000 levels, or
-with a key twice inside a nested object.
+stays in the JVM, and nothing depends on session settings. Objects are decoded
+strictly and without limits of depth, digits or length of keys (`strict_json`); what
+is no JSON fails closed.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridane.functions.folds import folded
+from veridane.functions.strict_json import object_entries
 from veridane.functions.text import trim_ws
 from veridane.operators import rules
 from veridane.operators.clean import let
@@ -36,27 +38,14 @@ def strip_fences(raw: Column) -> Column:
 
 def object_spans(tokens: Column) -> Column:
     """Array of (at, n): the tokens of each top-level balanced {...}; a closing brace outside of any counts for nothing."""
-    spans = "array<struct<at:int,n:int>>"
 
-    def step(s: Column, token: Column) -> Column:
+    def step(s, token: Column):
         open_, close = token == "{", (token == "}") & (s["depth"] > 0)
-        done = close & (s["depth"] == 1)
-        return F.named_struct(
-            F.lit("i"), s["i"] + 1,
-            F.lit("depth"), s["depth"] + open_.cast("int") - close.cast("int"),
-            F.lit("at"), F.when(open_ & (s["depth"] == 0), s["i"]).otherwise(s["at"]),
-            F.lit("spans"), F.when(done, F.concat(s["spans"], F.array(F.named_struct(F.lit("at"), s["at"], F.lit("n"), s["i"] - s["at"] + 1)))).otherwise(s["spans"]),
-        )
+        span = F.when(close & (s["depth"] == 1), F.struct(s["at"].alias("at"), (s["i"] - s["at"] + 1).alias("n")))
+        at = F.when(open_ & (s["depth"] == 0), s["i"]).otherwise(s["at"])
+        return {"i": s["i"] + 1, "depth": s["depth"] + open_.cast("int") - close.cast("int"), "at": at}, span
 
-    def chunk(s: Column, part: Column) -> Column:
-        start = F.named_struct(F.lit("i"), s["i"], F.lit("depth"), s["depth"], F.lit("at"), s["at"], F.lit("spans"), F.array().cast(spans))
-        return let(F.aggregate(part, start, step), lambda r: F.named_struct(F.lit("i"), r["i"], F.lit("depth"), r["depth"], F.lit("at"), r["at"], F.lit("lists"), F.concat(s["lists"], F.array(r["spans"]))))
-
-    # Chunks of about the root of the number of tokens: short lists of spans, and few of them.
-    width = F.greatest(F.ceil(F.sqrt(F.size(tokens))), F.lit(1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / width).cast("int")), lambda k: F.slice(tokens, k * width + 1, width))
-    start = F.expr(f"named_struct('i', 1, 'depth', 0, 'at', 0, 'lists', cast(array() as array<{spans}>))")
-    return F.aggregate(parts, start, chunk, lambda s: F.flatten(s["lists"]))
+    return folded(tokens, {"i": F.lit(1), "depth": F.lit(0), "at": F.lit(0)}, step, "struct<at:int,n:int>", lambda _, spans: spans)
 
 
 def json_objects(text: Column) -> Column:
@@ -65,36 +54,23 @@ def json_objects(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("{")), whole).otherwise(F.array().cast("array<string>"))
 
 
-def truth(value: Column) -> Column:
-    """Truth of a JSON value as Python sees it: by its type, not by a cast."""
-    kind = F.schema_of_variant(value)
-    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", F.length(text) > 0)
-        .when(kind == "VOID", F.lit(False))
-        .when(F.startswith(kind, F.lit("ARRAY")), F.to_json(value) != "[]")
-        .when(F.startswith(kind, F.lit("OBJECT")), F.to_json(value) != "{}")
-        .otherwise(number != 0)
-    )
-
-
-def last_value(entries: Column, name: str) -> Column:
-    """The value of a key in any case: of its spellings the one that first appears last decides, and of that its last value."""
+def last_truth(entries: Column, name: str) -> Column:
+    """Truth of the value of a key in any case: of its spellings the one that first appears last decides, and of that its last value."""
     own = F.filter(entries, lambda e: F.lower(e["key"]) == name)
     spelling = F.element_at(F.array_distinct(F.transform(own, lambda e: e["key"])), -1)
-    return F.when(F.size(own) > 0, let(spelling, lambda k: F.element_at(F.filter(own, lambda e: e["key"] == k), -1)["value"]))
+    return F.when(F.size(own) > 0, let(spelling, lambda k: F.element_at(F.filter(own, lambda e: e["key"] == k), -1)["truth"]))
 
 
 def predicates(raw: Column) -> Column:
     """STRUCT(x, z) from the first top-level object with both keys, or null."""
 
     def decoded(candidate: Column) -> Column:
-        # NaN and Infinity are numbers here; a key may repeat.
-        entries = F.map_entries(F.from_json(candidate, "map<string,variant>", {"allowSingleQuotes": "false"}))
+        # An object without both names, in any case, has not both keys, unless a name is written with escapes.
+        named = let(F.lower(candidate), lambda c: F.contains(c, F.lit(INFRINGING)) & F.contains(c, F.lit(SUBSTITUTE)) | F.contains(c, F.lit("\\u")))
         has = lambda e, name: F.exists(e, lambda x: F.lower(x["key"]) == name)
         both = lambda e: has(e, INFRINGING) & has(e, SUBSTITUTE)
-        return let(entries, lambda e: F.when(both(e), F.named_struct(F.lit("x"), truth(last_value(e, INFRINGING)), F.lit("z"), truth(last_value(e, SUBSTITUTE)))))
+        found = let(object_entries(candidate), lambda e: F.when(both(e), F.struct(last_truth(e, INFRINGING).alias("x"), last_truth(e, SUBSTITUTE).alias("z"))))
+        return F.when(named, found)
 
     objects = json_objects(strip_fences(raw))
     return F.get(F.filter(F.transform(objects, decoded), lambda p: p.isNotNull()), F.lit(0))

@@ -180,6 +180,25 @@ EDGES = (
     ("", "DENIED", extract.PARSE_FAILED, False),
     (f'JSON {{"{I}": 0.0, "{S}": []}}', "DENIED", rules.ABSENT, True),
     (f'{{"{I}": true, "note": "\\"}}", "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": true, "n": +Infinity, "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "n": -INF, "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "n": 1{"0" * 1500}, "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": true, "{"k" * 60000}": 1, "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": true, "in": {{"a": 1, "a": 2}}, "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": true, "deep": {"[" * 3000}{"]" * 3000}, "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": true, "n": 01, "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "n": 1., "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "{S}": false,}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "n": [1,], "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "n": [}}], "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": True, "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "n": "a\tb", "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"{I}": true, "n": "\\x", "{S}": false}}', "DENIED", extract.PARSE_FAILED, False),
+    (f'{{"\\u0069{I[1:]}": true, "{S}": false}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": 1e-999, "{S}": -0}}', "DENIED", rules.ABSENT, True),
+    (f'{{"{I}": -0.5E+2, "{S}": 0e9}}', "AWARDED", rules.GRANTED, True),
+    (f'{{"{I}": true, "n": 01, "{S}": true}} {{"{I}": true, "{S}": false}}', "AWARDED", rules.GRANTED, True),
 )
 
 
@@ -197,6 +216,25 @@ def predicate_extract_labels(spark, sf_dir):
     return extract.decide(facts(spark, sf_dir).select("doc_id", raw.alias("raw"))).drop("raw")
 
 
+STRICT = "CASE event_id % 10 WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 8 THEN false WHEN 9 THEN false ELSE true END"
+
+
+@register("strict_decode", f"SELECT event_id, {STRICT} AS parse_ok, CASE WHEN {STRICT} AND (event_id // 10) % 3 > 0 THEN 'AWARDED' ELSE 'DENIED' END AS decision FROM events")
+def strict_decode(spark, sf_dir):
+    """Responses made from events' own JSON objects: well-formed ones, some of them odd, and ones that only look so."""
+    k, n = F.col("event_id") % 10, F.expr("event_id div 10")
+    # Odd but well-formed: a key twice inside, deep nesting, escapes in a key, a long number, a key twice of which the last counts.
+    more = (
+        F.when(k == 0, F.concat(F.lit('"in": {"a": '), "props", F.lit(', "a": 2}')))
+        .when(k == 1, '"n": +Infinity').when(k == 2, F.concat(F.lit('"n": 0'), n.cast("string"))).when(k == 3, F.concat(F.lit('"n": ['), "props", F.lit(",]")))
+        .when(k == 4, F.concat(F.lit('"n": '), F.expr("repeat('[', cast(event_id % 40 as int))"), "props", F.expr("repeat(']', cast(event_id % 40 as int))")))
+        .when(k == 5, F.concat(F.lit('"n": 1'), F.expr("repeat('0', 2000)"))).when(k == 6, '"\\u0069' + I[1:] + '": true, "e": "\\u00e9\\/"').when(k == 7, '"' + I + '": 1e-999, "n": [NaN, -Infinity]')
+        .when(k == 8, F.concat(F.lit('"n": "\t'), n.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('"n": {"a" '), n.cast("string"), F.lit("}")))
+    )
+    said = F.concat(F.lit("{"), more, F.lit(', "' + I + '": '), (n % 3).cast("string"), F.lit(', "' + S.upper() + '": ""}'))
+    return extract.decide(table(spark, sf_dir, "events").select("event_id", said.alias("raw"))).select("event_id", "parse_ok", "decision")
+
+
 @register("json_objects", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END::BIGINT AS n, CASE event_id % 4 WHEN 2 THEN NULL WHEN 3 THEN '{\"in\": ' || props || '}' ELSE props END AS first_object FROM events")
 def json_objects(spark, sf_dir):
     """Objects in prose: one, two, none behind a quote that never ends, and a nested one beside stray braces."""
