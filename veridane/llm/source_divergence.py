@@ -40,15 +40,14 @@ BROADCAST = 1 << 18
 GROUP = ["lang", "source"]
 
 
-def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term and documents with it."""
-    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    words = F.sort_array(F.regexp_extract_all(F.translate(blank(text_col), UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    rows = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), words.alias("words"))
+def term_counts(texts: DataFrame, group: list[str]) -> DataFrame:
+    """(*group, term, n, docs) of texts (*group, text): occurrences of each term and documents with it."""
+    words = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
+    rows = texts.select(*group, words.alias("words"))
     # The outer form, as the plain one would test the words' number first and make them twice.
-    each = rows.select(*GROUP, "words", F.posexplode_outer("words").alias("i", "term")).filter(F.col("term").isNotNull())
+    each = rows.select(*group, "words", F.posexplode_outer("words").alias("i", "term")).filter(F.col("term").isNotNull())
     first = F.when(F.get("words", F.col("i") - 1) == F.col("term"), 0).otherwise(1)
-    return each.select(*GROUP, "term", first.alias("first")).groupBy(*GROUP, "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    return each.select(*group, "term", first.alias("first")).groupBy(*group, "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
 def dense(entries: Column, size: Column) -> Column:
@@ -79,14 +78,19 @@ def contribution(p: Column, q: Column) -> Column:
 
 def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = 10, top: int = 10) -> DataFrame:
     """(lang, source, part, item, value, rank): each source against every other one of its language, and the terms that it uses most beyond its language."""
-    named = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source")).distinct()
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    texts = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).alias("text"))
     order = Window.partitionBy("lang").orderBy("source")
-    groups = written(named.withColumn("ix", F.row_number().over(order) - 1), "groups")
+    numbered = texts.select(*GROUP).distinct().withColumn("ix", F.row_number().over(order) - 1)
+    groups = written(numbered.withColumn("g", F.monotonically_increasing_id()), "groups")
     few = groups.limit(BROADCAST + 1).count() <= BROADCAST
     sent = F.broadcast if few else lambda df: df
 
+    # A number stands for the group in the keys of counts, if groups are few; texts are never shuffled for it.
     entry = F.struct("ix", "n")
-    counted = term_counts(docs, lang_col, source_col, text_col).join(sent(groups), GROUP)
+    keyed = texts.join(F.broadcast(groups), GROUP).select("g", "text") if few else texts
+    key = ["g"] if few else GROUP
+    counted = term_counts(keyed, key).join(sent(groups), key)
     gathered = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.sort_array(F.collect_list(entry)).alias("entries"))
     vectors = written(gathered.filter(F.col("docs") >= least).select("lang", "term", "total", "entries"), "vectors")
 
@@ -107,11 +111,10 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     own = F.get("p", F.col("i"))
 
     def emitted(q: Column, j: Column) -> Column:
-        pair = F.struct(F.least(F.col("i"), j).alias("lo"), F.greatest(F.col("i"), j).alias("hi"), contribution(own, q).alias("f"))
-        return F.when((j > F.col("i")) | ((j < F.col("i")) & (F.get("counts", j) == 0)), pair)
+        return F.when((j > F.col("i")) | ((j < F.col("i")) & (F.get("counts", j) == 0)), contribution(own, q))
 
-    found = one.select("lang", F.explode_outer(F.transform("p", emitted)).alias("c")).filter("c IS NOT NULL").select("lang", "c.*")
-    sums = found.groupBy("lang", "lo", "hi").agg(F.sum("f").alias("sum"), F.count("*").alias("met"))
+    found = one.select("lang", "i", F.posexplode_outer(F.transform("p", emitted)).alias("j", "f")).filter("f IS NOT NULL")
+    sums = found.groupBy("lang", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.sum("f").alias("sum"), F.count("*").alias("met"))
 
     every = groups.join(sent(langs), "lang").select("lang", "source", "ix", "terms", "totals", F.posexplode("sources").alias("j", "item")).filter("ix <> j")
     every = every.withColumns({"lo": F.least("ix", "j"), "hi": F.greatest("ix", "j")}).join(sums, ["lang", "lo", "hi"], "left")
