@@ -9,13 +9,13 @@ is no JSON fails closed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridane.functions.folds import folded
 from veridane.functions.strict_json import object_entries
 from veridane.functions.text import trim_ws
-from veridane.operators import rules
+from veridane.operators import grammar, rules
 from veridane.operators.clean import let
 
 #: Names and message of the response format.
@@ -84,10 +84,10 @@ def decide(responses: DataFrame, raw: str = "raw") -> DataFrame:
     return made.select(*responses.columns, F.col("_d.decision").alias("decision"), F.col("_d.explanation").alias("explanation"), F.col("_p").isNotNull().alias("parse_ok"))
 
 
-#: The output grammar as one anchored expression: this key order, lower-case booleans, blanks, tabs and line ends between.
-GAP = r"[ \t\n\r]*"
-GRAMMAR = rf'^\{{{GAP}"{INFRINGING}"{GAP}:{GAP}(true|false){GAP},{GAP}"{SUBSTITUTE}"{GAP}:{GAP}(true|false){GAP}\}}\z'
+#: The output format where no grammar file is there; it takes any white space.
+FORMAT = rf'^\{{\s*"{INFRINGING}"\s*:\s*(true|false)\s*,\s*"{SUBSTITUTE}"\s*:\s*(true|false)\s*\}}\z'
 
 
-def conforms(raw: Column) -> Column:
-    return F.coalesce(raw.rlike(GRAMMAR), F.lit(False))
+def constraint(spark: SparkSession, path: str) -> str:
+    """The expression that holds responses to their format: of a grammar file, or FORMAT if it is missing."""
+    return grammar.read_grammar(spark, path, FORMAT)

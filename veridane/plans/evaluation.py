@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridane.operators import extract, prompt, rules, score
+from veridane.operators import extract, grammar, prompt, rules, score
 from veridane.plans.registry import register, table
 from veridane.sources import files, scratch
 
@@ -247,12 +247,30 @@ def json_objects(spark, sf_dir):
 
 @register("grammar_conformance", "SELECT doc_id, doc_id % 4 = 0 OR (doc_id % 4 = 2 AND toxic = 0) AS conforms FROM labels")
 def grammar_conformance(spark, sf_dir):
-    """Responses made from labels: well-formed, with something behind, with booleans of which one is in capitals, and with something before."""
+    """Responses made from labels, tested by the shipped grammar file: well-formed, with something behind, with booleans of which one is in capitals, and with something before."""
     b = lambda c: F.when(F.col(c) == 1, "true").otherwise("false")
     made = lambda z: F.concat(F.lit('{ "' + I + '" :\n'), b("X"), F.lit(', "' + S + '":\t'), z, F.lit("}"))
     good, loud = made(b("Z")), made(F.when(F.col("Z") == 1, "TRUE").otherwise("false"))
     raw = F.when(F.col("doc_id") % 4 == 0, good).when(F.col("doc_id") % 4 == 1, F.concat(good, F.lit(" {}"))).when(F.col("doc_id") % 4 == 2, loud).otherwise(F.concat(F.lit("x"), good))
-    return facts(spark, sf_dir).select("doc_id", extract.conforms(raw).alias("conforms"))
+    expression = extract.constraint(spark, scratch.shipped(spark, "veridane.rulesets", "predicates.gbnf"))
+    return facts(spark, sf_dir).select("doc_id", grammar.conforms(raw, expression).alias("conforms"))
+
+
+#: A grammar for events' own objects: a key, and a number that is no multiple of ten.
+COUNTER = r'''
+root ::= "{" blank* "\"k\":" blank* number blank* "}"   # as events write it
+number ::= "-"? ( [1-9] | [1-9] digit{0,17} [1-9] )
+digit ::= [0-9]
+blank ::= [\x20\t]
+'''
+
+
+@register("grammar_other", """SELECT event_id, coalesce(regexp_full_match(props, '\\{[ \\t]*"k":[ \\t]*-?[1-9]([0-9]*[1-9])?[ \\t]*\\}'), false) AS conforms FROM events""")
+def grammar_other(spark, sf_dir):
+    """Events' objects by another grammar, through a file."""
+    path = scratch.fresh(spark, "counter.gbnf")
+    spark.createDataFrame([(COUNTER,)], "value string").coalesce(1).write.text(path)
+    return table(spark, sf_dir, "events").select("event_id", grammar.conforms(F.col("props"), extract.constraint(spark, path)).alias("conforms"))
 
 
 # --- transcripts ------------------------------------------------------------
