@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import functools
-import itertools
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridane.sources import files
-from veridane.sources.scratch import shipped
+from veridane.sources.scratch import shipped, stored
 
 AWARDED, DENIED = "AWARDED", "DENIED"
+RULE = ["dsl", "rule_id", "outcome"]
 
 #: Explanations of the three outcomes.
 SUBSTITUTE = "A non-infringing substitute is available, so the claim is denied"
 GRANTED = "No substitute is available and the infringing product is present, so the claim is awarded"
 ABSENT = "The infringing product is absent, so the claim is denied"
 
+
 def decision(infringing: Column, substitute: Column) -> Column:
     """STRUCT(decision, explanation): a substitute denies, else an infringing product awards, else denied."""
 
@@ -27,27 +29,134 @@ def decision(infringing: Column, substitute: Column) -> Column:
     return F.when(substitute, out(DENIED, SUBSTITUTE)).when(infringing, out(AWARDED, GRANTED)).otherwise(out(DENIED, ABSENT))
 
 
+#: The package's own rules, read once an application.
+_READ: dict[str, list] = {}
+
+
 def shipped_rules(spark: SparkSession) -> DataFrame:
-    """(dsl, rule_id, outcome, conditions) of the package's rule files, each read in its own format."""
-    at = lambda name: shipped(spark, "veridane.rulesets", name)
-    units, policy, xml = files.rules_from_units(spark, at("units.json")), files.rules_from_policy(spark, at("policy.json")), files.rules_from_xml(spark, at("rules.xml"))
-    return units.union(policy).union(xml)
+    """(dsl, rule_id, outcome, conditions, exceptions, defeaters) of the package's rule files, each read in its own format."""
+    key = spark.sparkContext.applicationId
+    if key not in _READ:
+        at = lambda name: shipped(spark, "veridane.rulesets", name)
+        units, policy, xml = files.rules_from_units(spark, at("units.json")), files.rules_from_policy(spark, at("policy.json")), files.rules_from_xml(spark, at("rules.xml"))
+        _READ[key] = units.union(policy).union(xml).collect()
+    condition = pa.list_(pa.struct([(n, pa.string()) for n in ("field", "operator", "value")]))
+    schema = pa.schema([*[(n, pa.string()) for n in RULE], ("conditions", condition), ("exceptions", pa.list_(condition)), ("defeaters", pa.list_(pa.string()))])
+    return spark.createDataFrame(pa.Table.from_pylist([r.asDict(recursive=True) for r in _READ[key]], schema))
+
+
+#: Comparisons of a condition; the first of each are the names used.
+OPERATORS = {"eq": "eq", "neq": "neq", "ne": "neq", "lt": "lt", "lteq": "lteq", "lte": "lteq", "gt": "gt", "gteq": "gteq", "gte": "gteq"}
+ORDER = {"lt": lambda a, b: a < b, "lteq": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gteq": lambda a, b: a >= b}
+
+
+def canonical(value: Column) -> Column:
+    """Numbers, however written, as one text; other values as they are."""
+    text = value.cast("string")
+    return F.coalesce(text.try_cast("double").cast("string"), text)
+
+
+def parts_of(rules: DataFrame) -> DataFrame:
+    """(dsl, rule_id, outcome, part, conditions): a row for a rule's own conditions (part 0) and one for each of its exceptions (from 1)."""
+    none = F.array().cast("array<array<struct<field:string,operator:string,value:string>>>")
+    own = F.array(F.col("conditions").cast("array<struct<field:string,operator:string,value:string>>"))
+    exceptions = F.coalesce(F.col("exceptions").cast("array<array<struct<field:string,operator:string,value:string>>>"), none) if "exceptions" in rules.columns else none
+    return rules.select(*RULE, F.posexplode(F.concat(own, exceptions)).alias("part", "conditions"))
+
+
+def checked(parts: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """parts with operators under one name each; what can't be judged, by its operator, field or value, is an error, so no rule is left out."""
+    name = F.create_map(*[F.lit(x) for kv in OPERATORS.items() for x in kv])
+
+    def one(c: Column) -> Column:
+        operator = F.try_element_at(name, F.coalesce(c["operator"], F.lit("")))
+        ordered = operator.isin(*ORDER)
+        good = operator.isNotNull() & F.coalesce(c["field"].isin(*fields), F.lit(False)) & c["value"].isNotNull() & (~ordered | c["value"].try_cast("double").isNotNull())
+        wrong = F.raise_error(F.concat(F.lit("rule "), F.col("rule_id"), F.lit(" has a condition that can't be judged: "), F.to_json(c))).cast("string")
+        return F.struct(c["field"].alias("field"), F.when(good, operator).otherwise(wrong).alias("operator"), canonical(c["value"]).alias("value"))
+
+    missing = F.raise_error(F.concat(F.lit("a rule without an id, an outcome or readable conditions: "), F.coalesce("rule_id", F.lit("?")))).cast("array<struct<field:string,operator:string,value:string>>")
+    whole = F.col("rule_id").isNotNull() & (F.col("rule_id") != "") & F.col("outcome").isNotNull() & (F.col("outcome") != "") & F.col("conditions").isNotNull()
+    return parts.withColumn("conditions", F.when(whole, F.array_distinct(F.transform("conditions", one))).otherwise(missing))
+
+
+def strata(rules: DataFrame, most: int) -> list[list[tuple[str, str, str]]]:
+    """(dsl, rule_id, defeater) by level: a level's rules are defeated only by rules of lower ones. A circle is an error."""
+    if "defeaters" not in rules.columns:
+        return []
+    edges = rules.select("dsl", "rule_id", F.explode("defeaters").alias("by")).limit(most + 1).collect()
+    if len(edges) > most:
+        raise ValueError(f"more than {most} defeaters")
+    by: dict[tuple[str, str], set[tuple[str, str]]] = {}
+    for e in edges:
+        by.setdefault((e["dsl"], e["rule_id"]), set()).add((e["dsl"], e["by"]))
+    out, settled = [], set()
+    while len(settled) < len(by):
+        level = {r for r, defeaters in by.items() if r not in settled and all(d in settled or d not in by for d in defeaters)}
+        if not level:
+            raise ValueError(f"rules defeat each other in a circle: {sorted(set(by) - settled)}")
+        out.append(sorted((r[0], r[1], d[1]) for r in level for d in by[r]))
+        settled |= level
+    return out
+
+
+def index_of(rules: DataFrame, fields: tuple[str, ...], most: int) -> tuple[DataFrame, bool]:
+    """A row for each condition of each part of a rule, one with nulls for a part without conditions; and whether they are at most `most`. So few are read once, and stand in the plan as they are; more are written once."""
+    parts = checked(parts_of(rules), fields).withColumn("size", F.size("conditions"))
+    index = parts.select(*RULE, "part", "size", F.explode_outer("conditions").alias("c")).select(*RULE, "part", "size", "c.field", "c.operator", "c.value")
+    head = index.limit(most + 1).collect()
+    if len(head) > most:
+        return stored(index, "rules"), False
+    spark, names = rules.sparkSession, index.columns
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    columns = [pa.array([row[k] for row in head], kinds[dict(index.dtypes)[name]]) for k, name in enumerate(names)]
+    return spark.createDataFrame(pa.table(columns, names=names)), True
 
 
 def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("X", "Z"), most: int = 10_000) -> DataFrame:
-    """facts joined to each rule whose conditions (field eq value) all hold; a null field makes no condition hold.
+    """facts joined to each rule that fires.
+
+    A rule fires if all its conditions hold, unless all conditions of one of its
+    exceptions do, or a rule that is among its defeaters fires. rules: (dsl, rule_id,
+    outcome, conditions), and, if there are any, exceptions (lists of conditions) and
+    defeaters (ids of rules of the same dsl). A null field makes no condition hold;
+    a rule without conditions always holds; one that can't be judged is an error.
 
-    An equi-join at any size: a rule's key is its set of conditions, and each fact
-    offers one key for every subset of its few fields. Up to `most` rules (they are
-    counted) go to every task.
+    Conditions are an index: equality is a hash join on (field, value), order a range
+    join on the field, both with the distinct values of facts; a rule's conditions that
+    a state of fields meets are counted, and all must be there. Facts join their state's
+    rules at the end, so what rules cost follows the number of states, not of facts.
+    Up to `most` conditions (they are counted) go to every task.
     """
-    one = lambda f, v: F.concat(f, F.lit("="), v.cast("string"))
-    joined = lambda keys: F.array_join(F.array_sort(keys), ",")
-    usable = F.forall("conditions", lambda c: F.coalesce((c["operator"] == "eq") & c["field"].isin(*fields) & c["value"].isNotNull(), F.lit(False)))
-    keyed = rules.filter(usable).withColumn("_key", joined(F.array_distinct(F.transform("conditions", lambda c: one(c["field"], c["value"]))))).drop("conditions")
-    if keyed.limit(most + 1).count() <= most:
-        keyed = F.broadcast(keyed)
-    subsets = [c for n in range(len(fields) + 1) for c in itertools.combinations(fields, n)]
-    whole = lambda c: functools.reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in c], F.lit(True))
-    offers = [F.when(whole(c), joined(F.array(*[one(F.lit(f), F.col(f).cast("int")) for f in c])) if c else F.lit("")) for c in subsets]
-    return facts.withColumn("_key", F.explode(F.array_compact(F.array(*offers)))).join(keyed, "_key").drop("_key")
+    state = F.to_json(F.array(*[canonical(F.col(f)) for f in fields]))
+    keyed = facts.withColumn("_state", state)
+    states = keyed.select("_state", *[canonical(F.col(f)).alias(f) for f in fields]).distinct()
+    index, few = index_of(rules, fields, most)
+    sent = F.broadcast if few else lambda df: df
+
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])
+    held = states.select("_state", F.inline(pairs)).filter("v IS NOT NULL")
+    values = held.select("field", "v").distinct()
+    tests = index.select("field", "operator", "value").filter("operator IS NOT NULL").distinct()
+    of = lambda *names: sent(tests.filter(F.col("operator").isin(*names)).withColumnRenamed("field", "f"))
+    same = F.col("field") == F.col("f")
+    number = lambda c: F.col(c).try_cast("double")
+    ordered = functools.reduce(lambda c, kv: F.when(F.col("operator") == kv[0], kv[1](number("v"), number("value"))).otherwise(c), ORDER.items(), F.lit(False))
+    met = values.join(of("eq"), same & (F.col("v") == F.col("value")))
+    met = met.union(values.join(of("neq"), same & (F.col("v") != F.col("value")))).union(values.join(of(*ORDER), same & ordered))
+    met = held.join(met.drop("f"), ["field", "v"]).select("_state", "field", "operator", "value")
+
+    counted = met.join(sent(index.filter("size > 0")), ["field", "operator", "value"]).groupBy("_state", *RULE, "part", "size").agg(F.count("*").alias("n")).filter("n = size")
+    whole = counted.select("_state", *RULE, "part")
+    always = sent(index.filter("size = 0").select(*RULE, "part"))
+    # What is read more than once is written once: plans stay short however many strata there are.
+    whole = stored(whole.union(states.select("_state").join(always, F.lit(True))), "holding")
+    out = whole.filter("part = 0").drop("part").join(whole.filter("part > 0").select("_state", "dsl", "rule_id").distinct(), ["_state", "dsl", "rule_id"], "left_anti")
+    levels = strata(rules, most)
+    if levels:
+        out = stored(out, "firing")
+    for level in levels:
+        defeats = F.broadcast(facts.sparkSession.createDataFrame(level, "dsl string, beaten string, rule_id string"))
+        beaten = out.join(defeats, ["dsl", "rule_id"]).select("_state", "dsl", F.col("beaten").alias("rule_id")).distinct()
+        out = stored(out.join(beaten, ["_state", "dsl", "rule_id"], "left_anti"), "standing")
+    return keyed.join(out.select("_state", *RULE), "_state").drop("_state")

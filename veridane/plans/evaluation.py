@@ -51,6 +51,32 @@ def rules_equivalence(spark, sf_dir):
     return ruled.groupBy("dsl", "X", "Z").agg(F.count("*").alias("n"), F.count_distinct("outcome").alias("outcomes"), F.bool_and(F.col("outcome") == own).alias("agrees"))
 
 
+#: Rules over orders: (id, outcome, conditions, exceptions, defeaters).
+ORDER_RULES = (
+    ("large", "review", [("price", "gteq", "200000")], [[("status", "eq", "F"), ("priority", "neq", "1-URGENT")]], []),
+    ("small", "pass", [("price", "lt", "50000.5"), ("status", "neq", "P")], [], ["large", "hurry"]),
+    ("middle", "pass", [("price", "gteq", "50000.5"), ("price", "lteq", "150000")], [], []),
+    ("hurry", "first", [("priority", "eq", "1-URGENT"), ("status", "eq", "O")], [], ["middle"]),
+    ("any", "log", [], [[("price", "gt", "100000")]], []),
+)
+RULE_SCHEMA = f"dsl string, rule_id string, outcome string, conditions {files.CONDITIONS}, exceptions array<{files.CONDITIONS}>, defeaters array<string>"
+PRICE, STATE, RANK = "o_totalprice", "o_orderstatus", "o_orderpriority"
+HURRY = f"({RANK} = '1-URGENT' AND {STATE} = 'O' AND NOT ({PRICE} >= 50000.5 AND {PRICE} <= 150000))"
+
+
+@register(
+    "rules_indexed",
+    f"""SELECT o_orderkey, unnest(list_filter([CASE WHEN {PRICE} >= 200000 AND NOT ({STATE} = 'F' AND {RANK} <> '1-URGENT') THEN 'large:review' END, CASE WHEN {PRICE} < 50000.5 AND {STATE} <> 'P' AND NOT {HURRY} THEN 'small:pass' END,
+      CASE WHEN {PRICE} >= 50000.5 AND {PRICE} <= 150000 THEN 'middle:pass' END, CASE WHEN {HURRY} THEN 'hurry:first' END, CASE WHEN NOT {PRICE} > 100000 THEN 'any:log' END], lambda x: x IS NOT NULL)) AS fired FROM orders""",
+)
+def rules_indexed(spark, sf_dir):
+    """All rules that fire for each order, by equality, order, exceptions and defeaters."""
+    held = spark.createDataFrame([("orders", *r) for r in ORDER_RULES], RULE_SCHEMA)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col(PRICE).alias("price"), F.col(STATE).alias("status"), F.col(RANK).alias("priority"))
+    fired = rules.apply_rules(orders, held, ("price", "status", "priority"))
+    return fired.select("o_orderkey", F.concat("rule_id", F.lit(":"), "outcome").alias("fired"))
+
+
 LOADED = [("de_jure", "U1", "DENIED", "Z=1"), ("de_jure", "U2", "AWARDED", "Z=0,X=1"), ("de_jure", "U3", "DENIED", "Z=0,X=0"), ("legalruleml", "L1", "DENIED", "Z=1"), ("legalruleml", "L2", "AWARDED", "Z=0,X=1"), ("legalruleml", "L3", "DENIED", "Z=0,X=0"), ("odrl", "P1", "AWARDED", "Z=0,X=1"), ("odrl", "P2", "DENIED", "Z=1"), ("odrl", "P3", "DENIED", "Z=0,X=0")]
 
 
