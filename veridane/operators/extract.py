@@ -21,6 +21,7 @@ from veridane.operators.clean import let
 #: Names and message of the response format.
 INFRINGING, SUBSTITUTE = "infringing_product_available", "substitute_product_available"
 PARSE_FAILED = "Parsing failed: Response JSON does not contain the required predicate fields"
+EXECUTION_FAILED = "Prompt execution failed: "
 FENCE = "```"
 #: What ends a line.
 LINE_END = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
@@ -76,12 +77,24 @@ def predicates(raw: Column) -> Column:
     return F.get(F.filter(F.transform(objects, decoded), lambda p: p.isNotNull()), F.lit(0))
 
 
-def decide(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """responses with decision, explanation and parse_ok; a response without predicates is DENIED."""
-    parsed = responses.withColumn("_p", predicates(F.col(raw)))
-    failed = F.named_struct(F.lit("decision"), F.lit(rules.DENIED), F.lit("explanation"), F.lit(PARSE_FAILED))
-    made = parsed.withColumn("_d", F.when(F.col("_p").isNotNull(), rules.decision(F.col("_p.x"), F.col("_p.z"))).otherwise(failed))
-    return made.select(*responses.columns, F.col("_d.decision").alias("decision"), F.col("_d.explanation").alias("explanation"), F.col("_p").isNotNull().alias("parse_ok"))
+def decide(responses: DataFrame, raw: str = "raw", failure: str | None = None) -> DataFrame:
+    """responses with decision, explanation and parse_ok; a response without predicates is DENIED.
+
+    failure: a column with the reason why a prompt could not be run, null where it was; it
+    decides before the response is looked at, and `raw` becomes the report of it.
+    """
+    failed = F.lit(False) if failure is None else F.col(failure).isNotNull()
+    parsed = responses.withColumn("_p", F.when(~failed, predicates(F.col(raw))))
+    denied = lambda why: F.struct(F.lit(rules.DENIED).alias("decision"), why.alias("explanation"))
+    made = F.when(F.col("_p").isNotNull(), rules.decision(F.col("_p.x"), F.col("_p.z")))
+    if failure is not None:
+        made = F.when(failed, denied(F.concat(F.lit(EXECUTION_FAILED), F.col(failure).cast("string")))).otherwise(F.coalesce(made, denied(F.lit(PARSE_FAILED))))
+        report = F.to_json(F.struct(F.lit("prompt_failed").alias("error"), F.col(failure).cast("string").alias("reason")))
+        parsed = parsed.withColumn(raw, F.when(failed, report).otherwise(F.col(raw)))
+    else:
+        made = F.coalesce(made, denied(F.lit(PARSE_FAILED)))
+    decided = parsed.withColumn("_d", made)
+    return decided.select(*responses.columns, F.col("_d.decision").alias("decision"), F.col("_d.explanation").alias("explanation"), F.col("_p").isNotNull().alias("parse_ok"))
 
 
 #: The output format where no grammar file is there; it takes any white space.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ RULES = {"odrl": "policy.json", "legalruleml": "rules.xml", "de_jure": "units.js
 
 
 def read_templates(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
-    """Whole text files by name: base, with {dsl_section} and {dsl_name}, and a section for each language, with {rules}. A few small files."""
+    """Whole text files by name: base, with {dsl_section} and {dsl_name}, and a section for each language, with {rules}; format strings, in which literal braces are doubled. A few small files."""
     out = {}
     for name, path in paths.items():
         found = files.read_whole(spark, path).select("value").first()  # an empty file has no row
@@ -36,11 +38,32 @@ def shipped_prompts(spark: SparkSession) -> DataFrame:
     return named.select("dsl", system_prompt(F.col("dsl"), F.col("rules"), texts).alias("system"))
 
 
+#: A doubled brace, a named field, or a brace that is neither.
+MARK = re.compile(r"\{\{|\}\}|\{(\w+)\}|[{}]")
+
+
+def formatted(template: str, fields: dict[str, Column]) -> Column:
+    """A format string with its named fields filled in; doubled braces are single ones, and what is filled in is not looked at again. An unknown field or a single brace is an error."""
+    parts, at = [], 0
+    for m in MARK.finditer(template):
+        parts.append(F.lit(template[at : m.start()]))
+        at = m.end()
+        if m[1]:
+            if m[1] not in fields:
+                raise ValueError(f"unknown field {m[1]!r} in a template")
+            parts.append(fields[m[1]])
+        elif len(m[0]) == 2:
+            parts.append(F.lit(m[0][0]))
+        else:
+            raise ValueError(f"a single {m[0]!r} in a template: {template[max(0, m.start() - 20) : m.end() + 20]!r}")
+    return F.concat(*parts, F.lit(template[at:]))
+
+
 def section(dsl: Column, rules: Column, templates: dict[str, str]) -> Column:
     """A language's section with its rules filled in."""
     out = F.lit(None).cast("string")
     for name in DISPLAY:
-        out = F.when(dsl == name, F.replace(F.lit(templates[name]), F.lit("{rules}"), rules)).otherwise(out)
+        out = F.when(dsl == name, formatted(templates[name], {"rules": rules})).otherwise(out)
     return out
 
 
@@ -49,8 +72,8 @@ def system_prompt(dsl: Column, rules: Column, templates: dict[str, str] | None =
     templates = templates or own_templates()
     low = F.lower(dsl)
     name = F.try_element_at(F.create_map(*[F.lit(x) for kv in DISPLAY.items() for x in kv]), low)
-    known = F.when(low.isin(*DISPLAY), F.lit(templates["base"])).otherwise(F.raise_error(F.concat(F.lit("Unsupported DSL: "), low)).cast("string"))
-    return F.replace(F.replace(known, F.lit("{dsl_name}"), F.coalesce(name, F.lit(""))), F.lit("{dsl_section}"), F.coalesce(section(low, F.coalesce(rules, F.lit("")), templates), F.lit("")))
+    filled = formatted(templates["base"], {"dsl_name": name, "dsl_section": section(low, F.coalesce(rules, F.lit("")), templates)})
+    return F.when(low.isin(*DISPLAY), filled).otherwise(F.raise_error(F.concat(F.lit("Unsupported DSL: "), low)).cast("string"))
 
 
 def default_prompt() -> Column:

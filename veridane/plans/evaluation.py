@@ -329,3 +329,15 @@ def response_rows(spark, sf_dir):
     """Result rows as the evaluation report proposes them."""
     a = answered(spark, sf_dir)
     return a.select(F.lit("made-up").alias("model_id"), F.concat(F.lit("labels_"), F.col("doc_id").cast("string")).alias("prompt_id"), F.col("prompt").alias("prompt_text"), F.col("expected").alias("expected_label"), F.col("raw").alias("model_output"), F.col("decision").alias("parsed_decision"), (F.col("decision") == F.col("expected")).alias("correct"), "parse_ok")
+
+
+@register(
+    "failed_prompts",
+    f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{{"error":"prompt_failed","reason":"time out after ' || doc_id || ' s"}}' ELSE {OUTPUT} END AS raw, CASE WHEN doc_id % 4 = 0 THEN 'DENIED' ELSE {SAID} END AS decision,
+      CASE WHEN doc_id % 4 = 0 THEN '{extract.EXECUTION_FAILED}time out after ' || doc_id || ' s' ELSE {REASON} END AS explanation, doc_id % 4 <> 0 AND doc_id % 5 <> 0 AS parse_ok FROM labels""",
+)
+def failed_prompts(spark, sf_dir):
+    """Every fourth prompt can't be run; its failure decides, though a response lies there."""
+    said = answered(spark, sf_dir).drop("decision", "explanation", "parse_ok")
+    why = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("time out after "), F.col("doc_id").cast("string"), F.lit(" s")))
+    return extract.decide(said.withColumn("why", why), failure="why").select("doc_id", "raw", "decision", "explanation", "parse_ok")

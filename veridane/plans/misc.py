@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from veridane.operators import config, prompt, score, vector
 from veridane.plans.registry import register, table
 from veridane.sources import files
-from veridane.sources.scratch import fresh, package_text
+from veridane.sources.scratch import fresh, package_text, shipped_folder
 
-OWN = prompt.own_templates()
+#: The templates as SQL needs them: with single braces.
+OWN = {name: text.replace("{{", "{").replace("}}", "}") for name, text in prompt.own_templates().items()}
 DSL = "CASE conv_id % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'ODRL' WHEN 2 THEN 'legalruleml' ELSE 'de_jure' END"
 SECTION = f"CASE lower({DSL}) " + " ".join(f"WHEN '{k}' THEN replace('{OWN[k]}', '{{rules}}', text)" for k in prompt.DISPLAY) + " END"
 NAME = f"CASE lower({DSL}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompt.DISPLAY.items()) + " END"
@@ -54,13 +55,8 @@ def default_prompt(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.concat(prompt.default_prompt(), F.col("text"))).alias("digest"))
 
 
-#: model_id, torch_dtype, seed, temperature, max_new_tokens
-CONFIGS = (
-    ("meta-llama/Llama-3.2-1B-Instruct", "float16", 0, None, 1024),
-    ("microsoft/Phi-4-mini-instruct", "auto", 0, "0.0", 1024),
-    ("warm/model", "bfloat16", 7, "0.7", None),
-    ("odd/model", "auto", 1, "abc", 8),
-)
+#: Configuration files of the package.
+CONFIGS = ("meta-llama_Llama-3.2-1B-Instruct", "microsoft_Phi-4-mini-instruct", "warm_model", "odd_model")
 
 
 @register(
@@ -73,8 +69,7 @@ CONFIGS = (
 def config_resolve(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("unknown/model", "meta-llama/Llama-3.2-1B-Instruct", "microsoft/Phi-4-mini-instruct", "warm/model", "odd/model")])
     asked = table(spark, sf_dir, "customer").select(F.get(names, (F.col("c_custkey") % 5).cast("int")).alias("model_id")).distinct()
-    held = spark.createDataFrame(list(CONFIGS), "model_id string, torch_dtype string, seed int, temperature string, max_new_tokens int")
-    return config.resolve(asked, held)
+    return config.resolve(asked, config.read_configs(spark, shipped_folder(spark, "veridane.model_configs", [f"{name}.json" for name in CONFIGS])))
 
 
 PAIRED = """WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"""

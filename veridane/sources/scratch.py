@@ -65,3 +65,14 @@ def shipped(spark: SparkSession, package: str, name: str) -> str:
         spark.createDataFrame([(package_text(package, name).removesuffix("\n"),)], "value string").coalesce(1).write.text(path)
         _SHIPPED[key] = path
     return _SHIPPED[key]
+
+
+def shipped_folder(spark: SparkSession, package: str, names: list[str]) -> str:
+    """A folder with small files of the package, each under its own name, put there once an application."""
+    key = (shared_dir(spark), package, "")
+    if key not in _SHIPPED:
+        folder = fresh(spark, package)
+        for name in names:
+            spark.createDataFrame([(package_text(package, name).removesuffix("\n"),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+        _SHIPPED[key] = folder
+    return _SHIPPED[key]
