@@ -129,8 +129,8 @@ def clean(questions: DataFrame, patches: Column | None = None) -> DataFrame:
     return q.select("*", new.alias("new_statements"), changed.alias("logged"), warning.alias("warning")).drop("auto", "cosmetic")
 
 
-def change_log(cleaned: DataFrame) -> DataFrame:
-    return cleaned.filter("logged").select("id", n_statements(F.col("statements")).alias("old_count"), n_statements(F.col("new_statements")).alias("new_count"), "mode")
+def change_log(cleaned: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return cleaned.filter("logged").select("id", *keep, n_statements(F.col("statements")).alias("old_count"), n_statements(F.col("new_statements")).alias("new_count"), "mode")
 
 
 def totals(cleaned: DataFrame, expected: int = EXPECTED_TOTAL) -> DataFrame:

@@ -18,7 +18,12 @@ def pair_score(responses: DataFrame) -> DataFrame:
 
 def violation_score(responses: DataFrame) -> DataFrame:
     """Share of failed pairs by model; FAIL unless it is 0 (the threshold is our reading)."""
-    per = pair_score(responses).groupBy("model").agg(F.count("*").alias("pairs"), F.count(F.when(~F.col("passed"), 1)).alias("failed"))
+    return violations_of(pair_score(responses))
+
+
+def violations_of(pairs: DataFrame) -> DataFrame:
+    """The same from pairs that are scored already (model, passed), by a batch or a stream."""
+    per = pairs.groupBy("model").agg(F.count("*").alias("pairs"), F.count(F.when(~F.col("passed"), 1)).alias("failed"))
     score = F.round(F.col("failed") / F.col("pairs"), 2)
     return per.withColumn("score", score).withColumn("verdict", F.when(F.col("failed") == 0, "PASS").otherwise("FAIL"))
 

@@ -23,8 +23,8 @@ SHORT, LEAK, PUNCTUATION, SOURCE = " suspiciously short: ", " possible instructi
 ENTRY = "array<struct<key:string,value:string>>"
 
 
-def checked_units(questions: DataFrame, statements: str = "statements") -> DataFrame:
-    """(id, pos, found): a row for each record (pos 0) and each of its statements (pos from 1), with its problems as (check, key, message).
+def checked_units(questions: DataFrame, statements: str = "statements", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, pos, found): a row for each record (pos 0) and each of its statements (pos from 1), with its problems as (check, key, message).
 
     One pass: what a record's checks need is made before it is spread into rows; a statement's
     trimmed, lower-case and comparable forms are made once.
@@ -36,10 +36,10 @@ def checked_units(questions: DataFrame, statements: str = "statements") -> DataF
     def found(check: str, key: Column, message: Column) -> Column:
         return F.named_struct(F.lit("check"), F.lit(check), F.lit("key"), key, F.lit("message"), message)
 
-    record = questions.select("id", held.alias("e"), F.when(checked & (F.size(held) > 0), comparable(F.col("original_question"))).alias("source"))
+    record = questions.select("id", *keep, held.alias("e"), F.when(checked & (F.size(held) > 0), comparable(F.col("original_question"))).alias("source"))
     keys = found("keys", none, F.concat(F.lit(KEYS), F.array_join(F.transform("e", lambda x: x["key"]), ", ")))
     of_record = F.when(F.size("e") == 0, found("missing", none, F.lit(MISSING))).when(~keys_in_order(F.col("e")), keys)
-    spread = record.select("id", "source", of_record.alias("of_record"), F.posexplode(F.concat(F.array(F.lit(None).cast("struct<key:string,value:string>")), F.col("e"))).alias("pos", "s"))
+    spread = record.select("id", *keep, "source", of_record.alias("of_record"), F.posexplode(F.concat(F.array(F.lit(None).cast("struct<key:string,value:string>")), F.col("e"))).alias("pos", "s"))
 
     def of(t: Column) -> Column:
         key = F.col("s.key")
@@ -51,13 +51,13 @@ def checked_units(questions: DataFrame, statements: str = "statements") -> DataF
         )
 
     every = F.when(F.col("pos") == 0, F.array("of_record")).otherwise(let(F.coalesce("s.value", F.lit("")), of))
-    return spread.select("id", "pos", F.array_compact(every).alias("found"))
+    return spread.select("id", *keep, "pos", F.array_compact(every).alias("found"))
 
 
-def problems(questions: DataFrame, statements: str = "statements") -> DataFrame:
-    """(id, nth, check, key, message): one row for each problem; nth orders a record's problems by statement, and by check within one."""
-    each = checked_units(questions, statements).select("id", "pos", F.posexplode("found").alias("k", "p"))
-    return each.select("id", (F.col("pos") * 4 + F.col("k")).alias("nth"), "p.check", "p.key", "p.message")
+def problems(questions: DataFrame, statements: str = "statements", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, nth, check, key, message): one row for each problem; nth orders a record's problems by statement, and by check within one. keep: columns of questions that go along."""
+    each = checked_units(questions, statements, keep).select("id", *keep, "pos", F.posexplode("found").alias("k", "p"))
+    return each.select("id", *keep, (F.col("pos") * 4 + F.col("k")).alias("nth"), "p.check", "p.key", "p.message")
 
 
 def gate(questions: DataFrame, statements: str = "statements", records: int = EXPECTED_RECORDS, total: int = EXPECTED_STATEMENTS) -> DataFrame:

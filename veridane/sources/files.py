@@ -17,9 +17,13 @@ VARIABLES = {"substituteAvailable": "Z", "infringingProductAvailable": "X"}
 NO_DEFEATER = "noDefeater"
 
 
-def read_questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A JSON array of records, indented or not, or JSON lines; malformed input is an error. Statements become ordered entries (key, value)."""
+def read_questions(spark: SparkSession, path: str, lines: bool = False, position: bool = False) -> DataFrame:
+    """A JSON array of records, indented or not, or JSON lines; malformed input is an error. Statements become ordered entries (key, value). On demand with `position`, by which records sort as they stand in the files."""
     raw = spark.read.schema(QUESTION).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    columns = [*raw.columns]
+    if position:
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        raw = raw.select(*columns, at.alias("position"))
     return raw.withColumn("statements", F.map_entries("statements"))
 
 
