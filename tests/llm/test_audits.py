@@ -243,3 +243,25 @@ def test_probabilities_are_exact(spark):
     rows = [(c, n) for n in (r.randint(2, 9 * 10**15) for _ in range(300)) for c in (0, n - 2, r.randint(0, n - 2))]
     got = spark.createDataFrame(rows, "c long, n long").select("c", "n", source_divergence.probability(F.col("c"), F.col("n")).alias("p")).collect()
     assert all(x["p"] == 1 + 10**9 * (x["c"] + 2) // x["n"] for x in got)
+
+
+# --- scopes of written tables ------------------------------------------------
+
+
+def test_scopes_are_apart_and_nested(spark):
+    """A scope deletes what was written in it alone; what it keeps belongs to the scope around it; other threads have scopes of their own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from veridane.llm.shared import path_of, scope, written
+
+    there = lambda t: spark._jvm.org.apache.hadoop.fs.Path(path_of(t)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path_of(t)))
+    with ThreadPoolExecutor(1) as other:
+        with scope(spark) as outer:
+            a = written(spark.range(1), "a")
+            elsewhere = other.submit(lambda: written(spark.range(1), "e")).result()
+            with scope(spark) as inner:
+                b, c = written(spark.range(1), "b"), written(spark.range(1), "c")
+                inner.append(b)
+            assert [there(x) for x in (a, b, c, elsewhere)] == [True, True, False, True]
+            outer.append(a)
+        assert [there(x) for x in (a, b, elsewhere)] == [True, False, True]

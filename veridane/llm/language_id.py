@@ -44,6 +44,8 @@ UNKNOWN = "und"
 BLOCK = 1 << 18
 #: Floats of a model at most, and buckets at most.
 CELLS, BUCKETS = 1 << 23, 1 << 15
+#: Numbers that scoring holds at a time: texts, or n-grams, by languages.
+SCORED = 1 << 22
 GAP = np.uint64(0x20)
 
 
@@ -102,13 +104,20 @@ class Model:
         n, k = len(texts), len(self.languages)
         if not k:
             return [UNKNOWN] * n, np.zeros(n)
+        most = max(1, SCORED // k)
+        if n > most:  # so that texts x languages stay bounded
+            each = [self.predict(texts[a : a + most], evidence) for a in range(0, n, most)]
+            return [x for found, _ in each for x in found], np.concatenate([scores for _, scores in each])
         count, total = np.zeros(n, np.int64), np.zeros((n, k))
         for numbers, parts, own in blocks(texts):
             part, bucket = grams(parts, own, len(self.log_p))
             doc = np.array(numbers)[part]
             count += np.bincount(doc, minlength=n)
-            for j in range(k):
-                total[:, j] += np.bincount(doc, weights=self.log_p[bucket, j], minlength=n)
+            # The sparse matrix of texts and n-grams times the log probabilities: whole rows of these, summed over runs of one text.
+            for a in range(0, len(bucket), most):
+                of = doc[a : a + most]
+                runs = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                np.add.at(total, of[runs], np.add.reduceat(self.log_p[bucket[a : a + most]], runs, axis=0, dtype=np.float64))
         has = count > 0
         mean = total / np.maximum(count, 1)[:, None]
         z = mean * np.minimum(count, evidence)[:, None] + self.prior

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from veridane.sources.scratch import shared_dir
 
-#: Paths written within each open scope().
-_SCOPES: list[list[str]] = []
+#: Paths written within each scope() that is open here; each thread has its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for paths in _SCOPES:
+    for paths in _SCOPES.get()[-1:]:
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veridane_path = path
@@ -47,13 +48,16 @@ def release(*tables: DataFrame) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Deletes, at its end, all tables written within but those put into the list it gives."""
+    """Deletes, at its end, all tables written within but those put into the list it gives; these go to the scope around it, if there is one."""
     made: list[str] = []
     keep: list[DataFrame] = []
-    _SCOPES.append(made)
+    around = _SCOPES.get()
+    mark = _SCOPES.set((*around, made))
     try:
         yield keep
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.reset(mark)
         held = {path_of(t) for t in keep}
+        for paths in around[-1:]:
+            paths.extend(p for p in made if p in held)
         removed(spark, [p for p in made if p not in held])
