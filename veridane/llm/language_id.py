@@ -27,6 +27,7 @@ out of the query and kept as they are by `keep_known`.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ UNKNOWN = "und"
 BLOCK = 1 << 18
 #: Floats of a model at most, and buckets at most.
 CELLS, BUCKETS = 1 << 23, 1 << 15
-#: Numbers that scoring holds at a time: texts, or n-grams, by languages.
+#: Numbers that scoring holds at a time: texts by languages, and texts by buckets.
 SCORED = 1 << 22
 GAP = np.uint64(0x20)
 
@@ -100,6 +101,10 @@ class Model:
     def __init__(self, languages: list[str], log_p: np.ndarray, prior: np.ndarray):
         self.languages, self.log_p, self.prior = languages, log_p, prior
 
+    @functools.cached_property
+    def exact(self) -> np.ndarray:
+        return self.log_p.astype(np.float64)
+
     def predict(self, texts: list[str], evidence: int = 64) -> tuple[list[str], np.ndarray]:
         n, k = len(texts), len(self.languages)
         if not k:
@@ -113,11 +118,15 @@ class Model:
             part, bucket = grams(parts, own, len(self.log_p))
             doc = np.array(numbers)[part]
             count += np.bincount(doc, minlength=n)
-            # The sparse matrix of texts and n-grams times the log probabilities: whole rows of these, summed over runs of one text.
-            for a in range(0, len(bucket), most):
-                of = doc[a : a + most]
-                runs = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-                np.add.at(total, of[runs], np.add.reduceat(self.log_p[bucket[a : a + most]], runs, axis=0, dtype=np.float64))
+            # Counts of texts by buckets, times buckets by languages: one product, whatever the number of languages.
+            ids, local = np.unique(numbers, return_inverse=True)
+            of, wide = local[part], len(self.log_p)
+            step = max(1, SCORED // wide)
+            for a in range(0, len(ids), step):
+                now = (of >= a) & (of < a + step) if len(ids) > step else slice(None)
+                m = min(step, len(ids) - a)
+                counts = np.bincount((of[now] - a) * wide + bucket[now], minlength=m * wide).reshape(m, wide)
+                total[ids[a : a + m]] += counts.astype(np.float64) @ self.exact
         has = count > 0
         mean = total / np.maximum(count, 1)[:, None]
         z = mean * np.minimum(count, evidence)[:, None] + self.prior
