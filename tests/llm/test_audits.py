@@ -191,9 +191,9 @@ def test_most_random_strings_are_hits_and_words_are_not(spark):
 
 def test_allow_list_of_the_caller(spark):
     value = "Zx81kQpLm09TtRwE5vNbQ7"
-    df = spark.createDataFrame([(1, f"a {value} b", "kept")], "doc_id long, text string, base2 string")
+    df = spark.createDataFrame([(1, f"a {value} b", "kept", "gone", "kept", 0)], "doc_id long, text string, base2 string, added string, verdict string, c0 int")
     assert secret_scan.scan(df).first()["added"] and not secret_scan.scan(df, allow=(value,)).first()["added"]
-    assert secret_scan.scan(df).columns == ["doc_id", "text", "base2", "base", "added", "confirmed"]
+    assert secret_scan.scan(df).columns == ["doc_id", "text", "base2", "verdict", "c0", "base", "added", "confirmed"]
 
 
 # --- divergence --------------------------------------------------------------

@@ -203,8 +203,8 @@ def meets(mine: Column, others: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ()) -> DataFrame:
-    """docs with `base` and `added`, sorted arrays of (start, kind, stop), and `confirmed`, the number of base spans' candidates with a hit. allow: values that are no secrets."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """docs with `base` and `added`, sorted arrays of (start, kind, stop), and `confirmed`, the number of base spans' candidates with a hit. allow: values that are no secrets. Columns of docs with one of these names are replaced."""
+    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit(""))
 
     def judged(base: Column, high: Column) -> Column:
         pick = lambda met, want: F.transform(F.filter(F.arrays_zip(high.alias("s"), met.alias("met")), lambda x: x["met"] == want), lambda x: x["s"])
@@ -214,7 +214,9 @@ def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ()) -
         return F.when(F.size(high) == 0, out(none, F.lit(0))).when(F.size(base) == 0, out(high, F.lit(0))).otherwise(swept)
 
     verdict = let(base_spans(text), lambda b: let(entropy_spans(text, allow), lambda h: judged(b, h)))
-    return docs.select("*", F.explode(F.array(verdict)).alias("_verdict")).select(*[F.col(f"`{c}`") for c in docs.columns], "_verdict.*")
+    kept = [k for k, c in enumerate(docs.columns) if c not in ("base", "added", "confirmed")]
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).withColumn("verdict", F.explode(F.array(verdict)))
+    return numbered.select(*[F.col(f"c{k}").alias(docs.columns[k]) for k in kept], "verdict.*")
 
 
 def shown(found_spans: Column) -> Column:
