@@ -100,17 +100,17 @@ def strata(rules: DataFrame, most: int) -> list[list[tuple[str, str, str]]]:
     return out
 
 
-def index_of(rules: DataFrame, fields: tuple[str, ...], most: int) -> tuple[DataFrame, bool]:
-    """A row for each condition of each part of a rule, one with nulls for a part without conditions; and whether they are at most `most`. So few are read once, and stand in the plan as they are; more are written once."""
+def index_of(rules: DataFrame, fields: tuple[str, ...], most: int) -> tuple[DataFrame, list | None]:
+    """A row for each condition of each part of a rule, one with nulls for a part without conditions; and these rows, if they are at most `most`. So few are read once, and stand in the plan as they are; more are written once."""
     parts = checked(parts_of(rules), fields).withColumn("size", F.size("conditions"))
     index = parts.select(*RULE, "part", "size", F.explode_outer("conditions").alias("c")).select(*RULE, "part", "size", "c.field", "c.operator", "c.value")
     head = index.limit(most + 1).collect()
     if len(head) > most:
-        return stored(index, "rules"), False
+        return stored(index, "rules"), None
     spark, names = rules.sparkSession, index.columns
     kinds = {"string": pa.string(), "int": pa.int32()}
     columns = [pa.array([row[k] for row in head], kinds[dict(index.dtypes)[name]]) for k, name in enumerate(names)]
-    return spark.createDataFrame(pa.table(columns, names=names)), True
+    return spark.createDataFrame(pa.table(columns, names=names)), head
 
 
 def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("X", "Z"), most: int = 10_000) -> DataFrame:
@@ -131,8 +131,10 @@ def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("
     state = F.to_json(F.array(*[canonical(F.col(f)) for f in fields]))
     keyed = facts.withColumn("_state", state)
     states = keyed.select("_state", *[canonical(F.col(f)).alias(f) for f in fields]).distinct()
-    index, few = index_of(rules, fields, most)
-    sent = F.broadcast if few else lambda df: df
+    index, head = index_of(rules, fields, most)
+    sent = F.broadcast if head is not None else lambda df: df
+    # Of few rules it is known which joins they need.
+    some = lambda test: head is None or any(test(r) for r in head)
 
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])
     held = states.select("_state", F.inline(pairs)).filter("v IS NOT NULL")
@@ -142,17 +144,23 @@ def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("
     same = F.col("field") == F.col("f")
     number = lambda c: F.col(c).try_cast("double")
     ordered = functools.reduce(lambda c, kv: F.when(F.col("operator") == kv[0], kv[1](number("v"), number("value"))).otherwise(c), ORDER.items(), F.lit(False))
-    met = values.join(of("eq"), same & (F.col("v") == F.col("value")))
-    met = met.union(values.join(of("neq"), same & (F.col("v") != F.col("value")))).union(values.join(of(*ORDER), same & ordered))
+    v, value = F.col("v"), F.col("value")
+    joins = [(("eq",), v == value), (("neq",), v != value), (tuple(ORDER), ordered)]
+    needed = [values.join(of(*names), same & holds) for names, holds in joins if some(lambda r, names=names: r["operator"] in names)]
+    met = functools.reduce(lambda a, b: a.union(b), needed or [values.join(of("eq"), same)])
     met = held.join(met.drop("f"), ["field", "v"]).select("_state", "field", "operator", "value")
 
     counted = met.join(sent(index.filter("size > 0")), ["field", "operator", "value"]).groupBy("_state", *RULE, "part", "size").agg(F.count("*").alias("n")).filter("n = size")
     whole = counted.select("_state", *RULE, "part")
-    always = sent(index.filter("size = 0").select(*RULE, "part"))
+    if some(lambda r: r["size"] == 0):
+        whole = whole.union(states.select("_state").join(sent(index.filter("size = 0").select(*RULE, "part")), F.lit(True)))
+    levels, excepted = strata(rules, most), some(lambda r: r["part"] > 0)
     # What is read more than once is written once: plans stay short however many strata there are.
-    whole = stored(whole.union(states.select("_state").join(always, F.lit(True))), "holding")
-    out = whole.filter("part = 0").drop("part").join(whole.filter("part > 0").select("_state", "dsl", "rule_id").distinct(), ["_state", "dsl", "rule_id"], "left_anti")
-    levels = strata(rules, most)
+    if excepted:
+        whole = stored(whole, "holding")
+    out = whole.filter("part = 0").drop("part")
+    if excepted:
+        out = out.join(whole.filter("part > 0").select("_state", "dsl", "rule_id").distinct(), ["_state", "dsl", "rule_id"], "left_anti")
     if levels:
         out = stored(out, "firing")
     for level in levels:
