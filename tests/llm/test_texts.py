@@ -304,35 +304,51 @@ def test_links_of_planted_fingerprints(spark):
     assert groups(got) == groups(want)
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3, 5])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 31])
 def test_vectors_bound_distances(spark, radius):
-    """Half the Manhattan distance is at most the Hamming distance; linked fingerprints share a cell; equal cells mean equal groups."""
+    """The Manhattan distance of counted segments is at most the Hamming distance; of linked fingerprints, one is at home where the other is or visits."""
     r = random.Random(radius)
-    pairs = []
+    pairs = [(0b1001, 0b0110)]  # the diagonals of a square
     for k in range(400):
         a = b = r.getrandbits(64) if k else 0
-        for bit in r.sample(range(64), r.randint(0, 2 * radius + 1)):
+        for bit in r.sample(range(64), r.randint(0, min(2 * radius + 1, 40))):
             b ^= 1 << bit
-        pairs.append((k, *[x - (1 << 64) if x >> 63 else x for x in (a, b)]))
-    df = spark.createDataFrame(pairs, "k long, a long, b long")
-    own = {c: simhash_dedup.cells(df.select(F.col(c).alias("fp")), radius).groupBy(F.col("fp").alias(c)).agg(F.collect_set("cell").alias(f"cells_{c}")) for c in "ab"}
-    met = df.join(own["a"], "a").join(own["b"], "b")
-    rows = df.select("k", simhash_dedup.distance("a", "b").alias("d"), simhash_dedup.manhattan("a", "b", radius).alias("m")).collect()
-    shared = {x["k"]: x["n"] for x in met.select("k", F.size(F.array_intersect("cells_a", "cells_b")).alias("n")).collect()}
-    groups, least = simhash_dedup.groups_of(radius)
-    assert sum(n for _, n in groups) == 64 and all(n % 2 for _, n in groups)
-    for x, (_, a, b) in zip(sorted(rows), pairs, strict=True):
-        same = sum(((a ^ b) >> start) & ((1 << n) - 1) == 0 for start, n in groups)
-        assert x["m"] <= 2 * x["d"] and shared[x["k"]] == math.comb(same, least)
-        assert x["d"] > radius or shared[x["k"]] > 0
+        pairs.append((a, b))
+    df = spark.createDataFrame([(k, *[x - (1 << 64) if x >> 63 else x for x in p]) for k, p in enumerate(pairs)], "k long, a long, b long")
+    cells = {}
+    for c in "ab":
+        nodes = df.select(F.col(c).alias("fp")).distinct()
+        for x in simhash_dedup.homes(nodes, radius).union(simhash_dedup.visits(nodes, radius)).collect():
+            cells.setdefault((c, x["home"], x["fp"] % (1 << 64)), set()).add(x["cell"])
+    of = lambda c, home, x: cells.get((c, home, x), set())
+    rows = df.select("k", simhash_dedup.distance("a", "b").alias("d"), simhash_dedup.manhattan("a", "b").alias("m")).collect()
+    parts = simhash_dedup.parts_of(radius)
+    assert sum(n for _, n in parts) == 64 and all(n % 4 == 0 and n for _, n in parts)
+
+    def counts(x, start=0, n=64):
+        squares = [[x >> (at + k) & 1 for k in range(4)] for at in range(start, start + n, 4)]
+        return [p + q for p, q, _, _ in squares] + [p + q for _, _, p, q in squares], [p + q for p, _, q, _ in squares] + [p + q for _, p, _, q in squares]
+
+    apart = lambda u, v: sum(abs(p - q) for p, q in zip(u, v, strict=True))
+    for x, (a, b) in zip(sorted(rows), pairs, strict=True):
+        (rows_a, columns_a), (rows_b, columns_b) = counts(a), counts(b)
+        assert x["m"] == max(apart(rows_a, rows_b), apart(columns_a, columns_b)) <= x["d"] == (a ^ b).bit_count()
+        same = sum(counts(a, *p) == counts(b, *p) for p in parts)
+        assert len(of("a", True, a) & of("b", True, b)) == same
+        met = same or of("a", True, a) & of("b", False, b) or of("a", False, a) & of("b", True, b)
+        assert x["d"] > radius or met
+    assert len(of("a", False, pairs[1][0])) == 64 and rows[0]["m"] == 0 < rows[0]["d"]
 
 
 def test_candidates_of_uniform_fingerprints(spark):
-    """Far fewer than the fingerprints, at sizes each four times the last."""
-    for n in (10_000, 40_000, 160_000):
+    """As few as computed, at sizes each four times the last; all are in range."""
+    for n in (40_000, 160_000, 640_000):
         nodes = spark.range(n).select(F.xxhash64("id", F.lit(5)).alias("fp"))
         members = simhash_dedup.members_of(nodes).withColumn("comp", F.col("fp"))
-        assert simhash_dedup.candidates(members).count() < n / 100
+        want = simhash_dedup.meeting() * n * (n - 1) / 2
+        got = simhash_dedup.candidates(members).count()
+        print(n, got, want)
+        assert abs(got - want) < 5 * math.sqrt(want) + 5
 
 
 @pytest.mark.parametrize("block", [4096, 3])

@@ -3,31 +3,34 @@
 Fingerprints: 64 bits, each the majority over the XXH64 hashes (seed 42) of a
 document's three-word shingles, as in ``op9``'s contract.
 
-Embedding: the bits are cut into groups of odd size (five of 11 bits, one of 9
-for links of 3 bits), and a group's segments are its adjacent pairs of bits, the
-last with the first, so segments overlap and lie in one group. A fingerprint's
-vector holds the bit count, 0 to 2, of each segment. A bit is in two segments, so
-the Manhattan distance of two vectors is at most twice the Hamming distance of
-the fingerprints, and half of it is a lower bound. Counts are kept as two bit
-masks (count >= 1, count = 2); distances are two popcounts.
-
-Grid: linked fingerprints differ in at most 3 of the 6 groups, so their vectors
-lie at distance 0 in at least 3 groups. For each choice of 3 groups the counts
-in these are a grid's cell, and the range join is an equi-join on the cells of
-20 grids. As group sizes are odd, counts around a group fix its bits, so a cell
-of 33 or 31 bits is as narrow as the bits allow: of two random fingerprints some
-6e-9 meet, 3 candidates for each of 1e9 distinct fingerprints (segments that
-don't overlap, in two halves, met 1000 times as often). What meets is tested by
-the Manhattan bound first and then by Hamming distance.
+Embedding: every four bits are a square of two by two, and its rows and columns
+are segments of two bits, so a fingerprint has 32 rows and 32 columns. Its vector
+holds the bit count, 0 to 2, of each segment. A bit is in one row and one column,
+so the Manhattan distance of two vectors, over rows or over columns, is a lower
+bound of the Hamming distance of the fingerprints. Counts are kept as bit masks
+(count >= 1, count = 2); distances are popcounts. Different fingerprints can have
+one vector: the two diagonals of a square have the same counts.
+
+Grid: the squares are cut into ``radius // 2 + 1`` parts (two halves for links of 3
+bits), so in one part linked fingerprints differ in at most one bit, and their
+vectors by at most 1 over rows and 1 over columns. A cell is one vector of counts in
+one part. The range join sends each fingerprint to its own cell in each part (home)
+and, as a visitor, to the neighbouring cells in which one row and the column that
+crosses it count one more; of two fingerprints a bit apart, one visits the other's
+home. Of two random fingerprints some 4e-8 meet (``meeting``; measured in a test),
+40 candidates for each of 1e9 distinct fingerprints. What meets is tested by the
+Manhattan distance of whole vectors first and then by Hamming distance.
 
 Dense groups: only the components matter, so a linear pass first links neighbours
 and first members of each cell; cells whose members all are in one component
 already are dropped, and pairs within a component are never kept. What is left
-is joined without caps. Cells of more than ``BLOCK`` members are cut into blocks,
-in the linear pass as in the join of blocks with blocks, so no cell is one task.
+is joined without caps, homes with homes and visitors. Cells of more than ``BLOCK``
+members are cut into blocks, in the linear pass as in the join of blocks with
+blocks, so no cell is one task.
 
-Exact copies share a fingerprint and are one node. Scale: 20 narrow rows for each
-distinct fingerprint, dealt out by cell; cells of one member go no further.
+Exact copies share a fingerprint and are one node. Scale: two homes and some
+32 visits of 16 bytes for each distinct fingerprint, dealt out by cell; visits to cells
+that are nobody's home go no further.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any
 other; null ids never become a component's id unless a component has no other;
@@ -39,7 +42,6 @@ results; other columns, whatever their names, are kept by `keep_one` as they are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -91,68 +93,78 @@ def with_fingerprint(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def groups_of(radius: int) -> tuple[list[tuple[int, int]], int]:
-    """(first bit, bits) of each group, all of odd size, and how many of them linked fingerprints share at least."""
-    count = radius + 3 if radius % 2 else radius + 4  # an even number of odd sizes makes 64
-    base = 64 // count - (64 // count + 1) % 2
-    sizes = [base] * count
-    for k in range((64 - base * count) // 2):
-        sizes[k] += 2
-    starts = [sum(sizes[:k]) for k in range(count)]
-    return list(zip(starts, sizes, strict=True)), count - radius
+def parts_of(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each part, of whole squares; in one of them, at most one bit of linked fingerprints differs."""
+    count = radius // 2 + 1
+    if not 0 < count <= 16:
+        raise ValueError(f"radius {radius}: not within 0 to 31")
+    starts = [16 * k // count * 4 for k in range(count + 1)]
+    return [(x, y - x) for x, y in zip(starts, starts[1:], strict=False)]
+
+
+def meeting(radius: int = RADIUS) -> float:
+    """The share of all pairs of random fingerprints that are candidates: the same counts in a part, or one of them the other's visitor."""
+    same, visit = 18 / 256, 36 / 256  # of two random squares, and with each of a square's clear bits set in turn
+    return sum(same ** (n // 4) + (2 * (n // 4) * visit * same ** (n // 4 - 1) if radius else 0) for _, n in parts_of(radius))
 
 
 def signed(bits: int) -> Column:
     return F.lit(bits - (1 << 64) if bits >> 63 else bits)
 
 
-def embedding(fp: Column, radius: int = RADIUS) -> tuple[Column, Column]:
-    """Bit masks of the segments with a bit count of at least 1, and of 2; segment i is bits i and i + 1, around its group."""
-    groups, _ = groups_of(radius)
-    tops = sum(1 << (start + n - 1) for start, n in groups)
-    turned = F.shiftrightunsigned(fp, 1).bitwiseAND(signed(~tops & ((1 << 64) - 1)))
-    for n in sorted({n for _, n in groups}):
-        firsts = sum(1 << start for start, size in groups if size == n)
-        turned = turned.bitwiseOR(F.shiftleft(fp.bitwiseAND(signed(firsts)), n - 1))
-    return fp.bitwiseOR(turned), fp.bitwiseAND(turned)
+def embedding(fp: Column) -> list[Column]:
+    """Bit masks of the rows with a bit count of at least 1, of those with 2, and the same of columns; square i is the bits 4i to 4i + 3, row by row."""
+    row, column_ = F.shiftrightunsigned(fp, 1), F.shiftrightunsigned(fp, 2)
+    rows, columns = signed(0x5555555555555555), signed(0x3333333333333333)
+    return [fp.bitwiseOR(row).bitwiseAND(rows), fp.bitwiseAND(row).bitwiseAND(rows), fp.bitwiseOR(column_).bitwiseAND(columns), fp.bitwiseAND(column_).bitwiseAND(columns)]
+
+
+def cell_of() -> Column:
+    """The cell of the fingerprint `at` in the part `part` with the bits `mask`: a hash of the part and its counts."""
+    return F.xxhash64("part", *[c.bitwiseAND(F.col("mask")) for c in embedding(F.col("at"))]).alias("cell")
+
+
+def homes(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(cell, home, fp): each fingerprint's own cell in every part."""
+    parts = F.array(*[F.struct(F.lit(k).alias("part"), signed(((1 << n) - 1) << start).alias("mask")) for k, (start, n) in enumerate(parts_of(radius))])
+    points = nodes.select("fp", F.col("fp").alias("at"), F.inline(parts))
+    return points.select(cell_of(), F.lit(True).alias("home"), "fp")
 
 
-def cells(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(cell, fp): each fingerprint's cell in every grid, as a hash of the grid and its counts."""
-    groups, shared = groups_of(radius)
-    some, both = embedding(F.col("fp"), radius)
-    embedded = nodes.select("fp", some.alias("some"), both.alias("both"))
-    keys = []
-    for grid, chosen in enumerate(combinations(groups, shared)):
-        mask = signed(sum(((1 << n) - 1) << start for start, n in chosen))
-        keys.append(F.xxhash64(F.lit(grid), F.col("some").bitwiseAND(mask), F.col("both").bitwiseAND(mask)))
-    return embedded.select(F.explode(F.array(*keys)).alias("cell"), "fp")
+def visits(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(cell, home, fp): the neighbouring cells in which one row and one column of a fingerprint's vector count one more."""
+    moves = F.array(*[F.struct(F.lit(k).alias("part"), signed(((1 << n) - 1) << start).alias("mask"), signed(1 << bit).alias("bit")) for k, (start, n) in enumerate(parts_of(radius)) for bit in range(start, start + n)])
+    points = nodes.select("fp", F.inline(moves)).filter(F.col("fp").bitwiseAND(F.col("bit")) == 0).withColumn("at", F.col("fp").bitwiseOR(F.col("bit")))
+    return points.select(cell_of(), F.lit(False).alias("home"), "fp")
 
 
 def distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def manhattan(a: str, b: str, radius: int = RADIUS) -> Column:
-    """Distance of two vectors of segment counts."""
-    (some_a, both_a), (some_b, both_b) = embedding(F.col(a), radius), embedding(F.col(b), radius)
-    return F.bit_count(some_a.bitwiseXOR(some_b)) + F.bit_count(both_a.bitwiseXOR(both_b))
+def manhattan(a: str, b: str) -> Column:
+    """Distance of two vectors of segment counts, over rows or over columns, whichever is larger."""
+    some_row, both_row, some_column, both_column = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(embedding(F.col(a)), embedding(F.col(b)), strict=True)]
+    return F.greatest(some_row + both_row, some_column + both_column)
 
 
 def members_of(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(cell, block, blocks, head, fp) of all cells with more than one member."""
-    keyed = cells(nodes, radius)
-    sizes = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("head")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    joined = keyed.join(sizes, "cell").withColumn("blocks", blocks)
-    return joined.select("cell", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), "blocks", "head", "fp")
+    """(cell, home, block, blocks, home_blocks, head, fp) of all cells that are someone's home and have more than one member."""
+    own = homes(nodes, radius)
+    keyed = own.union(visits(nodes, radius)) if radius else own
+    met = written(keyed.join(own.select("cell").distinct(), "cell", "left_semi"), "met")
+    pieces = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = met.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"), F.min("fp").alias("head")).filter("n > 1")
+    sizes = sizes.select("cell", "head", pieces(F.col("n")).alias("blocks"), pieces(F.col("n_home")).alias("home_blocks"))
+    return met.join(sizes, "cell").select("cell", "home", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), "blocks", "home_blocks", "head", "fp")
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """(a, comp_a, b, comp_b): pairs of different components that share a cell; members: (cell, block, blocks, fp, comp)."""
-    a = members.select("cell", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"), F.col("fp").alias("a"), F.col("comp").alias("comp_a"))
-    b = members.select("cell", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"), F.col("fp").alias("b"), F.col("comp").alias("comp_b"))
-    return a.join(b, ["cell", "x", "y"]).filter((F.col("comp_a") != F.col("comp_b")) & ((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))).select("a", "comp_a", "b", "comp_b")
+    """(a, comp_a, b, comp_b): a is at home in a cell that b shares or visits, in different components; members: (cell, home, block, blocks, home_blocks, fp, comp)."""
+    x = F.pmod(F.xxhash64("fp"), "home_blocks").cast("int").alias("x")
+    a = members.filter("home").select("cell", x, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.col("fp").alias("a"), F.col("comp").alias("comp_a"))
+    b = members.select("cell", F.explode(F.sequence(F.lit(0), F.col("home_blocks") - 1)).alias("x"), F.col("block").alias("y"), (~F.col("home")).alias("visits"), F.col("fp").alias("b"), F.col("comp").alias("comp_b"))
+    return a.join(b, ["cell", "x", "y"]).filter((F.col("comp_a") != F.col("comp_b")) & (F.col("visits") | (F.col("a") < F.col("b")))).select("a", "comp_a", "b", "comp_b")
 
 
 def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -169,7 +181,7 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame
     classed = written(members.drop("head").join(own, "fp"), "classed")
     mixed = classed.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("cell")
     live = written(classed.join(mixed, "cell", "left_semi"), "mixed")
-    found = candidates(live).filter((manhattan("a", "b", radius) <= 2 * radius) & (distance("a", "b") <= radius))
+    found = candidates(live).filter((manhattan("a", "b") <= radius) & (distance("a", "b") <= radius))
     final = components(found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct())
     release(nodes, members, classed, live)
     return own.join(final.select(F.col("node").alias("comp"), F.col("label").alias("final")), "comp", "left").select("fp", F.coalesce("final", "comp").alias("comp"))
