@@ -327,7 +327,7 @@ def phrases(text):
 def voted(text, templates, least=0.7, shift=3):
     """(labels, score) of a text by diagonal voting, template by template."""
     w, labels, best = license_words(text), set(phrases(text)[4].split(",")) - {""}, 0.0
-    score = 1.0 if labels else 0.0
+    score = 0.5 if labels else 0.0
     for label, notice in templates:
         t = license_words(notice)
         votes = collections.defaultdict(set)
@@ -350,7 +350,7 @@ def voted(text, templates, least=0.7, shift=3):
                 if len(inside) / len(t) >= least:
                     labels.add(label)
                     best = max(best, len(inside) / len(t))
-    return ",".join(sorted(labels)), score or best
+    return ",".join(sorted(labels)), max(score, best)
 
 
 def maximal_chats(rows):

@@ -17,7 +17,8 @@ One scan: each document's grams are made, joined and filtered in one stage; what
 is shuffled are the matches and one row a document. The row's number is made
 and used within that stage, so a task that is run again makes the same numbers.
 
-The base rule's phrases are found among the same grams.
+The base rule's phrases are found among the same grams. A phrase alone scores
+``NAMED``, under any verified span; a span scores the share that it covers.
 
 Edge cases: a null text has no words; labels are an empty string where there are
 none, places null; non-ASCII letters are word characters, and lower-casing
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from veridane.llm.license_texts import TEMPLATES
 
 SHIFT, LEAST = 3, 0.7
+#: The score of a text that names a license by a base phrase, and holds no template.
+NAMED = 0.5
 #: Rows of template grams that are broadcast, of some 100 bytes.
 BROADCAST = 1 << 18
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,7 +78,7 @@ def phrase(g: Column, i: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates: DataFrame | None = None) -> DataFrame:
-    """A row for each document: words, base places and labels, all labels, and the best span's share of its template."""
+    """A row for each document: words, base places and labels, all labels, and a score: the best verified span's share of its template, else NAMED where there is a base phrase."""
     grams = once(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.array_contains(w, "license").alias("licensed"), zipped(w).alias("grams")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("row", "id", grams.alias("s"))
     places = F.when(F.col("s.licensed"), F.filter(F.transform(F.col("s.grams"), phrase), lambda p: p.isNotNull()))
@@ -114,5 +117,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         F.array_max(at).alias("last_word"),
         joined(base).alias("base_labels"),
         joined(F.array_union(base, "labels")).alias("labels"),
-        F.coalesce(F.when(F.size(at) > 0, F.lit(1.0)), F.col("share"), F.lit(0.0)).alias("score"),
+        F.greatest(F.when(F.size(at) > 0, F.lit(NAMED)), F.col("share"), F.lit(0.0)).alias("score"),
     )
