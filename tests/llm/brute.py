@@ -64,7 +64,7 @@ def secrets(text):
     """(start, 4, end) of values of named secrets and of key formats."""
     from veridane.llm.pii_bootstrap import KEY_FORMATS, SECRET_NAME  # fixed values
 
-    value = r"(?P<v>(?=[A-Za-z+/=_.-]{0,200}[0-9])[A-Za-z0-9+/=_.-]{16,})"
+    value = r"(?P<v>(?=[A-Za-z+/=_.-]*[0-9])[A-Za-z0-9+/=_.-]{16,})"
     named = rf"(?<![A-Za-z0-9])(?i:{SECRET_NAME})[\"']?[ \t]*[:=][ \t]*[\"']?{value}"
     key = rf"(?<![A-Za-z0-9])(?P<w>{KEY_FORMATS})"
     return [(m.start(m.lastgroup), 4, m.end(m.lastgroup)) for m in re.finditer(f"{named}|{key}", text)]
@@ -328,13 +328,15 @@ def voted(text, templates, least=0.7, shift=3):
     """(labels, score) of a text by diagonal voting, template by template."""
     w, labels, best = license_words(text), set(phrases(text)[4].split(",")) - {""}, 0.0
     score = 0.5 if labels else 0.0
+    where = collections.defaultdict(list)
+    for i in range(len(w) - 2):
+        where[tuple(w[i : i + 3])].append(i)
     for label, notice in templates:
         t = license_words(notice)
         votes = collections.defaultdict(set)
         for j in range(len(t) - 2):
-            for i in range(len(w) - 2):
-                if w[i : i + 3] == t[j : j + 3]:
-                    votes[i - j].add(j)
+            for i in where.get(tuple(t[j : j + 3]), []):
+                votes[i - j].add(j)
         chains = []
         for d in sorted(votes):
             if not chains or d - chains[-1][-1] > shift:

@@ -398,10 +398,12 @@ def test_licenses(docs, rows, empty):
 
 
 def test_spans_with_gaps(spark):
-    texts = ["x y Licensed under CC BY-NC 4.0.", "Licensed under, well, CC BY-NC 4.0", "licensed cc by", "this file is free and unencumbered software released into the public domain today", None, "see MIT License", license_texts.MIT + " mit license"]
+    gpl = license_texts.whole("gpl-3")
+    texts = ["x y Licensed under CC BY-NC 4.0.", "Licensed under, well, CC BY-NC 4.0", "licensed cc by", "this file is free and unencumbered software released into the public domain today", None, "see MIT License", license_texts.MIT + " mit license", "intro " + gpl, gpl[: len(gpl) // 2]]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0] == ("cc-by-nc", 1.0) and got[2] == ("", 0.0) and got[4] == ("", 0.0)
     assert got[1][0] == "cc-by-nc" and 0.7 <= got[1][1] <= 1.0
+    assert got[7] == ("gpl", 1.0) and got[8] == ("gpl", 0.5)  # a whole license; half of it, which names itself
     assert got[5] == ("mit", 0.5) and got[6] == ("mit", 1.0)  # named alone, and held as a whole
 
 

@@ -10,7 +10,8 @@ votes don't grow into spans. A merged span is verified by the share of the
 template's words that it covers.
 
 Templates are a table (label, notice), by default the public texts of
-`license_texts`. Their grams are counted: up to ``BROADCAST`` rows go to every
+`license_texts`, whole licenses and notices of them; a whole license and its
+notice are templates of their own. Their grams are counted: up to ``BROADCAST`` rows go to every
 task, beyond that the join is a shuffle by hash.
 
 One scan: each document's grams are made, joined and filtered in one stage; what

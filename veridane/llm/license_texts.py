@@ -1,4 +1,6 @@
-"""Public license texts and notices, as (label, text)."""
+"""Public license texts and notices, as (label, text); long texts are the files in licenses/."""
+
+import importlib.resources
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -18,6 +20,10 @@ BSD_2 = """Redistribution and use in source and binary forms, with or without mo
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+BSD_3 = BSD_2.replace("THIS SOFTWARE IS", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS""", 1)
+
 ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
@@ -50,25 +56,39 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 
 MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
+
+def whole(name: str) -> str:
+    """The text of a license in licenses/."""
+    return importlib.resources.files("veridane.llm").joinpath("licenses", f"{name}.txt").read_text(encoding="utf-8")
+
+
 TEMPLATES = (
     ("mit", MIT),
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
     ("isc", ISC),
     ("bsd", BSD_2),
+    ("bsd", BSD_3),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("zlib", ZLIB),
     ("unlicense", UNLICENSE),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("boost", BOOST),
+    ("apache", whole("apache-2.0")),
     ("apache", APACHE_NOTICE),
     ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("gpl", whole("gpl-2")),
+    ("gpl", whole("gpl-3")),
     ("gpl", GNU_NOTICE.format(kind="General")),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("lgpl", whole("lgpl-2.1")),
+    ("lgpl", whole("lgpl-3")),
     ("lgpl", GNU_NOTICE.format(kind="Lesser General")),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", GNU_NOTICE.format(kind="Affero General")),
+    ("mpl", whole("mpl-2.0")),
     ("mpl", MPL_NOTICE),
+    ("cc0", whole("cc0-1.0")),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
