@@ -126,6 +126,19 @@ def test_discoveries_induce_patterns(spark):
     assert got[30] == f"phone:{at}:{at + 12}" and got[31] == ""
 
 
+def test_secrets_whose_digit_is_far(spark):
+    """A value's digit may stand anywhere in it, runs without one hide no name behind them, and such runs cost linear time."""
+    far = "abcdefgh" * 500 + "7"
+    texts = [f'token = "{far}" end', f"secret=no.digit.in-this.token: {far}", f"secret=no.digit/token= {far}", f"api-key=plain_words.only/api-key:'{far}'", "token=" * 50 + " 7", "password=shortish then 5", f"secret=a=token=b={far}"]
+    got = spans_of(spark, texts)
+    want = {k: brute.shown(brute.secrets(t)) for k, t in enumerate(texts)}
+    assert {k: ",".join(s for s in got[k].split(",") if s.startswith("secret:")) for k in got} == want
+    assert all(want[k] for k in (0, 1, 2, 3, 6)) and not any(want[k] for k in (4, 5))
+    start = time.perf_counter()
+    spans_of(spark, ["token=" * 300000 + " 7"])
+    assert time.perf_counter() - start < 60
+
+
 def test_secrets_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marked = docs.filter("contains(text, 'token = \"')")

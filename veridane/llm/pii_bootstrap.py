@@ -65,7 +65,9 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 SECRET_NAME = r"(?:access[_-]?key|api[_-]?key|auth[_-]?key|credential|passwd|password|private[_-]?key|pwd|secret|token)s?"
 KEY_FORMATS = r"(?:AKIA|ASIA)(?=[A-Z]{0,15}[0-9])[0-9A-Z]{16}|gh[opsu]_(?=[A-Za-z]{0,35}[0-9])[A-Za-z0-9]{36}|xox[abprs]-(?=[A-Za-z-]{0,200}[0-9])[A-Za-z0-9-]{10,}+|eyJ(?=[A-Za-z_.-]{0,200}[0-9])[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
 NAMED = rf"(?i:{SECRET_NAME})[\x22\x27]?[\x20\t]*+[:=][\x20\t]*+[\x22\x27]?"
-VALUE = r"(?=[A-Za-z+/=_.-]{0,200}+[0-9])[A-Za-z0-9+/=_.-]{16,}+"
+#: A value holds a digit, wherever. A run without one is skipped but for its last part, which may name the next value, so it is not read anew for each name in it.
+SKIPPED = r"(?![A-Za-z+/=_.-]*+[0-9])(?:[A-Za-z_-]*+[+/=.](?=[A-Za-z+/=_.-]))++"
+VALUE = rf"(?:(?=[A-Za-z+/=_.-]*+[0-9])[A-Za-z0-9+/=_.-]{{16,}}+|{SKIPPED})"
 SECRETS = rf"(?<![A-Za-z0-9]){NAMED}{VALUE}|(?<![A-Za-z0-9])(?:{KEY_FORMATS})"
 SECRETS_NEED = r"[:=]|AKIA|ASIA|gh[opsu]_|xox|eyJ"
 
@@ -122,7 +124,7 @@ def valid(kind: Column, m: Column) -> Column:
     part = lambda k: F.regexp_replace(F.get(F.split(m, r"\."), F.lit(k)), "^0+", "")
     byte = lambda p: (F.length(p) <= 3) & (F.lpad(p, 3, "0") <= "255")
     ip = byte(part(0)) & byte(part(1)) & byte(part(2)) & byte(part(3))
-    return F.when(kind == 0, F.lit(True)).when(kind == 1, ip).when(kind == 2, (n >= 14) & (n <= 19) & F.call_function("luhn_check", digits_of(m))).when(kind == 3, (n >= 10) & (n <= 15)).otherwise(F.lit(True))
+    return F.when(kind == 0, F.lit(True)).when(kind == 1, ip).when(kind == 2, (n >= 14) & (n <= 19) & F.call_function("luhn_check", digits_of(m))).when(kind == 3, (n >= 10) & (n <= 15)).when(kind == SECRET, n > 0).otherwise(F.lit(True))
 
 
 def whole(m: Column) -> Column:
