@@ -96,6 +96,23 @@ def test_question_files(spark, tmp_path):
         files.read_questions(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_array_files_of_many_tasks(spark, tmp_path, monkeypatch):
+    """The records' own tasks stay as many as they are, a small set is one array, a large one is several in order, none is an empty one."""
+    made = spark.range(0, 40, 1, 4).select(F.concat(F.spark_partition_id(), F.lit("-"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("id"), F.array().cast("array<struct<key:string,value:string>>").alias("statements"))
+    ids = [r["id"] for r in made.collect()]
+    assert {i[0] for i in ids} == set("0123")
+    texts = lambda name: [p.read_text() for p in sorted((tmp_path / name).glob("part-*"))]
+    files.write_questions(made, str(tmp_path / "small"), one_array=True)
+    assert [[r["id"] for r in json.loads(t)] for t in texts("small")] == [ids]
+    monkeypatch.setattr(files, "ARRAY", 400)
+    files.write_questions(made, str(tmp_path / "large"), one_array=True)
+    arrays = [json.loads(t) for t in texts("large")]
+    assert len(arrays) > 3 and [r["id"] for a in arrays for r in a] == ids
+    assert sorted(r["id"] for r in files.read_questions(spark, str(tmp_path / "large")).collect()) == ids
+    files.write_questions(made.filter("id = ''"), str(tmp_path / "none"), one_array=True)
+    assert [json.loads(t) for t in texts("none")] == [[]] and files.read_questions(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_vectors_round_trip(spark, tmp_path):
     files.write_vectors(spark.createDataFrame([("v", [1.0, -2.5])], "vec_id string, vector array<double>"), str(tmp_path / "v"))
     assert files.read_vectors(spark, str(tmp_path / "v")).first()["vector"] == [1.0, -2.5]
