@@ -6,6 +6,7 @@ import random
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from veridane.operators import rules
 from veridane.plans.evaluation import RULE_SCHEMA
@@ -144,3 +145,34 @@ def test_rules_without_conditions_and_empty_facts(spark):
     assert rules.apply_rules(spark.createDataFrame([(None, None), (1, 0)], "X int, Z int"), none).count() == 2
     assert rules.apply_rules(spark.createDataFrame([], "X int, Z int"), none).count() == 0
     assert rules.apply_rules(spark.createDataFrame([(1, 0)], "X int, Z int"), none.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_states_with_one_value_in_common_are_dealt(spark, most, monkeypatch):
+    """A field of one value, and comparisons of another one, over many states: no task gets them all, and few and many rules give the same."""
+    monkeypatch.setattr(rules, "PAIRS", 1 << 12, raising=False)
+    n, parts = 20_000, 16
+    conf = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.enabled": "false"}
+    had = {k: spark.conf.get(k, None) for k in conf}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        since = max((int(j.jobId()) for j in py(spark, store.jobsList(None))), default=-1)
+        conditions = [[("f", "eq", "same"), ("x", "lt", "5000")], [("x", "gteq", "5000"), ("f", "neq", "other")], [("f", "eq", "other")], [("x", "eq", "7.0")]]
+        ruled = spark.createDataFrame([("d", f"r{k}", "o", c) for k, c in enumerate(conditions)], "dsl string, rule_id string, outcome string, conditions array<struct<field:string,operator:string,value:string>>")
+        facts = spark.range(0, n, 1, 8).select(F.col("id").alias("x"), F.lit("same").alias("f"))
+        got = rules.apply_rules(facts, ruled, ("x", "f"), most).groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("x").alias("s")).collect()
+        assert {r["rule_id"]: (r["n"], r["s"]) for r in got} == {"r0": (5000, sum(range(5000))), "r1": (n - 5000, sum(range(5000, n))), "r3": (1, 7)}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {i for j in py(spark, store.jobsList(None)) if int(j.jobId()) > since for i in py(spark, j.stageIds())}
+        read = [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for i in stages for t in py(spark, store.taskList(i, 0, 100_000)) if t.taskMetrics().isDefined()]
+        assert max(read) < n / 2
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def py(spark, items):
+    """A Scala sequence as a list."""
+    return [items.apply(k) for k in range(items.size())]

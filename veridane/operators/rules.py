@@ -45,6 +45,9 @@ def shipped_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pylist([r.asDict(recursive=True) for r in _READ[key]], schema))
 
 
+#: Pairs of states and parts of rules that one task counts. Copies of over `most` conditions, which states are dealt over.
+PAIRS, SALTS = 1 << 20, 32
+
 #: Comparisons of a condition; the first of each are the names used.
 OPERATORS = {"eq": "eq", "neq": "neq", "ne": "neq", "lt": "lt", "lteq": "lteq", "lte": "lteq", "gt": "gt", "gteq": "gteq", "gte": "gteq"}
 ORDER = {"lt": lambda a, b: a < b, "lteq": lambda a, b: a <= b, "gt": lambda a, b: a > b, "gteq": lambda a, b: a >= b}
@@ -122,35 +125,39 @@ def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("
     defeaters (ids of rules of the same dsl). A null field makes no condition hold;
     a rule without conditions always holds; one that can't be judged is an error.
 
-    Conditions are an index: equality is a hash join on (field, value), order a range
-    join on the field, both with the distinct values of facts; a rule's conditions that
-    a state of fields meets are counted, and all must be there. Facts join their state's
-    rules at the end, so what rules cost follows the number of states, not of facts.
-    Up to `most` conditions (they are counted) go to every task.
+    Conditions are an index: equality is a hash join on (field, value), order a join on
+    the field, both with the fields of each state of facts, row by row; a rule's
+    conditions that a state meets are counted, and all must be there. Facts join their
+    state's rules at the end, so what rules cost follows the number of states, not of
+    facts. Up to `most` conditions (they are counted) go to every task; more are repeated
+    `SALTS` times and states dealt over these, so no value or field is a group of its own.
+    States have numbers, and a task counts about `PAIRS` pairs of states and rules.
     """
-    state = F.to_json(F.array(*[canonical(F.col(f)) for f in fields]))
-    keyed = facts.withColumn("_state", state)
-    states = keyed.select("_state", *[canonical(F.col(f)).alias(f) for f in fields]).distinct()
+    state = F.struct(*[canonical(F.col(f)).alias(f) for f in fields])
+    keyed = facts.withColumn("_of", state)
+    states = stored(keyed.select("_of").distinct().withColumn("_state", F.monotonically_increasing_id()), "states")
     index, head = index_of(rules, fields, most)
     sent = F.broadcast if head is not None else lambda df: df
     # Of few rules it is known which joins they need.
     some = lambda test: head is None or any(test(r) for r in head)
 
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])
-    held = states.select("_state", F.inline(pairs)).filter("v IS NOT NULL")
-    values = held.select("field", "v").distinct()
-    tests = index.select("field", "operator", "value").filter("operator IS NOT NULL").distinct()
-    of = lambda *names: sent(tests.filter(F.col("operator").isin(*names)).withColumnRenamed("field", "f"))
-    same = F.col("field") == F.col("f")
-    number = lambda c: F.col(c).try_cast("double")
-    ordered = functools.reduce(lambda c, kv: F.when(F.col("operator") == kv[0], kv[1](number("v"), number("value"))).otherwise(c), ORDER.items(), F.lit(False))
-    v, value = F.col("v"), F.col("value")
-    joins = [(("eq",), v == value), (("neq",), v != value), (tuple(ORDER), ordered)]
-    needed = [values.join(of(*names), same & holds) for names, holds in joins if some(lambda r, names=names: r["operator"] in names)]
-    met = functools.reduce(lambda a, b: a.union(b), needed or [values.join(of("eq"), same)])
-    met = held.join(met.drop("f"), ["field", "v"]).select("_state", "field", "operator", "value")
-
-    counted = met.join(sent(index.filter("size > 0")), ["field", "operator", "value"]).groupBy("_state", *RULE, "part", "size").agg(F.count("*").alias("n")).filter("n = size")
+    # A field's row for equality has its value as key, the one for other comparisons has none, so one join serves both.
+    equal = lambda c: F.concat(F.lit("="), c)
+    kinds = [lambda c: equal(c)] * some(lambda r: r["operator"] == "eq") + [lambda c: F.lit("")] * some(lambda r: r["operator"] not in ("eq", None))
+    row = lambda f, key: F.struct(F.lit(f).alias("field"), F.col(f"_of.{f}").alias("v"), F.col(f"_of.{f}").try_cast("double").alias("x"), key(F.col(f"_of.{f}")).alias("key"))
+    pairs = F.array(*[row(f, key) for f in fields for key in kinds or [equal]])
+    parts = len({(r["dsl"], r["rule_id"], r["part"]) for r in head}) if head is not None else most
+    n = states.count()
+    dealt = states.repartition(max(1, min(n * parts // PAIRS, n // 1000) + 1), "_state")
+    held = dealt.select("_state", F.inline(pairs)).filter("v IS NOT NULL")
+    tests = index.filter("operator IS NOT NULL").withColumnRenamed("field", "f").withColumns({"y": F.col("value").try_cast("double"), "k": F.when(F.col("operator") == "eq", equal(F.col("value"))).otherwise("")})
+    same = (F.col("field") == F.col("f")) & (F.col("key") == F.col("k"))
+    if head is None:
+        tests = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.pmod(F.col("_state"), F.lit(SALTS)) == F.col("salt")
+    ordered = functools.reduce(lambda c, kv: F.when(F.col("operator") == kv[0], kv[1](F.col("x"), F.col("y"))).otherwise(c), ORDER.items(), F.col("v") != F.col("value"))
+    met = held.join(sent(tests), same & ((F.col("k") != "") | ordered))
+    counted = met.groupBy("_state", *RULE, "part", "size").agg(F.count("*").alias("n")).filter("n = size")
     whole = counted.select("_state", *RULE, "part")
     if some(lambda r: r["size"] == 0):
         whole = whole.union(states.select("_state").join(sent(index.filter("size = 0").select(*RULE, "part")), F.lit(True)))
@@ -167,4 +174,4 @@ def apply_rules(facts: DataFrame, rules: DataFrame, fields: tuple[str, ...] = ("
         defeats = F.broadcast(facts.sparkSession.createDataFrame(level, "dsl string, beaten string, rule_id string"))
         beaten = out.join(defeats, ["dsl", "rule_id"]).select("_state", "dsl", F.col("beaten").alias("rule_id")).distinct()
         out = stored(out.join(beaten, ["_state", "dsl", "rule_id"], "left_anti"), "standing")
-    return keyed.join(out.select("_state", *RULE), "_state").drop("_state")
+    return keyed.join(out.select("_state", *RULE).join(states, "_state").drop("_state"), "_of").drop("_of")
