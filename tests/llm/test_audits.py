@@ -265,3 +265,12 @@ def test_scopes_are_apart_and_nested(spark):
             assert [there(x) for x in (a, b, c, elsewhere)] == [True, True, False, True]
             outer.append(a)
         assert [there(x) for x in (a, b, elsewhere)] == [True, False, True]
+
+
+def test_only_a_to_z_are_lowered(spark):
+    """ASCII texts, lowered at once, and others, by character, give what A-Z alone in lower case gives."""
+    from veridane.llm.source_divergence import UPPER, LOWER, lowered
+
+    texts = ["", "ABZ [\\]^_` @ 09 az\x00\x7f", "ÉA İB KC ẞD éE", "\U00010400 ZZ", UPPER]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", lowered(F.col("text")).alias("t")).collect()
+    assert [r["t"] for r in sorted(got)] == [t.translate(str.maketrans(UPPER, LOWER)) for t in texts]

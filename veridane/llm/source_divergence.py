@@ -40,9 +40,14 @@ BROADCAST = 1 << 18
 GROUP = ["lang", "source"]
 
 
+def lowered(text: Column) -> Column:
+    """text with A-Z alone in lower case. An ASCII text has no other letters, and is lowered at once, not by character."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def term_counts(texts: DataFrame, group: list[str]) -> DataFrame:
     """(*group, term, n, docs) of texts (*group, text): occurrences of each term and documents with it."""
-    words = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
+    words = F.sort_array(F.regexp_extract_all(lowered(F.col("text")), F.lit(TERM), F.lit(0)))
     rows = texts.select(*group, words.alias("words"))
     # The outer form, as the plain one would test the words' number first and make them twice.
     each = rows.select(*group, "words", F.posexplode_outer("words").alias("i", "term")).filter(F.col("term").isNotNull())
